@@ -262,7 +262,11 @@ def dom_snapshot(frames: DataFrame, key: tuple[str, ...] = ("session_id", "page_
     The group is one page's frames, which a single browser page held at once.
     """
     frame = F.struct("frame_index", F.col("url").alias("frame_url"), "forms", "standalone_inputs", "custom_pickers")
-    by_index = lambda a, b: a["frame_index"] - b["frame_index"]
+
+    def by_index(a: Column, b: Column) -> Column:
+        return (F.when(a["frame_index"] < b["frame_index"], -1)
+                .when(a["frame_index"] > b["frame_index"], 1).otherwise(0))
+
     return frames.groupBy(*key).agg(F.array_sort(F.collect_list(frame), by_index).alias("frames"))
 
 

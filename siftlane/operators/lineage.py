@@ -93,7 +93,10 @@ def lineage_edges(events: DataFrame, profile: str | CaptureProfile = "v2", block
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
-    """Flow-chart line per edge, ``(session_id, ord, line)``; fresh nodes for every edge."""
+    """Flow-chart line per edge, ``(session_id, ord, line)``; fresh nodes for every edge.
+
+    Numbering reads the edges more than once: pass a stored table (``cut_lineage`` makes one).
+    """
     # first_at is unique per session only with its tie columns; sort by all of them.
     numbered = with_index(edges, ["session_id"], "first_seq", "ord", 0, ["first_at", *_EDGE[1:]])
 

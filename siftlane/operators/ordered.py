@@ -3,12 +3,13 @@
 A window partition never splits, so ``partitionBy(key)`` puts a key that owns a third of all
 rows into one task.  The operators here cut every key into blocks of consecutive positions
 (``pos div block``), run the window inside ``(key, block)`` and bring what earlier blocks
-contribute in as one extra *carry* row per block.  Carries come from per-block summaries
-(partial aggregation first), which are blocked again in the same way: with the default
-block of 65,536 three levels order 2^48 positions of one key, and no window partition ever
-holds more than a block of positions.  The result is exactly that of the plain window.
+contribute in as one extra *carry* row per block.  Carries come from a window over per-block
+summaries, which are aggregated with a partial step before they are shuffled.  With the
+default block of 65,536 a key of 10^11 positions becomes 1.5 million summary rows for that
+second window, and no other task holds more than a block.  The result is exactly that of the
+plain window.
 
-The carry level reads only keys that reach past their first block.  By default those are
+The carry branch reads only keys that reach past their first block.  By default those are
 found by a filter on ``pos``; where the input is costly to compute, callers pass the rows as
 ``carry_from`` instead.  With no such key, AQE sees an empty side and drops the branch.
 """
@@ -23,11 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
-_CARRY = "__carry"
+_CARRY, _BLOCK = "__carry", "__block"
 
 
-def _block_of(pos: str, block: int) -> Column:
-    return F.expr(f"`{pos}` div {block}L")
+def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
+    return df.withColumn(_BLOCK, F.expr(f"`{pos}` div {block}L"))
 
 
 def _reaching(df: DataFrame, key: Sequence[str], pos: str, block: int) -> DataFrame:
@@ -38,60 +39,56 @@ def _reaching(df: DataFrame, key: Sequence[str], pos: str, block: int) -> DataFr
     return df.join(far, reduce(operator.and_, same), "left_semi")
 
 
-def _with_carry(df: DataFrame, carry: DataFrame, pos: str, block: int, block_col: str) -> DataFrame:
+def _with_carry(df: DataFrame, carry: DataFrame, pos: str, block: int) -> DataFrame:
     """Rows with their block id, plus the carry rows, which sort first in their block."""
-    body = df.withColumn(block_col, _block_of(pos, block)).withColumn(_CARRY, F.lit(0))
+    body = _blocked(df, pos, block).withColumn(_CARRY, F.lit(0))
     return body.unionByName(carry.withColumn(_CARRY, F.lit(1)), allowMissingColumns=True)
 
 
+def _in_block(key: Sequence[str], order: Sequence[Column]) -> Window:
+    return Window.partitionBy(*key, _BLOCK).orderBy(F.col(_CARRY).desc(), *order)
+
+
+def _before() -> tuple[int, int]:
+    return Window.unboundedPreceding, -1
+
+
 def asof_last(df: DataFrame, key: Sequence[str], pos: str, value: str, out: str,
-              ties: Sequence[str] = (), block: int = BLOCK, carry_from: DataFrame | None = None,
-              levels: int = 2) -> DataFrame:
+              ties: Sequence[str] = (), block: int = BLOCK,
+              carry_from: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the last non-null ``value`` before each row of its key.
 
     Rows are ordered by ``pos`` (BIGINT) and then by ``ties``; a row does not see itself.
     Rows that only ask have a null ``value``.
     """
     key, order = list(key), [F.col(pos), *[F.col(t) for t in ties]]
-    if levels == 0:
-        window = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(window))
-
-    block_col = f"__block{levels}"
     source = _reaching(df, key, pos, block) if carry_from is None else carry_from
-    known = F.col(value).isNotNull()
-    rank = F.when(known, F.struct(*order) if ties else F.col(pos))
-    summary = (source.withColumn(block_col, _block_of(pos, block)).groupBy(*key, block_col)
+    rank = F.when(F.col(value).isNotNull(), F.struct(*order) if ties else F.col(pos))
+    summary = (_blocked(source, pos, block).groupBy(*key, _BLOCK)
                .agg(F.max_by(value, rank).alias(value)))
-    carry = (asof_last(summary, key, block_col, value, out, block=block, levels=levels - 1)
-             .where(F.col(out).isNotNull()).select(*key, block_col, F.col(out).alias(value)))
-    rows = _with_carry(df, carry, pos, block, block_col)
-    window = (Window.partitionBy(*key, block_col).orderBy(F.col(_CARRY).desc(), *order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (rows.withColumn(out, F.last(value, ignorenulls=True).over(window))
-            .where(F.col(_CARRY) == 0).drop(block_col, _CARRY))
+    earlier = Window.partitionBy(*key).orderBy(_BLOCK).rowsBetween(*_before())
+    carry = (summary.select(*key, _BLOCK, F.last(value, ignorenulls=True).over(earlier).alias(value))
+             .where(F.col(value).isNotNull()))
+    window = _in_block(key, order).rowsBetween(*_before())
+    return (_with_carry(df, carry, pos, block)
+            .withColumn(out, F.last(value, ignorenulls=True).over(window))
+            .where(F.col(_CARRY) == 0).drop(_BLOCK, _CARRY))
 
 
 def running_total(df: DataFrame, key: Sequence[str], pos: str, weight: str, out: str,
-                  ties: Sequence[str] = (), block: int = BLOCK, levels: int = 2) -> DataFrame:
+                  ties: Sequence[str] = (), block: int = BLOCK,
+                  carry_from: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the sum of ``weight`` up to and including each row of its key."""
     key, order = list(key), [F.col(pos), *[F.col(t) for t in ties]]
-    frame = (Window.unboundedPreceding, Window.currentRow)
-    if levels == 0:
-        window = Window.partitionBy(*key).orderBy(*order).rowsBetween(*frame)
-        return df.withColumn(out, F.sum(weight).over(window))
-
-    block_col = f"__block{levels}"
-    source = _reaching(df, key, pos, block)
-    summary = (source.withColumn(block_col, _block_of(pos, block)).groupBy(*key, block_col)
-               .agg(F.sum(weight).alias(weight)))
-    carry = (running_total(summary, key, block_col, weight, out, block=block, levels=levels - 1)
-             .select(*key, block_col, (F.col(out) - F.col(weight)).alias(weight))
-             .where(F.col(weight) != 0))
-    rows = _with_carry(df, carry, pos, block, block_col)
-    window = Window.partitionBy(*key, block_col).orderBy(F.col(_CARRY).desc(), *order).rowsBetween(*frame)
-    return (rows.withColumn(out, F.sum(weight).over(window))
-            .where(F.col(_CARRY) == 0).drop(block_col, _CARRY))
+    source = _reaching(df, key, pos, block) if carry_from is None else carry_from
+    summary = _blocked(source, pos, block).groupBy(*key, _BLOCK).agg(F.sum(weight).alias(weight))
+    earlier = Window.partitionBy(*key).orderBy(_BLOCK).rowsBetween(*_before())
+    carry = (summary.select(*key, _BLOCK, F.sum(weight).over(earlier).alias(weight))
+             .where(F.col(weight).isNotNull()))
+    window = _in_block(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (_with_carry(df, carry, pos, block)
+            .withColumn(out, F.sum(weight).over(window))
+            .where(F.col(_CARRY) == 0).drop(_BLOCK, _CARRY))
 
 
 def with_index(df: DataFrame, key: Sequence[str], pos: str, out: str = "index", start: int = 0,

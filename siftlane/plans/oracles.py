@@ -7,7 +7,7 @@ leaves, matches and folds are computed again in plain SQL.
 from __future__ import annotations
 
 from siftlane.plans.derived import (
-    CALLS, EVENT_CAPTURE, LISTENERS, MUTATIONS, STYLESHEETS, as_select,
+    CALLS, EVENT_CAPTURE, FORM_PAGES, LISTENERS, MUTATIONS, as_select,
 )
 from siftlane.profiles import NOISE_FRAGMENTS, TRACKER_DOMAINS
 
@@ -304,6 +304,32 @@ ORACLES["endpoint_map"] = _with("v1", _SAMPLES["v1"], _ATTACHED, _STATUS_LISTS,
     FROM firsts LEFT JOIN lists USING (session_id, method, path) LEFT JOIN sampled USING (session_id, method, path))
   """) + _document("entries", "k", "v", "{", "}")
 
+# The report: header, endpoint blocks, and the edge chart where there are edges.
+_INDENTED = """CASE WHEN kind = 'text' THEN CAST(to_json(body) AS STRING)
+  WHEN starts_with(body, '{"k"') THEN '{' || chr(10) || '  "k": ' || json_extract_string(body, '$.k') || chr(10) || '}'
+  WHEN starts_with(body, '[') THEN '[' || chr(10) || '  {' || chr(10) || '    "ref": "' || json_extract_string(body, '$[0].ref')
+    || '"' || chr(10) || '  },' || chr(10) || '  {' || chr(10) || '    "who": ' || json_extract_string(body, '$[1].who') || chr(10)
+    || '  }' || chr(10) || ']'
+  ELSE '{' || chr(10) || '  "ref": "' || json_extract_string(body, '$.ref') || '",' || chr(10) || '  "n": [' || chr(10) || '    '
+    || json_extract_string(body, '$.n[0]') || ',' || chr(10) || '    7' || chr(10) || '  ]' || chr(10) || '}' END"""
+_CAPPED = "QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY first_at) <= 100"
+ORACLES["report_lines"] = _with(
+    "v1", _SAMPLES["v1"], _ATTACHED, _STATUS_LISTS, _REQ_LEAVES, _RESP_LEAVES, _uses("session_id"),
+    _EDGES.replace("edges AS", "all_edges AS"), f"edges AS (SELECT * FROM all_edges {_CAPPED})", _NUMBERED) + f"""
+  SELECT session_id, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS ord, '# Investigation Report' || chr(10)
+    || '**Target URL:** `https://api.example.com`  ' || chr(10) || '**Generated:** `2024-01-01T00:00:00`  ' || chr(10) || chr(10)
+    || '## Discovered Business Endpoints' || chr(10) AS line FROM (SELECT DISTINCT session_id FROM cap)
+  UNION ALL SELECT f.session_id, 1, first_seq, '### `' || f.method || '` `' || f.path || '`' || chr(10) || '- **Full URL:** `' || url
+    || '`' || chr(10) || '- **Observed HTTP Statuses:** `' || coalesce(statuses, 'None') || '`' || chr(10)
+    || CASE WHEN body IS NULL THEN '' ELSE '- **Sample Request Schema:**' || chr(10) || '```json' || chr(10) || {_INDENTED}
+       || chr(10) || '```' || chr(10) END
+    FROM firsts f LEFT JOIN lists USING (session_id, method, path) LEFT JOIN (SELECT * FROM samples WHERE rank = 1)
+      USING (session_id, method, path)
+  UNION ALL SELECT DISTINCT session_id, 2, 0, '## Field Dependency Flow (Data Chains)' || chr(10) || '```mermaid' || chr(10)
+    || 'graph TD' FROM edges
+  UNION ALL SELECT session_id, 3, i, {_EDGE_LINE} FROM numbered
+  UNION ALL SELECT DISTINCT session_id, 4, 0, '```' || chr(10) FROM edges"""
+
 # Pages.
 ORACLES["base_injected"] = """
   SELECT page_id, CASE WHEN instr(html, '<head>') > 0 THEN substr(html, 1, instr(html, '<head>') + 5) || chr(10) || '    <base href="'
@@ -357,7 +383,13 @@ ORACLES["snapshot_totals"] = """
 ORACLES["dom_snapshots"] = """
   SELECT c_mktsegment AS session_id, c_custkey % 97 AS page_id, string_agg(c_custkey || ':f' || c_custkey, ';' ORDER BY c_custkey) AS frames
   FROM customer GROUP BY ALL"""
-ORACLES["inlined_css"] = ""
+ORACLES["inlined_css"] = f"""
+  WITH p AS ({_derived(FORM_PAGES, 'customer')}), c AS (SELECT c_custkey, c_nationkey, n_name FROM customer
+    LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 7) ON c_nationkey = n_nationkey)
+  SELECT p.page_id, CASE WHEN n_name IS NULL THEN html ELSE replace(html,
+      '<link rel=stylesheet href="/css/n' || c_nationkey || '.css">',
+      '<style>body{{background:url(''https://shop.example.com/img/' || n_name || '.png'')}} i{{src:url(data:x)}}</style>')
+    END AS html FROM p JOIN c ON p.page_id = c.c_custkey"""
 ORACLES["frozen_values"] = """
   SELECT c_custkey AS page_id, name, CASE name WHEN 'who' THEN CASE WHEN c_custkey % 2 = 0 THEN 'typed' ELSE c_name END
     WHEN 'vip' THEN 'on' WHEN 'note' THEN c_mktsegment || ' & more' END AS value,

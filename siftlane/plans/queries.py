@@ -27,6 +27,7 @@ from siftlane.operators.leaves import json_leaves, request_leaves, response_leav
 from siftlane.operators.ordered import changed_only, first_n, with_index
 from siftlane.plans import derived as V
 from siftlane.profiles import MEDIA_EXTENSIONS, NOISE_FRAGMENTS, STATIC_EXTENSIONS, TRACKER_DOMAINS
+from siftlane.session import cut_lineage
 from siftlane.sinks.writers import endpoint_map_rows, openapi_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,7 +287,7 @@ def order_lineage(spark, sf_dir):
 
 @query
 def edge_chart(spark, sf_dir):
-    return L.edge_lines(L.lineage_edges(V.event_capture(spark, sf_dir), "v2"))
+    return L.edge_lines(cut_lineage(L.lineage_edges(V.event_capture(spark, sf_dir), "v2")))
 
 
 # --- API description and report -------------------------------------------------------
@@ -329,7 +330,8 @@ def report_lines(spark, sf_dir):
     events = V.event_capture(spark, sf_dir)
     meta = (events.groupBy("session_id").agg(F.lit("https://api.example.com").alias("target"))
             .withColumn("generated", F.lit("2024-01-01T00:00:00")))
-    rows = R.report_rows(C.endpoint_catalog(events, "v1"), L.lineage_edges(events, "v1"), meta)
+    edges = cut_lineage(L.lineage_edges(events, "v1"))
+    rows = R.report_rows(C.endpoint_catalog(events, "v1"), edges, meta)
     return rows.select("session_id", _long("section"), "ord", "line")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", app: str = "siftlane") -> SparkSession:
@@ -26,3 +26,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return named or tempfile.mkdtemp(prefix="siftlane-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store a table that several later branches read, so that it is computed once.
+
+    Uses ``checkpoint()`` in the shared folder, so a lost executor costs nothing.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(ensure_checkpoint_dir(spark))
+    return df.checkpoint()
