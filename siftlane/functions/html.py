@@ -8,7 +8,7 @@ pickers) is array work on that column, so it needs no shuffle: a page is one row
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+# Content of these is text up to the end tag; character references count in the second group.
+_RAW = frozenset("script style xmp iframe noembed noframes".split())
+_ESCAPABLE_RAW = frozenset("textarea title".split())
+
 # A start tag closes these if they are the open element.
 _CLOSES = {
     "option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"},
@@ -40,12 +44,12 @@ _REFERENCES = {"form": "action", "link": "href"}
 
 # --- End of fixed values --------------------------------------------------------------
 
-_ELEMENT = pa.struct([
-    ("ord", pa.int32()), ("last_ord", pa.int32()), ("parent_ord", pa.int32()), ("form_ord", pa.int32()),
-    ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-    ("target", pa.string()), ("hosts", pa.list_(pa.int32())), ("inert", pa.bool_()),
-    ("start", pa.int32()), ("size", pa.int32()),
-])
+# Comments and declarations, or a start or end tag; quotes only count after an equals sign.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""",
+    re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s]*+)))?+""")
+
 ELEMENTS = ("array<struct<ord int, last_ord int, parent_ord int, form_ord int, tag string, "
             "attrs map<string,string>, text string, target string, hosts array<int>, inert boolean, "
             "start int, size int>>")
@@ -58,97 +62,127 @@ def _join(base: str, reference: str) -> str | None:
         return None
 
 
-class _Elements(HTMLParser):
-    """Collects the elements of one page; `last_ord` closes each element's subtree interval."""
-
-    def __init__(self, wants_text, url):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.wants_text = [], [], wants_text
-        self.line_starts = [0]
-        self.base, self.based = url or "", False
-
-    def _target(self, tag, attrs):
-        reference = attrs.get(_REFERENCES.get(tag), "").strip()
-        return _join(self.base, reference) if reference else None
-
-    def read(self, page: str):
-        self.line_starts.extend(m.end() for m in re.finditer("\n", page))
-        try:
-            self.feed(page)
-            self.close()
-        except AssertionError:  # markup the parser refuses: the page counts as unreadable
-            return None
-        self._pop_to(0)
-        return self.rows
-
-    def _pop_to(self, depth: int):
-        last = len(self.rows) - 1
-        for row in self.open[depth:]:
-            row["last_ord"] = last
-        del self.open[depth:]
-
-    def _close_implied(self, tag: str):
-        closes = _CLOSES.get(tag, ())
-        while self.open and self.open[-1]["tag"] in closes:
-            self._pop_to(len(self.open) - 1)
+def _attributes(text: str) -> dict[str, str]:
+    named: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(text):
+        value = double or single or bare
+        named.setdefault(name.lower(), unescape(value) if "&" in value else value)  # the first one counts
+    return named
+
+
+class _ElementBatch:
+    """Element columns of a batch of pages; positions are relative to each page."""
+
+    def __init__(self, wants_text):
+        self.wants_text = wants_text
+        self.offsets, self.absent = [0], []
+        self.last, self.parent, self.form, self.tag, self.text, self.target = [], [], [], [], [], []
+        self.hosts, self.inert, self.start, self.size = [], [], [], []
+        self.names, self.values, self.attr_offsets = [], [], [0]
+
+    def add(self, page: str | None, url: str | None) -> None:
+        if page is not None:
+            self._read(page, url or "")
+        self.absent.append(page is None)
+        self.offsets.append(len(self.tag))
+
+    def _close(self, open_: list, depth: int, last: int) -> None:
+        for ord_, _, parts in open_[depth:]:
+            self.last[self.offsets[-1] + ord_] = last
+            if parts is not None:
+                self.text[self.offsets[-1] + ord_] = "".join(parts)
+        del open_[depth:]
+
+    def _close_implied(self, open_: list, tag: str, last: int) -> None:
+        closes = _CLOSES.get(tag)
+        while closes and open_ and open_[-1][1] in closes:
+            self._close(open_, len(open_) - 1, last)
         if tag in _ENDS_PARAGRAPH:
-            for depth in range(len(self.open) - 1, -1, -1):
-                name = self.open[depth]["tag"]
-                if name == "p":
-                    self._pop_to(depth)
-                    break
-                if name in _PARAGRAPH_SCOPE:
-                    break
-
-    def handle_starttag(self, tag, attrs):
-        self._close_implied(tag)
-        parent = self.open[-1] if self.open else None
-        form = parent["form_ord"] if parent else None
-        if tag == "form" and form is not None:
-            return  # nested forms are dropped
-        named = {}
-        for name, value in attrs:
-            named.setdefault(name, value or "")
-        hosts, inert = (parent["hosts"], parent["inert"]) if parent else ([], False)
-        if parent and parent["tag"] == "template":
-            if "shadowrootmode" in parent["attrs"]:
-                hosts = [*hosts, parent["parent_ord"] if parent["parent_ord"] is not None else -1]
-            else:
-                inert = True
-        if tag == "base" and "href" in named and not self.based:
-            self.base, self.based = _join(self.base, named["href"].strip()) or self.base, True
-        line, column = self.getpos()
-        ord_ = len(self.rows)
-        row = {"ord": ord_, "last_ord": ord_, "parent_ord": parent["ord"] if parent else None,
-               "form_ord": ord_ if tag == "form" else form, "tag": tag, "attrs": named,
-               "text": [] if self.wants_text(tag, named) else None,
-               "target": self._target(tag, named), "hosts": hosts, "inert": inert,
-               "start": self.line_starts[line - 1] + column, "size": len(self.get_starttag_text())}
-        self.rows.append(row)
-        if tag not in _VOID:
-            self.open.append(row)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # the slash means nothing on HTML elements
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] == tag:
-                self._pop_to(depth)
-                return
-
-    def handle_data(self, data):
-        for row in self.open:
-            if row["text"] is not None:
-                row["text"].append(data)
-
-
-def _to_arrow(pages: list[list[dict] | None]) -> pa.Array:
-    for page in pages:
-        for row in page or ():
-            row["text"] = None if row["text"] is None else "".join(row["text"])
-            row["attrs"] = list(row["attrs"].items())
-    return pa.array(pages, pa.list_(_ELEMENT))
+            for depth in range(len(open_) - 1, -1, -1):
+                if open_[depth][1] == "p":
+                    self._close(open_, depth, last)
+                elif open_[depth][1] not in _PARAGRAPH_SCOPE:
+                    continue
+                break
+
+    def _take_text(self, open_: list, text: str) -> None:
+        for _, _, parts in open_:
+            if parts is not None:
+                parts.append(text)
+
+    def _read(self, page: str, base: str) -> None:
+        first, open_, at, based = self.offsets[-1], [], 0, False  # open_: (ord, tag, text parts)
+        while token := _TOKEN.search(page, at):
+            if token.start() > at and any(o[2] is not None for o in open_):
+                self._take_text(open_, unescape(page[at:token.start()]))
+            at, last = token.end(), len(self.tag) - first - 1
+            slash, tag, rest = token.groups()
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if slash:
+                for depth in range(len(open_) - 1, -1, -1):
+                    if open_[depth][1] == tag:
+                        self._close(open_, depth, last)
+                        break
+                continue
+            self._close_implied(open_, tag, last)
+            parent = open_[-1][0] if open_ else None
+            form = self.form[first + parent] if open_ else None
+            if tag == "form" and form is not None:
+                continue  # nested forms are dropped
+            ord_, attrs = last + 1, _attributes(rest) if rest else {}
+            hosts, inert = (self.hosts[first + parent], self.inert[first + parent]) if open_ else ([], False)
+            if open_ and open_[-1][1] == "template":
+                low, high = self.attr_offsets[first + parent], self.attr_offsets[first + parent + 1]
+                if "shadowrootmode" in self.names[low:high]:
+                    host = self.parent[first + parent]
+                    hosts = [*hosts, -1 if host is None else host]
+                else:
+                    inert = True
+            if tag == "base" and "href" in attrs and not based:
+                base, based = _join(base, attrs["href"].strip()) or base, True
+            reference = attrs.get(_REFERENCES[tag], "").strip() if tag in _REFERENCES else ""
+            parts = [] if self.wants_text(tag, attrs) else None
+            self.last.append(ord_)
+            self.parent.append(parent)
+            self.form.append(ord_ if tag == "form" else form)
+            self.tag.append(tag)
+            self.text.append(None if parts is None else "")
+            self.target.append(_join(base, reference) if reference else None)
+            self.hosts.append(hosts)
+            self.inert.append(inert)
+            self.start.append(token.start())
+            self.size.append(at - token.start())
+            self.names.extend(attrs.keys())
+            self.values.extend(attrs.values())
+            self.attr_offsets.append(len(self.names))
+            if tag in _VOID:
+                continue
+            open_.append((ord_, tag, parts))
+            if tag in _RAW or tag in _ESCAPABLE_RAW:
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                stop = end.start() if end else len(page)
+                text = page[at:stop]
+                self._take_text(open_, unescape(text) if tag in _ESCAPABLE_RAW else text)
+                at = stop
+        if at < len(page):
+            self._take_text(open_, unescape(page[at:]))
+        self._close(open_, 0, len(self.tag) - first - 1)
+
+    def to_arrow(self) -> pa.Array:
+        ords = [i for low, high in zip(self.offsets, self.offsets[1:]) for i in range(high - low)]
+        attrs = pa.MapArray.from_arrays(pa.array(self.attr_offsets, pa.int32()), pa.array(self.names, pa.string()),
+                                        pa.array(self.values, pa.string()))
+        ints = {"ord": ords, "last_ord": self.last, "parent_ord": self.parent, "form_ord": self.form}
+        columns = {name: pa.array(values, pa.int32()) for name, values in ints.items()}
+        columns |= {
+            "tag": pa.array(self.tag, pa.string()), "attrs": attrs, "text": pa.array(self.text, pa.string()),
+            "target": pa.array(self.target, pa.string()), "hosts": pa.array(self.hosts, pa.list_(pa.int32())),
+            "inert": pa.array(self.inert, pa.bool_()), "start": pa.array(self.start, pa.int32()),
+            "size": pa.array(self.size, pa.int32())}
+        rows = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), rows, mask=pa.array(self.absent, pa.bool_()))
 
 
 def element_array(html: Column, url: Column, text_tags: tuple[str, ...] = ("option", "textarea"),
@@ -160,18 +194,21 @@ def element_array(html: Column, url: Column, text_tags: tuple[str, ...] = ("opti
     address of forms and links, ``<base href>`` respected.  ``ord`` is the array index,
     ``last_ord`` the index of the last descendant, ``hosts`` the enclosing shadow hosts,
     ``inert`` marks plain template content, ``start`` and ``size`` locate the start tag.
-    Null pages, and pages the parser refuses, give null.
+    Null pages give null.
     """
     def wants_text(tag, attrs):
-        return (tag in text_tags or attrs.get("role") in text_roles
-                or any(c in attrs.get("class", "") for c in text_classes))
+        return (tag in text_tags or (text_roles and attrs.get("role") in text_roles)
+                or (text_classes and "class" in attrs and any(c in attrs["class"] for c in text_classes)))
 
     @F.arrow_udf(ELEMENTS)
     def parse(pages: pa.Array, urls: pa.Array) -> pa.Array:
-        return _to_arrow([None if page is None else _Elements(wants_text, at).read(page)
-                          for page, at in zip(pages.to_pylist(), urls.to_pylist())])
+        batch = _ElementBatch(wants_text)
+        for page, at in zip(pages.to_pylist(), urls.to_pylist()):
+            batch.add(page, at)
+        return batch.to_arrow()
 
-    return parse(html, url)
+    # Marked so that a filter on the result does not make Catalyst parse a page twice.
+    return parse.asNondeterministic()(html, url)
 
 
 # Fixed pattern: which ``url(...)`` count as relative.

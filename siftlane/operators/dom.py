@@ -57,17 +57,23 @@ def _or_null(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once; lambdas do not share subexpressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _subtree(el: Column) -> Column:
     return F.slice(F.col("els"), el["ord"] + 2, el["last_ord"] - el["ord"])
 
 
 def _hits(els: Column, test) -> Column:
     """Matching live elements: light tree first, then shadow content by host."""
-    found = F.filter(els, lambda e: ~e["inert"] & test(e))
-    keyed = F.transform(found, lambda e: F.struct(e["hosts"].alias("hosts"), e["ord"].alias("ord"), e.alias("e")))
-    # Page order already is hit order unless shadow content is present.
-    return F.when(F.exists(found, lambda e: F.size(e["hosts"]) > 0),
-                  F.transform(F.array_sort(keyed, _by_hosts_then_ord), lambda k: k["e"])).otherwise(found)
+    def in_hit_order(found: Column) -> Column:
+        # Page order already is hit order unless shadow content is present.
+        return F.when(F.exists(found, lambda e: F.size(e["hosts"]) > 0),
+                      F.array_sort(found, _by_hosts_then_ord)).otherwise(found)
+
+    return _let(F.filter(els, lambda e: ~e["inert"] & test(e)), in_hit_order)
 
 
 def _by_hosts_then_ord(a: Column, b: Column) -> Column:
@@ -101,34 +107,38 @@ def _options(select: Column) -> Column:
                            _attr(o, "disabled").isNotNull().alias("disabled")))
     many = _attr(select, "multiple").isNotNull()
     shown_rows = F.coalesce(F.try_to_number(_attr(select, "size"), F.lit("99999")), F.lit(1))
-    spots = F.transform(raw, lambda o, i: F.struct(i.alias("i"), o["marked"].alias("m"), o["disabled"].alias("d")))
-    last_marked = F.array_max(F.transform(F.filter(spots, lambda s: s["m"]), lambda s: s["i"]))
-    first_enabled = F.when(shown_rows <= 1, F.array_min(
-        F.transform(F.filter(spots, lambda s: ~s["d"]), lambda s: s["i"])))
-    chosen = F.coalesce(last_marked, first_enabled, F.lit(-1))
-    return F.transform(raw, lambda o, i: F.struct(
-        o["value"].alias("value"), o["text"].alias("text"),
-        F.when(many, o["marked"]).otherwise(i == chosen).alias("selected")))
+
+    def chosen(options: Column) -> Column:
+        spots = F.transform(options, lambda o, i: F.when(o["marked"], i))
+        enabled = F.transform(options, lambda o, i: F.when(~o["disabled"], i))
+        return F.coalesce(F.array_max(spots), F.when(shown_rows <= 1, F.array_min(enabled)), F.lit(-1))
+
+    def shown(options: Column, choice: Column) -> Column:
+        return F.transform(options, lambda o, i: F.struct(
+            o["value"].alias("value"), o["text"].alias("text"),
+            F.when(many, o["marked"]).otherwise(i == choice).alias("selected")))
+
+    return _let(raw, lambda options: _let(chosen(options), lambda choice: shown(options, choice)))
 
 
 def _field(e: Column) -> Column:
-    typ = _field_type(e)
-    ticked = typ.isin("checkbox", "radio")
-    is_select = e["tag"] == "select"
-    options = F.when(is_select, _options(e))
-    stated = F.coalesce(_attr(e, "value"), F.lit(""))
-    value = (F.when(ticked, F.coalesce(_attr(e, "value"), F.lit("on")))
-             .when(is_select, F.lit(None).cast("string"))
-             .when(e["tag"] == "textarea", F.regexp_replace(F.coalesce(e["text"], F.lit("")), r"\A\r?\n", ""))
-             .otherwise(stated))
-    return F.struct(
-        e["ord"].alias("ord"), e["tag"].alias("tag"), typ.alias("type"),
-        _or_null(_attr(e, "name")).alias("name"), _or_null(_attr(e, "id")).alias("id"),
-        _or_null(_attr(e, "placeholder")).alias("placeholder"),
-        (_attr(e, "required").isNotNull() & (e["tag"] != "button")).alias("required"),
-        _attr(e, "disabled").isNotNull().alias("disabled"),
-        options.alias("options"), F.when(is_select, F.size(options)).alias("options_count"),
-        value.alias("value"), F.when(ticked, _attr(e, "checked").isNotNull()).alias("checked"))
+    def built(typ: Column, options: Column) -> Column:
+        ticked, is_select = typ.isin("checkbox", "radio"), e["tag"] == "select"
+        value = (F.when(ticked, F.coalesce(_attr(e, "value"), F.lit("on")))
+                 .when(is_select, F.lit(None).cast("string"))
+                 .when(e["tag"] == "textarea", F.regexp_replace(F.coalesce(e["text"], F.lit("")), r"\A\r?\n", ""))
+                 .otherwise(F.coalesce(_attr(e, "value"), F.lit(""))))
+        return F.struct(
+            e["ord"].alias("ord"), e["tag"].alias("tag"), typ.alias("type"),
+            _or_null(_attr(e, "name")).alias("name"), _or_null(_attr(e, "id")).alias("id"),
+            _or_null(_attr(e, "placeholder")).alias("placeholder"),
+            (_attr(e, "required").isNotNull() & (e["tag"] != "button")).alias("required"),
+            _attr(e, "disabled").isNotNull().alias("disabled"),
+            options.alias("options"), F.when(is_select, F.size(options)).alias("options_count"),
+            value.alias("value"), F.when(ticked, _attr(e, "checked").isNotNull()).alias("checked"))
+
+    parts = F.struct(_field_type(e).alias("type"), F.when(e["tag"] == "select", _options(e)).alias("options"))
+    return _let(parts, lambda p: built(p["type"], p["options"]))
 
 
 def _form_array() -> Column:

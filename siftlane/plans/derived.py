@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.sources.readers import spread
+
 
 def _s(expr: str) -> str:
     return f"CAST({expr} AS STRING)"
@@ -119,11 +121,11 @@ def capture_of(events: DataFrame) -> DataFrame:
 
 
 def event_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_of(table(spark, sf_dir, "events"))
+    return capture_of(spread(table(spark, sf_dir, "events")))
 
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "customer"), FORM_PAGES)
+    return derive(spread(table(spark, sf_dir, "customer")), FORM_PAGES)
 
 
 def stylesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +134,7 @@ def stylesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as traffic: assistants answer, everyone else asks; bodies are word lists."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         F.concat(F.lit("c"), "conv_id").alias("session_id"), F.col("turn").alias("seq"),
         F.concat(F.lit("r"), "turn").alias("request_id"),
         F.when(F.col("role") == "assistant", "response").otherwise("request").alias("kind"),

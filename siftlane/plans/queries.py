@@ -28,6 +28,7 @@ from siftlane.operators.ordered import changed_only, first_n, with_index
 from siftlane.plans import derived as V
 from siftlane.profiles import MEDIA_EXTENSIONS, NOISE_FRAGMENTS, STATIC_EXTENSIONS, TRACKER_DOMAINS
 from siftlane.session import cut_lineage
+from siftlane.sources import spread
 from siftlane.sinks.writers import endpoint_map_rows, openapi_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,7 +230,7 @@ def client_spec_v1(spark, sf_dir):
 
 @query
 def json_leaf_table(spark, sf_dir):
-    rows = V.table(spark, sf_dir, "events").select("event_id", F.col("props").alias("body"))
+    rows = spread(V.table(spark, sf_dir, "events").select("event_id", F.col("props").alias("body")))
     return json_leaves(rows).select("event_id", _long("ord"), "path", "typ", "value", "root_kind")
 
 
@@ -345,21 +346,21 @@ def base_injected(spark, sf_dir):
 
 @query
 def link_catalog(spark, sf_dir):
-    parsed = D.page_elements(V.table(spark, sf_dir, "pages"), ("a",), (), ())
+    parsed = D.page_elements(spread(V.table(spark, sf_dir, "pages")), ("a",), (), ())
     links = D.link_catalog(parsed)
     return (links.groupBy("page_id", "id", "label").agg(F.count("*").alias("n")))
 
 
 @query
 def picker_by_class(spark, sf_dir):
-    parsed = D.page_elements(V.table(spark, sf_dir, "pages"), (), (), ("ad",))
+    parsed = D.page_elements(spread(V.table(spark, sf_dir, "pages")), (), (), ("ad",))
     return D.custom_pickers(parsed, (), ("ad",)).select(
         "page_id", _long("index"), "tag", "class_name", "current_text")
 
 
 @query
 def element_counts(spark, sf_dir):
-    parsed = D.page_elements(V.table(spark, sf_dir, "pages"), (), (), ())
+    parsed = D.page_elements(spread(V.table(spark, sf_dir, "pages")), (), (), ())
     rows = D.elements(parsed).where(F.col("tag").isin("a", "div", "article", "li", "nav", "style", "script", "title"))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
@@ -406,7 +407,7 @@ def dropdown_catalog(spark, sf_dir):
 
 def _frames(spark, sf_dir):
     """Customer pages as the frames of one page per nation."""
-    customers = V.table(spark, sf_dir, "customer")
+    customers = spread(V.table(spark, sf_dir, "customer"))
     return V.derive(customers, {**V.FORM_PAGES, "page_id": "CAST(c_custkey % 97 AS BIGINT)", "session_id": "c_mktsegment",
                                 "frame_index": "c_custkey"})
 

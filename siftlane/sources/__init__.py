@@ -2,10 +2,10 @@
 
 from siftlane.sources.readers import (
     read_calls, read_capture, read_html_files, read_listeners, read_mutations, read_pages,
-    read_storage, read_stylesheets, stream_capture, stream_pages,
+    read_storage, read_stylesheets, spread, stream_capture, stream_pages,
 )
 
 __all__ = [
     "read_calls", "read_capture", "read_html_files", "read_listeners", "read_mutations",
-    "read_pages", "read_storage", "read_stylesheets", "stream_capture", "stream_pages",
+    "read_pages", "read_storage", "read_stylesheets", "spread", "stream_capture", "stream_pages",
 ]

@@ -13,6 +13,15 @@ from pyspark.sql import types as T
 from siftlane import schemas
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before per-row Python work.
+
+    A large input has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
