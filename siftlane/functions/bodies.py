@@ -68,22 +68,25 @@ _json_facts = _json_facts.asNondeterministic()  # keeps Catalyst from evaluating
 
 def _leaf_udf(max_items: int, types: tuple[str, ...] | None):
     @F.arrow_udf(_LEAVES)
-    def leaves(texts: pa.Array) -> pa.Array:
+    def leaves(texts: pa.Array, latest: pa.Array) -> pa.Array:
         offsets, ords, paths, kinds, values, roots = [0], [], [], [], [], []
-        for text in texts.to_pylist():
+        for text, only_latest in zip(texts.to_pylist(), latest.to_pylist()):
             ok, parsed = _parse(text)
             if ok:
                 root = _KINDS.get(type(parsed), "null")
+                found = []
                 for ord_, (path, leaf) in enumerate(walk_leaves(parsed, max_items)):
                     kind = _KINDS.get(type(leaf), "null")
-                    if types is not None and kind not in types:
-                        continue
+                    if types is None or kind in types:
+                        found.append((ord_, path, kind, None if leaf is None else leaf if kind == "string"
+                                      else json.dumps(leaf)))
+                if only_latest:
+                    found = list({row[3]: row for row in found}.values())
+                for ord_, path, kind, value in found:
                     ords.append(ord_)
                     paths.append(_printable(path))
                     kinds.append(kind)
-                    values.append(None if leaf is None
-                                  else _printable(leaf) if kind == "string"
-                                  else json.dumps(leaf))
+                    values.append(value and _printable(value))
                     roots.append(root)
             offsets.append(len(ords))
         rows = pa.StructArray.from_arrays(
@@ -114,9 +117,13 @@ def json_facts(text: Column) -> Column:
     return _json_facts(maybe_json(text))
 
 
-def leaf_array(text: Column, max_items: int = 10, types: tuple[str, ...] | None = None) -> Column:
-    """Array of leaves ``(ord, path, typ, value, root_kind)`` in document order."""
-    return _leaf_udf(max_items, types)(text)
+def leaf_array(text: Column, max_items: int = 10, types: tuple[str, ...] | None = None,
+               latest: Column | None = None) -> Column:
+    """Array of leaves ``(ord, path, typ, value, root_kind)`` in document order.
+
+    Where ``latest`` is true, only the last leaf of each value is kept.
+    """
+    return _leaf_udf(max_items, types)(text, F.lit(False) if latest is None else latest)
 
 
 def _canonical_udf(indent: int | None):

@@ -13,14 +13,14 @@ from siftlane.profiles import CaptureProfile, profile_of
 ENDPOINT = ["session_id", "method", "path"]
 
 
-def _selected(events: DataFrame, kind: str, profile: CaptureProfile) -> DataFrame:
+def _test(kind: str, profile: CaptureProfile) -> Column:
     """Cheap filters on plain columns: they reach the scan and precede any parsing."""
     test = (F.col("kind") == kind) & P.of_type(F.col("resource_type"), profile.resource_types)
     if profile.drop_preflight:
         test &= P.not_preflight(F.col("method"))
     if kind == "request" and profile.noise_fragments:
         test &= ~P.is_noise(F.col("url"), profile.noise_fragments)
-    return events.where(test)
+    return test
 
 
 def _parse_eligible(profile: CaptureProfile) -> Column:
@@ -36,25 +36,46 @@ def _with_endpoint(events: DataFrame, profile: CaptureProfile) -> DataFrame:
             .withColumn("path", endpoint_path(F.col("url"), profile.empty_path)))
 
 
+def _prepared(events: DataFrame, test: Column, p: CaptureProfile) -> DataFrame:
+    return _with_endpoint(events.where(test), p).withColumn("parse", _parse_eligible(p))
+
+
 def requests(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Logged requests with endpoint key; adds ``parse`` (body may be read as JSON)."""
     p = profile_of(profile)
-    return (_with_endpoint(_selected(events, "request", p), p)
-            .withColumn("parse", _parse_eligible(p)).drop("status"))
+    return _prepared(events, _test("request", p), p)
 
 
 def responses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Responses with the endpoint key of their request; noise URLs stay in."""
     p = profile_of(profile)
-    return (_with_endpoint(_selected(events, "response", p), p)
-            .withColumn("parse", _parse_eligible(p)))
+    return _prepared(events, _test("response", p), p)
+
+
+def both_sides(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
+    """Requests and responses in one scan; ``kind`` tells them apart."""
+    p = profile_of(profile)
+    return _prepared(events, _test("request", p) | _test("response", p), p)
 
 
 def with_json_facts(df: DataFrame) -> DataFrame:
-    """Add ``json_kind`` and ``json_truthy``; both null unless the body parses."""
+    """Add ``json_kind`` and ``json_truthy``; both null unless the body parses.
+
+    Whatever reaches this is parsed: filter and pick first.
+    """
     facts = df.withColumn("__facts", json_facts(F.when(F.col("parse"), F.col("body"))))
     return (facts.withColumn("json_kind", F.col("__facts.kind"))
-            .withColumn("json_truthy", F.col("__facts.truthy")).drop("__facts"))
+            .withColumn("json_truthy", F.coalesce(F.col("__facts.truthy"), F.lit(False))).drop("__facts"))
+
+
+def fetch(picks: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Wide columns for picked events.
+
+    Operators choose events on narrow rows and bring bodies and headers in here.  The key
+    ``(session_id, seq)`` is unique, so no key is hot; AQE broadcasts the picks if they turn
+    out small, and then the wide side is scanned without a shuffle.
+    """
+    return picks.join(rows.select("session_id", "seq", *columns), ["session_id", "seq"])
 
 
 def pair_responses(events: DataFrame) -> DataFrame:
@@ -90,4 +111,4 @@ def network_log(events: DataFrame, profile: str | CaptureProfile = "v2", drop_bl
     return with_json_facts(logged).select(
         "session_id", "seq", "ts", "method", "url", path_or_root(url_path(F.col("url"))).alias("path"),
         headers.alias("headers"), "body",
-        F.coalesce(F.col("json_truthy"), F.lit(False)).alias("body_is_json"), "block_reason")
+        F.col("json_truthy").alias("body_is_json"), "block_reason")

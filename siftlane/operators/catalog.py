@@ -1,20 +1,22 @@
 """Endpoint catalog: one row per (session, method, path), host and query ignored.
 
-Every aggregate is reduced on the map side before its shuffle, so an endpoint that owns a
-third of the traffic sends a handful of rows per task: partial ``min_by`` for the first
-event, ``WindowGroupLimit`` for the first-N samples, partial distinct for statuses.  The
-final joins run between already aggregated tables that share one hash partitioning.
+Everything is chosen on narrow rows first (keys, positions, flags) and wide columns are
+fetched once for the events chosen.  Choosing is reduced on the map side before its shuffle,
+so an endpoint that owns a third of the traffic sends a handful of rows per task: partial
+``min`` and ``max`` on BIGINT buffers (hash aggregation), ``WindowGroupLimit`` for the first-N
+samples.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.functions import predicates as P
 from siftlane.functions import text as X
-from siftlane.functions.bodies import json_facts
-from siftlane.operators.capture import ENDPOINT, requests, responses, with_json_facts
+from siftlane.operators.capture import ENDPOINT, both_sides, fetch, requests, responses, with_json_facts
 from siftlane.operators.ordered import first_n
 from siftlane.profiles import CaptureProfile, profile_of
 
@@ -22,17 +24,32 @@ from siftlane.profiles import CaptureProfile, profile_of
 SALTS = 32
 
 
+def first_seen(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
+    """Endpoint keys with ``first_seq``, the position of their first request."""
+    return requests(events, profile).groupBy(*ENDPOINT).agg(F.min("seq").alias("first_seq"))
+
+
 def endpoints(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """First sighting of each endpoint: ``first_seq`` with the URL and headers of that request."""
-    return (requests(events, profile).groupBy(*ENDPOINT)
-            .agg(F.min("seq").alias("first_seq"),
-                 F.min_by(F.struct("url", "headers"), "seq").alias("__first"))
-            .select(*ENDPOINT, "first_seq", "__first.url", "__first.headers"))
+    first = first_seen(events, profile).withColumn("seq", F.col("first_seq"))
+    return fetch(first, requests(events, profile), ["url", "headers"]).drop("seq")
 
 
-def first_seen(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
-    """Endpoint keys with ``first_seq`` only; narrow, hash aggregated."""
-    return requests(events, profile).groupBy(*ENDPOINT).agg(F.min("seq").alias("first_seq"))
+def sample_picks(events: DataFrame, profile: str | CaptureProfile = "v2", n: int | None = None) -> DataFrame:
+    """Positions of the first-N sample payloads: ``(endpoint, seq, rank)``.
+
+    Where any body is a sample, none is parsed here.
+    """
+    p = profile_of(profile)
+    bodies = requests(events, p).where("parse")
+    if not p.raw_text_samples:
+        # A body under a JSON type counts as its raw text if it does not parse.
+        bodies = with_json_facts(bodies).where(F.col("json_kind").isNull() | F.col("json_truthy"))
+    return first_n(bodies.select(*ENDPOINT, "seq"), ENDPOINT, ["seq"], n or p.sample_limit, rank="rank")
+
+
+def _payload_kind():
+    return F.when(F.col("json_truthy"), F.col("json_kind")).otherwise(F.lit("text"))
 
 
 def sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2", n: int | None = None) -> DataFrame:
@@ -40,41 +57,47 @@ def sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2", n: int
 
     ``kind`` is the JSON kind, or ``text`` where the sample is the raw text.
     """
-    p = profile_of(profile)
-    parsed = with_json_facts(requests(events, p).where("parse"))
-    truthy = F.coalesce(F.col("json_truthy"), F.lit(False))
-    if not p.raw_text_samples:
-        parsed = parsed.where(F.col("json_kind").isNull() | truthy)
-    samples = parsed.select(*ENDPOINT, "seq", "body",
-                            F.when(truthy, F.col("json_kind")).otherwise(F.lit("text")).alias("kind"))
-    return first_n(samples, ENDPOINT, ["seq"], n or p.sample_limit, rank="rank")
+    picks = sample_picks(events, profile, n)
+    found = with_json_facts(fetch(picks, requests(events, profile), ["body", "parse"]))
+    return found.select(*ENDPOINT, "seq", "rank", "body", _payload_kind().alias("kind"))
 
 
-def attached_statuses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
-    """Distinct statuses per endpoint, as rows.
+def status_positions(both: DataFrame) -> DataFrame:
+    """``(endpoint, first_seq, seen)`` with the last position of each status in ``seen``."""
+    is_request = F.col("kind") == "request"
+    per_status = (both.where(is_request | F.col("status").isNotNull())
+                  .groupBy(*ENDPOINT, F.when(~is_request, F.col("status")).alias("status"))
+                  .agg(F.min(F.when(is_request, F.col("seq"))).alias("asked"),
+                       F.max(F.when(~is_request, F.col("seq"))).alias("answered")))
+    return (per_status.groupBy(*ENDPOINT)
+            .agg(F.min("asked").alias("first_seq"),
+                 F.collect_list(F.when(F.col("status").isNotNull(), F.struct("status", "answered"))).alias("seen"))
+            .where(F.col("first_seq").isNotNull()))
+
+
+def endpoint_statuses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
+    """``(endpoint, first_seq, response_statuses)`` in one pass over both sides.
 
     A status counts if one of its responses came after the endpoint's first request, which
-    holds iff its last response did.  Both sides are aggregated before they meet.
+    holds iff its last response did.  The list collected has one entry per status.
     """
-    last = (responses(events, profile).where(F.col("status").isNotNull())
-            .groupBy(*ENDPOINT, "status").agg(F.max("seq").alias("last_seq")))
-    return (last.join(first_seen(events, profile), ENDPOINT)
-            .where(F.col("last_seq") >= F.col("first_seq"))
-            .select(*ENDPOINT, "status"))
+    folded = status_positions(both_sides(events, profile))
+    kept = F.filter("seen", lambda s: s["answered"] >= F.col("first_seq"))
+    return folded.select(*ENDPOINT, "first_seq",
+                         F.sort_array(F.transform(kept, lambda s: s["status"])).alias("response_statuses"))
 
 
-def statuses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
-    return (attached_statuses(events, profile).groupBy(*ENDPOINT)
-            .agg(F.sort_array(F.collect_set("status")).alias("response_statuses")))
+def attached_statuses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
+    """Distinct statuses per endpoint, as rows."""
+    return endpoint_statuses(events, profile).select(*ENDPOINT, F.explode("response_statuses").alias("status"))
 
 
-def response_sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
-    """Response samples as rows ``(endpoint, seq, kind, sample)``.
+def response_picks(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
+    """Positions of the response samples: ``(endpoint, seq, kind)``.
 
     The rule is sequential: a JSON body is kept while fewer than two samples are held, a text
-    (500 characters and an ellipsis) only while none is.  So a text counts iff it is the first
-    response, and JSON bodies fill what is left.  The candidates are found on narrow rows;
-    bodies are fetched for the few that stay.
+    only while none is.  So a text counts iff it is the first response, and JSON bodies fill
+    what is left.
     """
     p = profile_of(profile)
     held = p.response_sample_limit
@@ -85,43 +108,58 @@ def response_sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2"
     known = (facts.join(salted, [*ENDPOINT, "salt"]).where(F.col("seq") >= F.col("first_seq"))
              .select(*ENDPOINT, "seq", "json_kind", F.col("json_kind").isNotNull().alias("is_json")))
     leading = first_n(known, [*ENDPOINT, "is_json"], ["seq"], held, rank="class_rank")
-    ranked = first_n(leading, ENDPOINT, ["seq"], 2 * held, rank="rank")
-    text_first = F.max(F.when((F.col("rank") == 1) & ~F.col("is_json"), 1).otherwise(0))
-    per_endpoint = ranked.groupBy(*ENDPOINT).agg(text_first.alias("text_first"))
-    kept = (ranked.join(per_endpoint, ENDPOINT)
-            .where(F.when(F.col("is_json"), F.col("class_rank") + F.col("text_first") <= held)
-                   .otherwise(F.col("rank") == 1))
-            .select(*ENDPOINT, "seq", F.coalesce("json_kind", F.lit("text")).alias("kind")))
-    bodies = answered.select("session_id", "seq", "body")
-    return (kept.join(bodies, ["session_id", "seq"])
-            .select(*ENDPOINT, "seq", "kind",
-                    F.when(F.col("kind") == "text", X.text_sample(F.col("body"), p.text_sample))
-                    .otherwise(F.col("body")).alias("sample")))
-
-
-def _collected(rows: DataFrame, out: str, *fields: str) -> DataFrame:
-    """Fold at most N sample rows per endpoint into an array in event order."""
-    item = F.struct("seq", *fields)
-    return (rows.groupBy(*ENDPOINT).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-            .select(*ENDPOINT, F.transform("__items", lambda x: F.struct(
-                *[x[f].alias(f) for f in fields])).alias(out)))
+    # At most 2 * held rows per endpoint are left; the lists below hold no more.
+    entry = F.struct("seq", "class_rank", "is_json", "json_kind")
+    lists = leading.groupBy(*ENDPOINT).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    text_first = F.when(F.col("e")[0]["is_json"], 0).otherwise(1)
+    kept = F.filter("e", lambda x, i: F.when(x["is_json"], x["class_rank"] + text_first <= held).otherwise(i == 0))
+    return (lists.select(*ENDPOINT, F.explode(kept).alias("x"))
+            .select(*ENDPOINT, "x.seq", F.coalesce("x.json_kind", F.lit("text")).alias("kind")))
+
+
+def response_sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
+    """Response samples as rows ``(endpoint, seq, kind, sample)``; texts cut at 500 characters."""
+    p = profile_of(profile)
+    found = fetch(response_picks(events, p), responses(events, p), ["body"])
+    return found.select(*ENDPOINT, "seq", "kind", _response_sample(p).alias("sample"))
+
+
+def _response_sample(p: CaptureProfile):
+    return (F.when(F.col("kind") == "text", X.text_sample(F.col("body"), p.text_sample))
+            .otherwise(F.col("body")))
 
 
 def endpoint_catalog(events: DataFrame, profile: str | CaptureProfile = "v2", mask: bool = True) -> DataFrame:
-    """The catalog with samples and statuses; ``first_seq`` gives insertion order."""
+    """The catalog with samples and statuses; ``first_seq`` gives insertion order.
+
+    All picks (first request, samples, response samples) are fetched in one scan.
+    """
     p = profile_of(profile)
-    catalog = endpoints(events, p)
-    if mask:
-        catalog = catalog.withColumn("headers", P.mask_secrets(F.col("headers")))
-    catalog = (catalog
-               .join(_collected(sample_rows(events, p), "sample_payloads", "body", "kind"), ENDPOINT, "left")
-               .join(statuses(events, p), ENDPOINT, "left"))
+    known = endpoint_statuses(events, p)
+    picks = [first_seen(events, p).select(*ENDPOINT, F.col("first_seq").alias("seq"), F.lit("first").alias("role")),
+             sample_picks(events, p).select(*ENDPOINT, "seq", F.lit("sample").alias("role"))]
+    wide = requests(events, p)
     if p.response_sample_limit:
-        catalog = catalog.join(
-            _collected(response_sample_rows(events, p), "response_samples", "sample", "kind"), ENDPOINT, "left")
-    empty = [c for c in ("sample_payloads", "response_statuses", "response_samples") if c in catalog.columns]
-    return catalog.withColumns({c: F.coalesce(F.col(c), F.array().cast(catalog.schema[c].dataType))
-                                for c in empty})
+        picks.append(response_picks(events, p).select(*ENDPOINT, "seq", F.lit("response").alias("role")))
+        wide = both_sides(events, p)
+    found = with_json_facts(fetch(reduce(DataFrame.unionByName, picks), wide, ["url", "headers", "body", "parse"]))
+    kind = F.when(F.col("role") == "response", F.coalesce("json_kind", F.lit("text"))).otherwise(_payload_kind())
+    headers = P.mask_secrets(F.col("headers")) if mask else F.col("headers")
+    first = F.when(F.col("role") == "first", F.struct("url", headers.alias("headers")))
+
+    def listed(role: str, **fields):
+        item = F.struct("seq", *[c.alias(name) for name, c in fields.items()])
+        return F.array_sort(F.collect_list(F.when(F.col("role") == role, item)))
+
+    lists = [listed("sample", body=F.col("body"), kind=F.col("kind")).alias("__samples")]
+    if p.response_sample_limit:
+        lists.append(listed("response", sample=_response_sample(p), kind=F.col("kind")).alias("__responses"))
+    folded = found.withColumn("kind", kind).groupBy(*ENDPOINT).agg(F.any_value(first, True).alias("__first"), *lists)
+    columns = [*ENDPOINT, "first_seq", "__first.url", "__first.headers", "response_statuses",
+               F.transform("__samples", lambda s: s.dropFields("seq")).alias("sample_payloads")]
+    if p.response_sample_limit:
+        columns.append(F.transform("__responses", lambda s: s.dropFields("seq")).alias("response_samples"))
+    return known.join(folded, ENDPOINT).select(*columns)
 
 
 def client_spec(catalog: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
@@ -138,8 +176,3 @@ def client_spec(catalog: DataFrame, profile: str | CaptureProfile = "v2") -> Dat
             .select("session_id", "first_seq", "fn_name", "method", "url",
                     P.clean_headers(F.col("headers")).alias("headers"), body.alias("body"),
                     (F.col("__n") > 1).alias("name_clash")))
-
-
-def body_value(body, parse):
-    """``struct(kind, truthy)`` of a body column under a parse flag; for ad hoc projections."""
-    return json_facts(F.when(parse, body))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlane.operators.leaves import request_leaves, response_leaves
+from siftlane.operators.leaves import capture_leaves
 from siftlane.operators.ordered import BLOCK, asof_last, first_n, with_index
 from siftlane.profiles import CaptureProfile, profile_of
 
@@ -47,29 +47,36 @@ def asof_match(consumers: DataFrame, producers: DataFrame, key: Sequence[str], p
             .withColumn(origin, F.col("__found")).drop("__found", _SIDE))
 
 
-def latest_per_event(leaves: DataFrame) -> DataFrame:
-    """Within one response the later leaf of a value wins: one origin per (token, event)."""
-    return (leaves.groupBy("session_id", "token", "seq")
-            .agg(F.max_by(F.struct("endpoint", "field_path"), "ord").alias("origin")))
-
-
-def value_lineage(req_leaves: DataFrame, resp_leaves: DataFrame, block: int = BLOCK,
-                  carry: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def value_lineage(leaves: DataFrame, block: int = BLOCK, carry_from: DataFrame | None = None) -> DataFrame:
     """Every use of a known value: edge columns with the position ``(seq, ord)`` of the use.
 
-    ``carry`` optionally holds the same two leaf tables for the sessions that reach past one
-    block.
+    ``leaves`` has both sides (``capture_leaves``).  A use sees producers of smaller ``seq``
+    only; of those the last one counts, and within one response its last leaf.  ``carry_from``
+    optionally holds the leaves of the sessions that reach past one block.
     """
-    if carry is not None:
-        carry = (carry[0], latest_per_event(carry[1]))
-    found = asof_match(req_leaves, latest_per_event(resp_leaves), ["session_id", "token"],
-                       block=block, carry=carry)
-    return found.select(
+    def with_origin(df: DataFrame) -> DataFrame:
+        origin = F.when(F.col("side") == 1, F.struct("endpoint", "field_path"))
+        return df.withColumn("origin", origin)
+
+    found = asof_last(with_origin(leaves), ["session_id", "token"], "seq", "origin", "source", ["side", "ord"],
+                      block, None if carry_from is None else with_origin(carry_from))
+    return found.where((F.col("side") == 0) & F.col("source").isNotNull()).select(
         "session_id", "seq", "ord",
-        F.col("origin.endpoint").alias("source_endpoint"), F.col("origin.field_path").alias("source_field"),
+        F.col("source.endpoint").alias("source_endpoint"), F.col("source.field_path").alias("source_field"),
         F.col("endpoint").alias("consumer_endpoint"), F.col("field_path").alias("consumer_field"))
 
 
+def lineage_uses(events: DataFrame, profile: str | CaptureProfile = "v2", block: int = BLOCK) -> DataFrame:
+    """All uses in a capture log, in one scan unless a session reaches past one block.
+
+    Which sessions do is known from two plain columns, without parsing.  With none, AQE sees
+    an empty build side and drops the carry branch.
+    """
+    long_sessions = events.where(F.abs("seq") >= block).select("session_id").distinct()
+    lasting = events.join(long_sessions, "session_id", "left_semi")
+    return value_lineage(capture_leaves(events, profile), block, capture_leaves(lasting, profile))
+
+
 def distinct_edges(matches: DataFrame, edge_limit: int | None = None) -> DataFrame:
     """Distinct edges with their first use; at most ``edge_limit`` per session if given."""
     # One decimal holds (seq, ord), so this stays a hash aggregate; a struct would be sorted.
@@ -83,13 +90,7 @@ def distinct_edges(matches: DataFrame, edge_limit: int | None = None) -> DataFra
 def lineage_edges(events: DataFrame, profile: str | CaptureProfile = "v2", block: int = BLOCK) -> DataFrame:
     """Distinct lineage edges of a capture log under a profile."""
     p = profile_of(profile)
-    # Which sessions reach past one block is known from two plain columns, without parsing.
-    # With none, AQE sees an empty build side and drops the whole carry branch.
-    long_sessions = events.where(F.abs("seq") >= block).select("session_id").distinct()
-    lasting = events.join(long_sessions, "session_id", "left_semi")
-    matches = value_lineage(request_leaves(events, p), response_leaves(events, p), block,
-                            (request_leaves(lasting, p), response_leaves(lasting, p)))
-    return distinct_edges(matches, p.edge_limit)
+    return distinct_edges(lineage_uses(events, p, block), p.edge_limit)
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """API description folded from observed traffic.
 
 Two flat tables come first: the last truthy request payload per endpoint and the last
-response per (endpoint, status).  Both are ``max_by`` folds with a partial step.  The nested
-form is one JSON text per (session, path), never one per session: a session with millions of
-paths stays millions of rows.
+response per (endpoint, status).  Both pick positions with partial ``max`` on narrow rows,
+fetch the picked bodies and parse only those.  The nested form is one JSON text per (session,
+path), never one per session: a session with millions of paths stays millions of rows.
 """
 
 from __future__ import annotations
@@ -12,43 +12,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.functions import text as X
-from siftlane.operators.capture import ENDPOINT, requests, responses, with_json_facts
-from siftlane.operators.catalog import first_seen
+from siftlane.operators.capture import ENDPOINT, both_sides, fetch, requests, responses, with_json_facts
+from siftlane.operators.catalog import status_positions
 from siftlane.profiles import CaptureProfile, profile_of
 
 
 def openapi_requests(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """One row per endpoint: ``first_seq`` and the last truthy payload.
 
-    ``content_type``, ``example`` and ``example_kind`` are null without a payload.
+    ``content_type``, ``example`` and ``example_kind`` are null without a payload.  Falsy JSON
+    counts as its raw text, so any non-empty body is a payload.
     """
-    parsed = with_json_facts(requests(events, profile).select(*ENDPOINT, "seq", "body", "parse"))
-    truthy = F.coalesce(F.col("json_truthy"), F.lit(False))
-    kind = F.when(truthy, F.col("json_kind")).otherwise(F.lit("text"))
-    payload = F.struct(X.request_content_type(kind).alias("content_type"),
-                       F.col("body").alias("example"), kind.alias("example_kind"))
+    asked = requests(events, profile)
     has_payload = F.coalesce(F.col("body"), F.lit("")) != ""
-    return (parsed.groupBy(*ENDPOINT)
-            .agg(F.min("seq").alias("first_seq"),
-                 F.max_by(payload, F.when(has_payload, F.col("seq"))).alias("__payload"))
-            .select(*ENDPOINT, "first_seq", "__payload.*"))
+    known = asked.groupBy(*ENDPOINT).agg(
+        F.min("seq").alias("first_seq"), F.max(F.when(has_payload, F.col("seq"))).alias("payload_seq"))
+    last = known.where(F.col("payload_seq").isNotNull()).select(*ENDPOINT, F.col("payload_seq").alias("seq"))
+    found = with_json_facts(fetch(last, asked, ["body", "parse"]))
+    kind = F.when(F.col("json_truthy"), F.col("json_kind")).otherwise(F.lit("text"))
+    payload = found.select(*ENDPOINT, X.request_content_type(kind).alias("content_type"),
+                           F.col("body").alias("example"), kind.alias("example_kind"))
+    return (known.join(payload, ENDPOINT, "left")
+            .select(*ENDPOINT, "first_seq", "content_type", "example", "example_kind"))
 
 
 def openapi_responses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """One row per (endpoint, status): the last response, if it came after the endpoint's
     first request.  Other responses of that status cannot matter: the last one is the latest."""
     p = profile_of(profile)
-    parsed = with_json_facts(responses(events, p).where(F.col("body").isNotNull() & F.col("status").isNotNull())
-                             .select(*ENDPOINT, "seq", "status", "body", "parse"))
+    answered = F.col("body").isNotNull() | (F.col("kind") == "request")
+    seen = status_positions(both_sides(events, p).where(answered))
+    last = (seen.select(*ENDPOINT, F.explode(F.filter("seen", lambda s: s["answered"] >= F.col("first_seq"))).alias("s"))
+            .select(*ENDPOINT, "s.status", F.col("s.answered").alias("seq")))
+    found = with_json_facts(fetch(last, responses(events, p), ["body", "parse"]))
     kind = F.coalesce(F.col("json_kind"), F.lit("text"))
     example = F.when(kind == "text", F.substring("body", 1, p.text_sample)).otherwise(F.col("body"))
-    answer = F.struct(X.response_content_type(kind).alias("content_type"),
-                      example.alias("example"), kind.alias("example_kind"))
-    last = (parsed.groupBy(*ENDPOINT, "status")
-            .agg(F.max("seq").alias("last_seq"), F.max_by(answer, "seq").alias("__answer")))
-    return (last.join(first_seen(events, p), ENDPOINT)
-            .where(F.col("last_seq") >= F.col("first_seq"))
-            .select(*ENDPOINT, F.col("status").cast("string").alias("status"), "__answer.*"))
+    return found.select(*ENDPOINT, F.col("status").cast("string").alias("status"),
+                        X.response_content_type(kind).alias("content_type"),
+                        example.alias("example"), kind.alias("example_kind"))
 
 
 def json_example(example: Column, kind: Column) -> Column:

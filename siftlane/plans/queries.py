@@ -247,9 +247,7 @@ def response_tokens(spark, sf_dir):
 @query
 def value_lineage(spark, sf_dir):
     """Words of a user turn that an earlier assistant turn used: all uses."""
-    chat = V.chat_capture(spark, sf_dir)
-    return (L.value_lineage(request_leaves(chat, "v2"), response_leaves(chat, "v2"))
-            .withColumn("ord", _long("ord")))
+    return L.lineage_uses(V.chat_capture(spark, sf_dir), "v2").withColumn("ord", _long("ord"))
 
 
 @query
@@ -267,8 +265,7 @@ def lineage_one_session(spark, sf_dir):
     """All traffic as a single session: every use of a value, tokens shared by thousands of
     events, and more than one block of positions at the larger scales."""
     events = V.event_capture(spark, sf_dir).withColumn("session_id", F.lit("all"))
-    uses = L.value_lineage(request_leaves(events, "v2"), response_leaves(events, "v2"), block=4096)
-    return uses.withColumn("ord", _long("ord"))
+    return L.lineage_uses(events, "v2", block=4096).withColumn("ord", _long("ord"))
 
 
 @query
