@@ -1,14 +1,13 @@
 """Filters on capture events, as boolean columns.
 
-Short constant lists become an OR of ``contains`` / ``endswith``: on a bare column
-these reach the parquet reader as pushed filters, while ``exists`` over an array does not.
+Lists of fragments become one regular expression of quoted literals.  An OR of ``contains``
+would repeat its operand per fragment, and where that is itself an expression (the host of a
+URL) code generation evaluates it again each time.
 """
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,19 +15,27 @@ from pyspark.sql import functions as F
 from siftlane.functions.urls import url_host, url_path
 
 
-def any_of(tests: Iterable[Column]) -> Column:
-    return reduce(operator.or_, tests, F.lit(False))
+def _literals(texts: Iterable[str]) -> str:
+    return "(?:" + "|".join(f"\\Q{t}\\E" for t in texts) + ")"
+
+
+def contains_any(text: Column, fragments: Iterable[str]) -> Column:
+    fragments = list(fragments)
+    return text.rlike(_literals(fragments)) if fragments else F.lit(False)
+
+
+def ends_with_any(text: Column, endings: Iterable[str]) -> Column:
+    endings = list(endings)
+    return text.rlike(_literals(endings) + r"\z") if endings else F.lit(False)
 
 
 def is_tracker(url: Column, domains: Iterable[str]) -> Column:
     """Host contains a listed domain (substring, as the capture rule says)."""
-    host = url_host(F.lower(url))
-    return any_of(host.contains(d) for d in domains)
+    return contains_any(url_host(F.lower(url)), domains)
 
 
 def is_static(url: Column, extensions: Iterable[str]) -> Column:
-    path = url_path(F.lower(url))
-    return any_of(path.endswith(e) for e in extensions)
+    return ends_with_any(url_path(F.lower(url)), extensions)
 
 
 def block_reason(url: Column, domains: Iterable[str], extensions: Iterable[str]) -> Column:
@@ -39,7 +46,7 @@ def block_reason(url: Column, domains: Iterable[str], extensions: Iterable[str])
 
 def is_noise(url: Column, fragments: Iterable[str]) -> Column:
     """URL contains a listed fragment (case-sensitive)."""
-    return any_of(url.contains(f) for f in fragments)
+    return contains_any(url, fragments)
 
 
 def of_type(resource_type: Column, types: Iterable[str]) -> Column:

@@ -30,31 +30,40 @@ def _parse_eligible(profile: CaptureProfile) -> Column:
     return eligible
 
 
-def _with_endpoint(events: DataFrame, profile: CaptureProfile) -> DataFrame:
-    return (events.withColumn("raw_method", F.col("method"))
-            .withColumn("method", F.upper("method"))
-            .withColumn("path", endpoint_path(F.col("url"), profile.empty_path)))
+def _prepared(events: DataFrame, test: Column, p: CaptureProfile) -> DataFrame:
+    return events.where(test).withColumns({
+        "method": F.upper("method"), "path": endpoint_path(F.col("url"), p.empty_path), "parse": _parse_eligible(p)})
 
 
-def _prepared(events: DataFrame, test: Column, p: CaptureProfile) -> DataFrame:
-    return _with_endpoint(events.where(test), p).withColumn("parse", _parse_eligible(p))
+def _is_prepared(events: DataFrame) -> bool:
+    return {"path", "parse"} <= set(events.columns)
 
 
 def requests(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Logged requests with endpoint key; adds ``parse`` (body may be read as JSON)."""
     p = profile_of(profile)
+    if _is_prepared(events):
+        return events.where(F.col("kind") == "request")
     return _prepared(events, _test("request", p), p)
 
 
 def responses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Responses with the endpoint key of their request; noise URLs stay in."""
     p = profile_of(profile)
+    if _is_prepared(events):
+        return events.where(F.col("kind") == "response")
     return _prepared(events, _test("response", p), p)
 
 
 def both_sides(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
-    """Requests and responses in one scan; ``kind`` tells them apart."""
+    """Requests and responses in one scan; ``kind`` tells them apart.
+
+    The result can be passed wherever operators take ``events`` with the same profile; it is
+    not prepared again then.
+    """
     p = profile_of(profile)
+    if _is_prepared(events):
+        return events
     return _prepared(events, _test("request", p) | _test("response", p), p)
 
 
@@ -64,8 +73,9 @@ def with_json_facts(df: DataFrame) -> DataFrame:
     Whatever reaches this is parsed: filter and pick first.
     """
     facts = df.withColumn("__facts", json_facts(F.when(F.col("parse"), F.col("body"))))
-    return (facts.withColumn("json_kind", F.col("__facts.kind"))
-            .withColumn("json_truthy", F.coalesce(F.col("__facts.truthy"), F.lit(False))).drop("__facts"))
+    return facts.withColumns({
+        "json_kind": F.col("__facts.kind"),
+        "json_truthy": F.coalesce(F.col("__facts.truthy"), F.lit(False))}).drop("__facts")
 
 
 def fetch(picks: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -31,8 +31,9 @@ def first_seen(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataF
 
 def endpoints(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """First sighting of each endpoint: ``first_seq`` with the URL and headers of that request."""
-    first = first_seen(events, profile).withColumn("seq", F.col("first_seq"))
-    return fetch(first, requests(events, profile), ["url", "headers"]).drop("seq")
+    asked = requests(events, profile)
+    first = first_seen(asked, profile).withColumn("seq", F.col("first_seq"))
+    return fetch(first, asked, ["url", "headers"]).drop("seq")
 
 
 def sample_picks(events: DataFrame, profile: str | CaptureProfile = "v2", n: int | None = None) -> DataFrame:
@@ -57,8 +58,8 @@ def sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2", n: int
 
     ``kind`` is the JSON kind, or ``text`` where the sample is the raw text.
     """
-    picks = sample_picks(events, profile, n)
-    found = with_json_facts(fetch(picks, requests(events, profile), ["body", "parse"]))
+    asked = requests(events, profile)
+    found = with_json_facts(fetch(sample_picks(asked, profile, n), asked, ["body", "parse"]))
     return found.select(*ENDPOINT, "seq", "rank", "body", _payload_kind().alias("kind"))
 
 
@@ -100,6 +101,7 @@ def response_picks(events: DataFrame, profile: str | CaptureProfile = "v2") -> D
     what is left.
     """
     p = profile_of(profile)
+    events = both_sides(events, p)
     held = p.response_sample_limit
     answered = responses(events, p).where(F.col("body").isNotNull())
     facts = with_json_facts(answered).select(*ENDPOINT, "seq", "json_kind").withColumn(
@@ -120,6 +122,7 @@ def response_picks(events: DataFrame, profile: str | CaptureProfile = "v2") -> D
 def response_sample_rows(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Response samples as rows ``(endpoint, seq, kind, sample)``; texts cut at 500 characters."""
     p = profile_of(profile)
+    events = both_sides(events, p)
     found = fetch(response_picks(events, p), responses(events, p), ["body"])
     return found.select(*ENDPOINT, "seq", "kind", _response_sample(p).alias("sample"))
 
@@ -135,13 +138,14 @@ def endpoint_catalog(events: DataFrame, profile: str | CaptureProfile = "v2", ma
     All picks (first request, samples, response samples) are fetched in one scan.
     """
     p = profile_of(profile)
+    events = both_sides(events, p)
     known = endpoint_statuses(events, p)
     picks = [first_seen(events, p).select(*ENDPOINT, F.col("first_seq").alias("seq"), F.lit("first").alias("role")),
              sample_picks(events, p).select(*ENDPOINT, "seq", F.lit("sample").alias("role"))]
-    wide = requests(events, p)
+    wide = requests(events, p)  # v1 picks nothing else
     if p.response_sample_limit:
         picks.append(response_picks(events, p).select(*ENDPOINT, "seq", F.lit("response").alias("role")))
-        wide = both_sides(events, p)
+        wide = events
     found = with_json_facts(fetch(reduce(DataFrame.unionByName, picks), wide, ["url", "headers", "body", "parse"]))
     kind = F.when(F.col("role") == "response", F.coalesce("json_kind", F.lit("text"))).otherwise(_payload_kind())
     headers = P.mask_secrets(F.col("headers")) if mask else F.col("headers")

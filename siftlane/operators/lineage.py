@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlane.operators.capture import both_sides
 from siftlane.operators.leaves import capture_leaves
 from siftlane.operators.ordered import BLOCK, asof_last, first_n, with_index
 from siftlane.profiles import CaptureProfile, profile_of
@@ -72,6 +73,7 @@ def lineage_uses(events: DataFrame, profile: str | CaptureProfile = "v2", block:
     Which sessions do is known from two plain columns, without parsing.  With none, AQE sees
     an empty build side and drops the carry branch.
     """
+    events = both_sides(events, profile)
     long_sessions = events.where(F.abs("seq") >= block).select("session_id").distinct()
     lasting = events.join(long_sessions, "session_id", "left_semi")
     return value_lineage(capture_leaves(events, profile), block, capture_leaves(lasting, profile))
@@ -96,7 +98,7 @@ def lineage_edges(events: DataFrame, profile: str | CaptureProfile = "v2", block
 def edge_lines(edges: DataFrame) -> DataFrame:
     """Flow-chart line per edge, ``(session_id, ord, line)``; fresh nodes for every edge.
 
-    Numbering reads the edges more than once: pass a stored table (``cut_lineage`` makes one).
+    Numbering reads the edges more than once: pass a stored table (``session.stored`` makes one).
     """
     # first_at is unique per session only with its tie columns; sort by all of them.
     numbered = with_index(edges, ["session_id"], "first_seq", "ord", 0, ["first_at", *_EDGE[1:]])

@@ -40,8 +40,9 @@ def openapi_responses(events: DataFrame, profile: str | CaptureProfile = "v2") -
     """One row per (endpoint, status): the last response, if it came after the endpoint's
     first request.  Other responses of that status cannot matter: the last one is the latest."""
     p = profile_of(profile)
+    events = both_sides(events, p)
     answered = F.col("body").isNotNull() | (F.col("kind") == "request")
-    seen = status_positions(both_sides(events, p).where(answered))
+    seen = status_positions(events.where(answered))
     last = (seen.select(*ENDPOINT, F.explode(F.filter("seen", lambda s: s["answered"] >= F.col("first_seq"))).alias("s"))
             .select(*ENDPOINT, "s.status", F.col("s.answered").alias("seq")))
     found = with_json_facts(fetch(last, responses(events, p), ["body", "parse"]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.session import stored
 from siftlane.sources.readers import spread
 
 
@@ -120,8 +121,19 @@ def capture_of(events: DataFrame) -> DataFrame:
                        "resource_type", "method", "url", headers.alias("headers"), "body", "status")
 
 
+_CAPTURES: dict[tuple[str, str], DataFrame] = {}
+
+
 def event_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_of(spread(table(spark, sf_dir, "events")))
+    """The capture log of ``events``, written to the shared folder on first use in a session.
+
+    A capture log is a stored table: without the copy every filter of a query would run on
+    the derivation's expressions instead of on columns.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CAPTURES:
+        _CAPTURES[key] = stored(capture_of(spread(table(spark, sf_dir, "events"))), "capture")
+    return _CAPTURES[key]
 
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

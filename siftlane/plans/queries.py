@@ -22,12 +22,12 @@ from siftlane.operators import offline as O
 from siftlane.operators import openapi as A
 from siftlane.operators import report as R
 from siftlane.operators import trace as T
-from siftlane.operators.capture import network_log, pair_responses, requests, responses
+from siftlane.operators.capture import both_sides, network_log, pair_responses
 from siftlane.operators.leaves import json_leaves, request_leaves, response_leaves
 from siftlane.operators.ordered import changed_only, first_n, with_index
 from siftlane.plans import derived as V
 from siftlane.profiles import MEDIA_EXTENSIONS, NOISE_FRAGMENTS, STATIC_EXTENSIONS, TRACKER_DOMAINS
-from siftlane.session import cut_lineage
+from siftlane.session import stored
 from siftlane.sources import spread
 from siftlane.sinks.writers import endpoint_map_rows, openapi_lines
 
@@ -285,7 +285,7 @@ def order_lineage(spark, sf_dir):
 
 @query
 def edge_chart(spark, sf_dir):
-    return L.edge_lines(cut_lineage(L.lineage_edges(V.event_capture(spark, sf_dir), "v2")))
+    return L.edge_lines(stored(L.lineage_edges(V.event_capture(spark, sf_dir), "v2")))
 
 
 # --- API description and report -------------------------------------------------------
@@ -312,7 +312,7 @@ def openapi_last_write(spark, sf_dir):
 
 @query
 def openapi_documents(spark, sf_dir):
-    events = V.event_capture(spark, sf_dir)
+    events = both_sides(V.event_capture(spark, sf_dir), "v2")
     lines = openapi_lines(A.openapi_requests(events, "v2"), A.openapi_responses(events, "v2"), "Captured API")
     return lines.select("session_id", _long("section"), _long("ord"), "line")
 
@@ -328,7 +328,8 @@ def report_lines(spark, sf_dir):
     events = V.event_capture(spark, sf_dir)
     meta = (events.groupBy("session_id").agg(F.lit("https://api.example.com").alias("target"))
             .withColumn("generated", F.lit("2024-01-01T00:00:00")))
-    edges = cut_lineage(L.lineage_edges(events, "v1"))
+    events = both_sides(events, "v1")
+    edges = stored(L.lineage_edges(events, "v1"))
     rows = R.report_rows(C.endpoint_catalog(events, "v1"), edges, meta)
     return rows.select("session_id", _long("section"), "ord", "line")
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", app: str = "siftlane") -> SparkSession:
     """A local session with the settings the operators expect."""
@@ -22,18 +25,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as on a laptop, a temporary folder takes its place.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="siftlane-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="siftlane-")
+    return _LOCAL_DIRS[spark.sparkContext.applicationId]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a table that several later branches read, so that it is computed once.
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several later branches read to the shared folder and read it back.
 
-    Uses ``checkpoint()`` in the shared folder, so a lost executor costs nothing.
+    The copy is columnar, so branches prune and push down, and it outlives lost executors.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(ensure_checkpoint_dir(spark))
-    return df.checkpoint()
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/siftlane/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
