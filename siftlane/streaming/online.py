@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftlane.functions.text import content_hash
-from siftlane.operators.capture import ENDPOINT, requests, responses, with_json_facts
-from siftlane.operators.leaves import request_leaves, response_leaves
+from siftlane.operators.capture import ENDPOINT, both_sides, requests, with_json_facts
+from siftlane.operators.leaves import capture_leaves
 from siftlane.profiles import CaptureProfile, profile_of
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,9 +74,7 @@ def lineage_stream(events: DataFrame, profile: str | CaptureProfile = "v2", ttl_
 
     ``ttl_ms`` forgets producers not renewed for that long (default: never).
     """
-    asked = request_leaves(events, profile).withColumn("side", F.lit(0))
-    given = response_leaves(events, profile).withColumn("side", F.lit(1))
-    return (asked.unionByName(given).groupBy("session_id", "token")
+    return (capture_leaves(events, profile).groupBy("session_id", "token")
             .transformWithStateInPandas(_LastOrigin(ttl_ms), outputStructType=_EDGE_SCHEMA,
                                         outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"))
 
@@ -84,17 +82,15 @@ def lineage_stream(events: DataFrame, profile: str | CaptureProfile = "v2", ttl_
 def catalog_stream(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Endpoints with first URL and statuses, for update mode.
 
-    Aggregates combine on the map side, so hot endpoints are no concern.  ``statuses`` maps
-    each status to its last event; those below ``first_seq`` do not count (``attached``).
+    One row per endpoint and status (null for its requests) with the last response of that
+    status; ``settle_catalog`` folds them.  Aggregates combine on the map side, so hot
+    endpoints are no concern.
     """
-    p = profile_of(profile)
-    asked = requests(events, p).select(*ENDPOINT, F.col("seq").alias("asked_seq"), "url",
-                                       F.lit(None).cast("int").alias("status"), F.lit(None).cast("long").alias("seq"))
-    given = responses(events, p).select(*ENDPOINT, F.lit(None).cast("long").alias("asked_seq"),
-                                        F.lit(None).cast("string").alias("url"), "status", "seq")
-    return (asked.unionByName(given).groupBy(*ENDPOINT, "status")
-            .agg(F.min("asked_seq").alias("first_seq"), F.min_by("url", "asked_seq").alias("url"),
-                 F.max("seq").alias("last_seq")))
+    is_request = F.col("kind") == "request"
+    asked = F.when(is_request, F.col("seq"))
+    return (both_sides(events, profile).groupBy(*ENDPOINT, F.when(~is_request, F.col("status")).alias("status"))
+            .agg(F.min(asked).alias("first_seq"), F.min_by("url", asked).alias("url"),
+                 F.max(F.when(~is_request, F.col("seq"))).alias("last_seq")))
 
 
 def settle_catalog(rows: DataFrame) -> DataFrame:
@@ -120,11 +116,13 @@ class _FirstN(StatefulProcessor):
         used = self.count.get()[0] if self.count.exists() else 0
         if used >= self.n:
             return
-        first = pd.DataFrame(columns=self.columns)
-        for chunk in rows:  # only the best n rows of the batch are ever held
-            first = pd.concat([first, chunk[self.columns]]).nsmallest(self.n - used, "seq")
+        first = None
+        for chunk in rows:  # only the first n rows of the batch are ever held
+            chunk = chunk[self.columns]
+            first = chunk if first is None else pd.concat([first, chunk])
+            first = first.sort_values("seq").head(self.n - used)
         self.count.update((used + len(first),))
-        yield first.astype({"seq": "int64"})
+        yield first
 
     def close(self) -> None:
         pass
@@ -139,12 +137,11 @@ def first_samples_stream(events: DataFrame, profile: str | CaptureProfile = "v2"
     """
     p = profile_of(profile)
     parsed = with_json_facts(requests(events, p).where("parse"))
-    truthy = F.coalesce(F.col("json_truthy"), F.lit(False))
     if not p.raw_text_samples:
-        parsed = parsed.where(F.col("json_kind").isNull() | truthy)
+        parsed = parsed.where(F.col("json_kind").isNull() | F.col("json_truthy"))
     columns = [*ENDPOINT, "seq", "body", "kind"]
     samples = parsed.select(*ENDPOINT, "seq", "body",
-                            F.when(truthy, F.col("json_kind")).otherwise(F.lit("text")).alias("kind"),
+                            F.when(F.col("json_truthy"), F.col("json_kind")).otherwise(F.lit("text")).alias("kind"),
                             F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("salt"))
     schema = "session_id string, method string, path string, seq long, body string, kind string"
 
