@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.session import stored
-from siftlane.sources.readers import spread
+from siftlane.session import store
+from siftlane.sources.readers import read_capture, spread
 
 
 def _s(expr: str) -> str:
@@ -121,21 +121,25 @@ def capture_of(events: DataFrame) -> DataFrame:
                        "resource_type", "method", "url", headers.alias("headers"), "body", "status")
 
 
-_CAPTURES: dict[tuple[str, str], DataFrame] = {}
+_CAPTURES: dict[tuple[str, str], str] = {}
 
 
-def event_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capture log of ``events``, written to the shared folder on first use in a session.
+def event_capture_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the capture log of ``events`` is stored; written on first use in a session.
 
     A capture log is a stored table: without the copy every filter of a query would run on
     the derivation's expressions instead of on columns.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CAPTURES:
-        _CAPTURES[key] = stored(capture_of(spread(table(spark, sf_dir, "events"))), "capture")
+        _CAPTURES[key] = store(capture_of(spread(table(spark, sf_dir, "events"))), "capture")
     return _CAPTURES[key]
 
 
+def event_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_capture(spark, event_capture_path(spark, sf_dir), "parquet")
+
+
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spread(table(spark, sf_dir, "customer")), FORM_PAGES)
 

@@ -378,10 +378,11 @@ ORACLES["dropdown_catalog"] = """
   UNION ALL SELECT c_custkey, 'k0', c_custkey || '=Z' FROM customer
   UNION ALL SELECT c_custkey, 'k1', 'A=A' FROM customer WHERE c_custkey % 2 = 1"""
 ORACLES["snapshot_totals"] = """
-  SELECT c_mktsegment AS session_id, c_custkey % 97 AS page_id, count(*) AS frames, count(*) AS forms, count(*) AS pickers
+  SELECT c_mktsegment AS session_id, c_custkey // 4 AS page_id, count(*) AS frames, count(*) AS forms, count(*) AS pickers
   FROM customer GROUP BY ALL"""
 ORACLES["dom_snapshots"] = """
-  SELECT c_mktsegment AS session_id, c_custkey % 97 AS page_id, string_agg(c_custkey || ':f' || c_custkey, ';' ORDER BY c_custkey) AS frames
+  SELECT c_mktsegment AS session_id, c_custkey // 4 AS page_id,
+    string_agg((c_custkey % 4) || ':f' || c_custkey, ';' ORDER BY c_custkey) AS frames
   FROM customer GROUP BY ALL"""
 ORACLES["inlined_css"] = f"""
   WITH p AS ({_derived(FORM_PAGES, 'customer')}), c AS (SELECT c_custkey, c_nationkey, n_name FROM customer
@@ -429,3 +430,6 @@ ORACLES["text_digests"] = """
   SELECT doc_id, substr(text, 1, 500) || '...' AS sample, md5(text) AS md5, sha1(text) AS sha1 FROM documents"""
 ORACLES["cookie_values"] = """
   SELECT event_id, CAST(event_id AS STRING) AS uid, event_type AS kind, props || '=x' AS raw FROM events"""
+ORACLES["stream_catalog"] = _with("v2", _ATTACHED, _STATUS_LISTS) + """
+  SELECT session_id, method, path, url, first_seq, coalesce(statuses, 'None') AS statuses
+  FROM firsts LEFT JOIN lists USING (session_id, method, path)"""

@@ -28,8 +28,9 @@ from siftlane.operators.ordered import changed_only, first_n, with_index
 from siftlane.plans import derived as V
 from siftlane.profiles import MEDIA_EXTENSIONS, NOISE_FRAGMENTS, STATIC_EXTENSIONS, TRACKER_DOMAINS
 from siftlane.session import stored
-from siftlane.sources import spread
+from siftlane.sources import spread, stream_capture
 from siftlane.sinks.writers import endpoint_map_rows, openapi_lines
+from siftlane.streaming.online import catalog_stream, drain, settle_catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -265,7 +266,7 @@ def lineage_one_session(spark, sf_dir):
     """All traffic as a single session: every use of a value, tokens shared by thousands of
     events, and more than one block of positions at the larger scales."""
     events = V.event_capture(spark, sf_dir).withColumn("session_id", F.lit("all"))
-    return L.lineage_uses(events, "v2", block=4096).withColumn("ord", _long("ord"))
+    return L.lineage_uses(events, "v2").withColumn("ord", _long("ord"))
 
 
 @query
@@ -404,10 +405,10 @@ def dropdown_catalog(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    """Customer pages as the frames of one page per nation."""
+    """Customer pages as the frames of pages: four neighbouring customers make one page."""
     customers = spread(V.table(spark, sf_dir, "customer"))
-    return V.derive(customers, {**V.FORM_PAGES, "page_id": "CAST(c_custkey % 97 AS BIGINT)", "session_id": "c_mktsegment",
-                                "frame_index": "c_custkey"})
+    return V.derive(customers, {**V.FORM_PAGES, "page_id": "CAST(floor(c_custkey / 4) AS BIGINT)", "session_id": "c_mktsegment",
+                                "frame_index": "c_custkey % 4"})
 
 
 @query
@@ -452,21 +453,21 @@ def page_change(spark, sf_dir):
 @query
 def user_state_changes(spark, sf_dir):
     events = V.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return changed_only(events, ["user_id"], "event_id", "event_type", block=4096)
+    return changed_only(events, ["user_id"], "event_id", "event_type")
 
 
 @query
 def feed_changes(spark, sf_dir):
     """One key that holds every row: the change feed of all events."""
     events = V.table(spark, sf_dir, "events").select(F.lit("feed").alias("feed"), "event_id", "event_type")
-    return changed_only(events, ["feed"], "event_id", "event_type", block=1024).select("event_id", "event_type")
+    return changed_only(events, ["feed"], "event_id", "event_type").select("event_id", "event_type")
 
 
 @query
 def event_index(spark, sf_dir):
     """Rank of every event in one global order and within its type."""
     events = V.table(spark, sf_dir, "events").select(F.lit("feed").alias("feed"), "event_id", "event_type")
-    ranked = with_index(events, ["feed"], "event_id", "position", block=1024)
+    ranked = with_index(events, ["feed"], "event_id", "position")
     return with_index(ranked, ["event_type"], "event_id", "type_position").drop("feed")
 
 
@@ -515,3 +516,21 @@ def cookie_values(spark, sf_dir):
     cookies = X.cookie_map(jar)
     return V.table(spark, sf_dir, "events").select(
         "event_id", cookies["uid"].alias("uid"), cookies["kind"].alias("kind"), cookies["raw"].alias("raw"))
+
+
+# --- Streams --------------------------------------------------------------------------
+
+
+@query
+def stream_catalog(spark, sf_dir):
+    """The catalog as a stream over the stored capture log, folded to its final state.
+
+    Its aggregates do not depend on arrival order, so it equals the batch result however the
+    source cuts its micro-batches.
+    """
+    feed = stream_capture(spark, V.event_capture_path(spark, sf_dir), "parquet")
+    key = ["session_id", "method", "path", "status"]
+    updates = drain(catalog_stream(feed, "v2"), "update")
+    current = updates.groupBy(*key).agg(F.max_by(F.struct("first_seq", "url", "last_seq"), "batch").alias("r"))
+    final = settle_catalog(current.select(*key, "r.*"))
+    return final.select("session_id", "method", "path", "url", "first_seq", X.status_text(F.col("response_statuses")).alias("statuses"))

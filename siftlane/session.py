@@ -27,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a temporary folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
@@ -37,11 +37,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[spark.sparkContext.applicationId]
 
 
+def store(df: DataFrame, name: str = "table") -> str:
+    """Write a table to a new place in the shared folder and return its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/siftlane/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table that several later branches read to the shared folder and read it back.
+    """Store a table that several later branches read, and read it back.
 
     The copy is columnar, so branches prune and push down, and it outlives lost executors.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/siftlane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))

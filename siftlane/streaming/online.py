@@ -9,17 +9,20 @@ answer, and both agree when events arrive in order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftlane.functions.text import content_hash
 from siftlane.operators.capture import ENDPOINT, both_sides, requests, with_json_facts
 from siftlane.operators.leaves import capture_leaves
 from siftlane.profiles import CaptureProfile, profile_of
+from siftlane.session import ensure_checkpoint_dir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SALTS = 32
@@ -30,6 +33,23 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source holds now and read back what it put out.
+
+    Every micro-batch goes to the shared folder with its number in ``batch``.
+    """
+    place = f"{ensure_checkpoint_dir(stream.sparkSession)}/siftlane/drained-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/out/batch={number}")  # a replay overwrites
+
+    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state")
+             .foreachBatch(keep).trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return stream.sparkSession.read.schema(schema).parquet(f"{place}/out")
+
+
 def drop_late(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop events later than the watermark, and replays of an event within it."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "seq"])

@@ -9,7 +9,7 @@ from siftlane.operators import catalog as C
 from siftlane.operators.lineage import lineage_uses
 from siftlane.operators.ordered import changed_only
 from siftlane.sources import stream_capture, stream_pages
-from siftlane.streaming.online import settle_catalog
+from siftlane.streaming import drain, settle_catalog
 
 from events import frame, random_events
 
@@ -33,34 +33,21 @@ def feed(spark, tmp_path_factory):
     return str(folder), frame(spark, rows)
 
 
-def drain(spark, stream, tmp_path, mode="append"):
-    """Run a stream over what is there, one file per micro-batch, and read what came out."""
-    out = str(tmp_path / "out")
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "state"))
-             .foreachBatch(keep).trigger(availableNow=True).start())
-    assert query.awaitTermination(300)
-    return spark.read.parquet(out)
-
-
 def rows_of(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-def test_lineage_stream_equals_batch(spark, feed, tmp_path):
+def test_lineage_stream_equals_batch(spark, feed):
     folder, batch = feed
-    got = drain(spark, streaming.lineage_stream(stream_capture(spark, folder, files_per_batch=1), "v2"), tmp_path)
+    got = drain(streaming.lineage_stream(stream_capture(spark, folder, files_per_batch=1), "v2"))
     want = lineage_uses(batch, "v2")
     assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
     assert got.select("batch").distinct().count() > 1
 
 
-def test_catalog_stream_equals_batch(spark, feed, tmp_path):
+def test_catalog_stream_equals_batch(spark, feed):
     folder, batch = feed
-    rows = drain(spark, streaming.catalog_stream(stream_capture(spark, folder, files_per_batch=1), "v1"), tmp_path, "update")
+    rows = drain(streaming.catalog_stream(stream_capture(spark, folder, files_per_batch=1), "v1"), "update")
     key = ["session_id", "method", "path", "status"]
     current = (rows.groupBy(*key).agg(F.max_by(F.struct("first_seq", "url", "last_seq"), "batch").alias("r"))
                .select(*key, "r.*"))
@@ -69,10 +56,10 @@ def test_catalog_stream_equals_batch(spark, feed, tmp_path):
     assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
 
 
-def test_first_samples_stream_equals_batch(spark, feed, tmp_path):
+def test_first_samples_stream_equals_batch(spark, feed):
     folder, batch = feed
     stream = streaming.first_samples_stream(stream_capture(spark, folder, files_per_batch=1), "v2")
-    got, want = drain(spark, stream, tmp_path), C.sample_rows(batch, "v2").drop("rank")
+    got, want = drain(stream, tmp_path), C.sample_rows(batch, "v2").drop("rank")
     assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
 
 
@@ -84,15 +71,15 @@ def test_changed_pages_stream_equals_batch(spark, tmp_path):
     rows = [("s", i, f"2024-01-01T00:00:0{i}Z", 0, "https://h/x", html) for i, html in enumerate(states)]
     for i in range(0, len(rows), 2):
         write_at(folder / f"p{i}.json", [json.dumps(dict(zip(names, r))) for r in rows[i:i + 2]], i)
-    got = drain(spark, streaming.changed_pages_stream(stream_pages(spark, str(folder), files_per_batch=1)), tmp_path)
+    got = drain(streaming.changed_pages_stream(stream_pages(spark, str(folder), files_per_batch=1)))
     batch = spark.createDataFrame([(r[0], r[1], r[5]) for r in rows], "session_id string, page_id long, html string")
     want = changed_only(batch, ["session_id"], "page_id", "html")
     assert [r.page_id for r in got.orderBy("page_id").collect()] == [r.page_id for r in want.orderBy("page_id").collect()] == [0, 2, 4]
 
 
-def test_drop_late_removes_replays(spark, feed, tmp_path):
+def test_drop_late_removes_replays(spark, feed):
     folder, batch = feed
     stream = stream_capture(spark, folder, files_per_batch=1).withColumn("ts", F.timestamp_seconds("seq"))
     twice = stream.unionByName(stream_capture(spark, folder, files_per_batch=1).withColumn("ts", F.timestamp_seconds("seq")))
-    got = drain(spark, streaming.drop_late(twice, "1 hour").drop("headers"), tmp_path)
+    got = drain(streaming.drop_late(twice, "1 hour").drop("headers"))
     assert got.count() == batch.count()
