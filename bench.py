@@ -21,6 +21,14 @@ HEADLINE = (
 )
 
 
+def _scale(sf_dir: str) -> float | str:
+    name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main(argv: list[str]) -> None:
     from siftlane.plans import QUERIES
     from siftlane.session import local_session
@@ -45,7 +53,7 @@ def main(argv: list[str]) -> None:
         if every:
             print(f"{name} {timings[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(timings.values()), 3), "unit": "sec",
-                      "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": cpus}))
+                      "queries": timings, "sf": _scale(sf_dir), "cpus": cpus}))
     spark.stop()
 
 

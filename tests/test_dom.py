@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftlane import schemas
 from siftlane.operators import dom as D
 from siftlane.operators import offline as O
 from siftlane.operators.ordered import changed_only
@@ -83,7 +84,7 @@ def test_snapshots_drop_unreadable_frames_and_keep_the_gap(parsed):
 
 
 def test_storage_is_masked_by_default(spark, parsed):
-    storage = spark.createDataFrame([("s", 1, {"k": "v"}, {}, "a=1")], "session_id string, page_id long, local_storage map<string,string>, session_storage map<string,string>, cookies string")
+    storage = spark.createDataFrame([("s", 1, {"k": "v"}, {}, "a=1")], schemas.STORAGE)
     snaps = D.dom_snapshot(D.frame_data(parsed))
     assert D.with_storage(snaps, storage).where("page_id = 1").first().storage.asDict() == {"local_storage": {"k": "***"}, "session_storage": {}, "cookies": "***"}
     assert D.with_storage(snaps, storage, mask=False).where("page_id = 1").first().storage.cookies == "a=1"
