@@ -24,8 +24,8 @@ ORACLES = {
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         p AS (SELECT doc_id, words, unnest(range(len(words) - 19)) AS i FROM w WHERE len(words) >= 20),
         v AS (SELECT doc_id, i, row_number() OVER (PARTITION BY list_slice(words, i + 1, i + 20) ORDER BY doc_id, i) AS n FROM p),
-        gone AS (SELECT DISTINCT doc_id, i + unnest(range(1, 21)) AS at FROM v WHERE n > 1),
-        cut AS (SELECT doc_id, list(at) AS ats FROM gone GROUP BY doc_id)
+        gone AS (SELECT DISTINCT doc_id, i + unnest(range(1, 21)) AS pos FROM v WHERE n > 1),
+        cut AS (SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
                sha256(array_to_string(CASE WHEN ats IS NULL THEN words ELSE
                    [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(ats, i)] END, ' ')) AS kept_sha256
