@@ -135,7 +135,7 @@ def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray
     """Count keys over all chunks.
 
     ``keys_of`` gives a chunk's distinct keys, ascending, and how often the chunk holds each. Returns rows (chunk, kind 0, bucket, answer); a chunk's
-    answers, in the order of buckets, hold the total of each of its keys (uint32; with ``most``, totals above it are stated as ``most``).
+    answers, in the order of buckets, hold the total of each of its keys (uint64; with ``most``, totals above it are stated as ``most``).
     """
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in each_chunk(batches):
@@ -145,7 +145,7 @@ def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray
                                 "keys": [keys[a:b].tobytes() for _, a, b in parts],
                                 "counts": [squeeze(counts[a:b].astype(np.uint32)) for _, a, b in parts]})
 
-    def settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(key, pdf):
         arrays = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
         counts = np.concatenate([expand(c, np.uint32) for c in pdf["counts"]])
         keys = np.concatenate(arrays)
@@ -153,8 +153,8 @@ def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray
         new = np.r_[True, np.diff(keys[order]) != 0]
         group = np.empty(len(keys), np.int64)
         group[order] = np.cumsum(new) - 1
-        total = np.bincount(group, counts)[group]
-        total = np.minimum(total, most or np.iinfo(np.uint32).max).astype(np.uint32)
+        total = np.bincount(group, counts)[group].astype(np.uint64)
+        total = np.minimum(total, np.uint64(most)) if most else total
         cuts = np.cumsum([len(a) for a in arrays])[:-1]
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": 0, "bucket": int(key[0]), "answer": [squeeze(x) for x in np.split(total, cuts)]})
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.llm.lm import stupid_backoff
 from siftlane.llm.substrings import substring_dedup
+from siftlane.llm.suffixes import byte_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_dedup(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_suffix_dedup, op10_lm_scores)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -30,4 +41,16 @@ ORACLES = {
                sha256(array_to_string(CASE WHEN ats IS NULL THEN words ELSE
                    [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(ats, i)] END, ' ')) AS kept_sha256
         FROM w LEFT JOIN cut ON cut.doc_id = w.doc_id""",
+    "op10_lm_scores": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        p AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+        g AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM p),
+        one AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY w, r) AS c1,
+                CASE WHEN v IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY v, w, r) END AS c2,
+                count(*) OVER () - count(*) OVER (PARTITION BY r) AS rest FROM g),
+        two AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS c0 FROM one),
+        s AS (SELECT r, i, c2, CASE WHEN c2 > 0 THEN c2 / c0 WHEN i > 1 THEN 0.4::DOUBLE * ((c1 + 1) / (rest + 1)) ELSE (c1 + 1) / (rest + 1) END AS score FROM two),
+        t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE i > 1 AND c2 = 0) AS b, sum(CAST(round(ln(score) * 1000000) AS BIGINT)) AS micro FROM s GROUP BY r)
+        SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(b, 0) AS n_backoff, coalesce(micro, 0)::DOUBLE / 1000000 AS log_score,
+               (micro::DOUBLE / 1000000) / n AS mean_log_score FROM d LEFT JOIN t USING (r)""",
 }

@@ -83,7 +83,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                              "two": [(two[a:b] >> np.uint64(32)).astype(np.uint32).tobytes() for _, a, b in parts],
                              "whence": [C.squeeze(when[a:b]) for _, a, b in parts]})
 
-    def settle(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(key, pdf):
         ones = [np.frombuffer(x, np.uint64) for x in pdf["one"]]
         sizes = [len(x) for x in ones]
         one = np.concatenate(ones)
@@ -95,7 +95,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         later[order[1:]] = (np.diff(one[order]) == 0) & (np.diff(two[order].astype(np.int64)) == 0)
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": int(key[0]), "answer": [C.squeeze(x) for x in np.split(later, np.cumsum(sizes)[:-1])]})
 
-    sent = C.with_answers(chunks, totals, send, "bucket long, chunk long, one binary, two binary, whence binary", {0: np.uint32})
+    sent = C.with_answers(chunks, totals, send, "bucket long, chunk long, one binary, two binary, whence binary", {0: np.uint64})
     later = sent.groupBy("bucket").applyInPandas(settle, "chunk long, kind int, bucket long, answer binary")
 
     def finish(chunk: C.Chunk, got: dict) -> pd.DataFrame:
@@ -105,7 +105,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         removed = C.covered(p[gone], window, len(doc))
         return pd.DataFrame(_rows(chunk, lens, removed), columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"]).assign(doc_id=chunk.doc_ids())
 
-    return C.with_answers(chunks, totals.unionByName(later), finish, SPANS, {0: np.uint32, 1: np.uint8})
+    return C.with_answers(chunks, totals.unionByName(later), finish, SPANS, {0: np.uint64, 1: np.uint8})
 
 
 def _rows(chunk: C.Chunk, lens: np.ndarray, removed: np.ndarray) -> Iterator[tuple]:
