@@ -11,6 +11,7 @@ A bucket's memory is the keys of a few chunks: the number of buckets follows the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.session import stored
@@ -33,8 +34,8 @@ CHUNKS_PER_BUCKET = 4
 class Chunk:
     """Whole documents in the order of doc_id (null last). ``ids`` are 0 where ``known`` is false; ``data`` is their UTF-8 text, end to end."""
 
-    def __init__(self, number: int, ids: np.ndarray, known: np.ndarray, lens: np.ndarray, data: bytes):
-        self.number, self.ids, self.known, self.lens, self.data = number, ids, known, lens, data
+    def __init__(self, number: int, ids: np.ndarray, known: np.ndarray, lens: np.ndarray, data: bytes, tags: list[str]):
+        self.number, self.ids, self.known, self.lens, self.data, self.tags = number, ids, known, lens, data, tags
         self.ends = np.cumsum(lens)
         self.starts = self.ends - lens
 
@@ -53,53 +54,57 @@ class Chunk:
         return np.where(self.known, self.ids, np.iinfo(np.int64).max)
 
     def pack(self) -> bytes:
-        head = np.array([len(self)], np.int64).tobytes()
-        raw = head + self.ids.tobytes() + self.known.tobytes() + self.lens.tobytes() + self.data
+        tags = json.dumps(self.tags).encode() if any(self.tags) else b""
+        head = np.array([len(self), len(tags)], np.int64).tobytes()
+        raw = head + self.ids.tobytes() + self.known.tobytes() + self.lens.tobytes() + tags + self.data
         return zstandard.ZstdCompressor(level=6).compress(raw)
 
     @staticmethod
     def unpack(number: int, payload: bytes) -> Chunk:
         raw = zstandard.ZstdDecompressor().decompress(payload)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids = np.frombuffer(raw, np.int64, n, 8)
-        known = np.frombuffer(raw, bool, n, 8 + 8 * n)
-        lens = np.frombuffer(raw, np.int64, n, 8 + 9 * n)
-        return Chunk(number, ids, known, lens, raw[8 + 17 * n:])
+        n, tagged = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16 + 17 * n
+        ids = np.frombuffer(raw, np.int64, n, 16)
+        known = np.frombuffer(raw, bool, n, 16 + 8 * n)
+        lens = np.frombuffer(raw, np.int64, n, 16 + 9 * n)
+        return Chunk(number, ids, known, lens, raw[at + tagged:], json.loads(raw[at:at + tagged]) if tagged else [""] * n)
 
 
-def _chunk_of(number: int, ids: list, texts: list[bytes]) -> Chunk:
+def _chunk_of(number: int, ids: list, texts: list[bytes], tags: list[str]) -> Chunk:
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     known = np.array([ids[i] is not None for i in order], bool)
     values = np.array([ids[i] or 0 for i in order], np.int64)
     lens = np.array([len(texts[i]) for i in order], np.int64)
-    return Chunk(number, values, known, lens, b"".join(texts[i] for i in order))
+    return Chunk(number, values, known, lens, b"".join(texts[i] for i in order), [tags[i] for i in order])
 
 
-def packed(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
-    """Store documents as chunks: columns chunk, payload. A null text is an empty one."""
+def packed(docs: DataFrame, limit: int = CHUNK_BYTES, tag: Column | None = None) -> DataFrame:
+    """Store documents as chunks: columns chunk, payload. A null text is an empty one. ``tag`` is a string that stays with each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
         ids: list = []
         texts: list[bytes] = []
+        tags: list[str] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            chunk = _chunk_of(base + made, ids, texts)
+            chunk = _chunk_of(base + made, ids, texts, tags)
             return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk.number], pa.int64()), "payload": pa.array([chunk.pack()], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = (text.as_py() or "").encode()
                 if ids and size + len(text) > limit:
                     yield row()
-                    made, ids, texts, size = made + 1, [], [], 0
+                    made, ids, texts, tags, size = made + 1, [], [], [], 0
                 ids.append(doc_id)
                 texts.append(text)
+                tags.append(own or "")
                 size += len(text)
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "chunk long, payload binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit("") if tag is None else tag).mapInArrow(run, "chunk long, payload binary")
     return stored(rows, "chunks")
 
 

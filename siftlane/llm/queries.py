@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.llm import bpe
+from siftlane.llm.fingerprints import edited_fingerprints
+from siftlane.llm.langid import held_out, identify, train
 from siftlane.llm.lm import stupid_backoff
+from siftlane.llm.mixing import mix
+from siftlane.llm.simhash_covering import near_duplicates
 from siftlane.llm.substrings import substring_dedup
 from siftlane.llm.suffixes import byte_dedup
+from siftlane.llm.tokens import token_counts
+from siftlane.llm.topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +36,47 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_suffix_dedup, op10_lm_scores)}
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    return top_k(rows, rows.where("id % 50 = 0"), k=5, scale=256)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return with_digests(bpe.decode(bpe.encode(docs, path), path)).drop("ids", "decoded")
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), radius=4)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs.where(~held_out())))
+
+
+def with_digests(rows: DataFrame) -> DataFrame:
+    """Digests of token ids (decimal, joined by commas) and of decoded texts."""
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": ids, "decoded_sha256": F.sha2("decoded", 256)})
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_top_k, op3_token_counts, op4_mix, op5_fingerprints, op6_suffix_dedup, op7_bpe,
+                                   op8_near_duplicates, op9_language, op10_lm_scores)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -53,4 +101,11 @@ ORACLES = {
         t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE i > 1 AND c2 = 0) AS b, sum(CAST(round(ln(score) * 1000000) AS BIGINT)) AS micro FROM s GROUP BY r)
         SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(b, 0) AS n_backoff, coalesce(micro, 0)::DOUBLE / 1000000 AS log_score,
                (micro::DOUBLE / 1000000) / n AS mean_log_score FROM d LEFT JOIN t USING (r)""",
+    "op2_top_k": """
+        WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS score
+              FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE n <= 5""",
 }

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlane.llm import chunks as C
 
@@ -111,16 +112,16 @@ def _repeats(entries: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
     return later
 
 
-def byte_dedup(docs: DataFrame, window: int = 100) -> DataFrame:
+def byte_dedup(docs: DataFrame, window: int = 100, tag: Column | None = None) -> DataFrame:
     """Remove every byte covered by a string of ``window`` bytes that also starts earlier; matches never cross documents.
 
     Returns doc_id, n_bytes, n_removed, spans (maximal removed runs, in bytes) and kept (the remaining bytes, which may cut a character). A null text is an
     empty one. A null doc_id comes after all others; rows that repeat a doc_id are told apart by the chunk they lie in, so all but one of them lose
-    what they share. Other columns are ignored; an empty table gives no rows. Texts are taken whole.
+    what they share. Other columns are ignored, but a ``tag`` (a string) is returned as a last column; an empty table gives no rows. Texts are taken whole.
     """
     if window < 2 * GRAM:
         raise ValueError(f"a window has {2 * GRAM} bytes or more")
-    chunks = C.packed(docs)
+    chunks, tagged = C.packed(docs, tag=tag), tag is not None
     n = C.buckets_for(chunks)
 
     def keys_of(chunk: C.Chunk):
@@ -196,9 +197,10 @@ def byte_dedup(docs: DataFrame, window: int = 100) -> DataFrame:
             rows.append((b - a, int(own.sum()), spans, text))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "spans", "kept"])
         out.insert(0, "doc_id", chunk.doc_ids())
-        return out
+        return out.assign(tag=chunk.tags) if tagged else out
 
-    return C.with_answers(chunks, totals.unionByName(later), finish, SPANS, {0: np.uint64, 1: bool})
+    schema = SPANS + ", tag string" * tagged
+    return C.with_answers(chunks, totals.unionByName(later), finish, schema, {0: np.uint64, 1: bool})
 
 
 def _batches(entries: np.ndarray, key: np.ndarray):
@@ -213,6 +215,23 @@ def _batches(entries: np.ndarray, key: np.ndarray):
             begin = end
 
 
-def kept_text(kept) -> F.Column:
+def kept_text(kept) -> Column:
     """The kept bytes as text; the pieces of characters that a cut has left are dropped."""
-    return F.pandas_udf(lambda s: s.map(lambda b: None if b is None else b.decode("utf-8", "ignore")), "string", F.PandasUDFType.SCALAR)(kept)
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return F.pandas_udf(run, "string")(kept)
+
+
+def dedup_documents(docs: DataFrame, window: int = 100) -> DataFrame:
+    """The documents, all columns kept, with repeated bytes taken out of ``text`` and ``n_chars`` (if there is one) counted anew. A null text stays null.
+
+    The other columns travel with the text as JSON, so nothing is joined back by doc_id.
+    """
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    tag = F.to_json(F.struct(F.struct(*[F.col(f"`{f.name}`") for f in others]).alias("d"), F.col("text").isNull().alias("none")))
+    schema = T.StructType([T.StructField("d", T.StructType([T.StructField(f.name, f.dataType) for f in others])), T.StructField("none", T.BooleanType())])
+    rows = byte_dedup(docs, window, tag).select(F.from_json("tag", schema).alias("own"), kept_text("kept").alias("kept"))
+    text = F.when(~F.col("own.none"), F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("own.d").getField(c).alias(c) for c in docs.columns])
