@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> DataFrame:
     """The documents, all columns kept, less those without a language: no letter at all, or a best score under ``min_score``."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), language(F.col("text").cast("string"), model).alias("p"))
     return rows.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= min_score)).select("doc.*")
