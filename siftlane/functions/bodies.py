@@ -10,6 +10,7 @@ and forms never travel to Python.
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -37,7 +38,7 @@ def _printable(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "ignore").decode("utf-8")
 
 
-def walk_leaves(value, max_items: int):
+def walk_leaves(value, max_items: int | None):
     """Yield ``(path, leaf)`` in document order; arrays are cut per level."""
     stack = [("", value)]
     while stack:
@@ -66,7 +67,7 @@ def _json_facts(texts: pa.Array) -> pa.Array:
 _json_facts = _json_facts.asNondeterministic()  # keeps Catalyst from evaluating it once per use
 
 
-def _leaf_udf(max_items: int, types: tuple[str, ...] | None):
+def _leaf_udf(max_items: int | None, types: tuple[str, ...] | None):
     @F.arrow_udf(_LEAVES)
     def leaves(texts: pa.Array, latest: pa.Array) -> pa.Array:
         offsets, ords, paths, kinds, values, roots = [0], [], [], [], [], []
@@ -117,7 +118,7 @@ def json_facts(text: Column) -> Column:
     return _json_facts(maybe_json(text))
 
 
-def leaf_array(text: Column, max_items: int = 10, types: tuple[str, ...] | None = None,
+def leaf_array(text: Column, max_items: int | None = 10, types: tuple[str, ...] | None = None,
                latest: Column | None = None) -> Column:
     """Array of leaves ``(ord, path, typ, value, root_kind)`` in document order.
 
@@ -126,12 +127,19 @@ def leaf_array(text: Column, max_items: int = 10, types: tuple[str, ...] | None
     return _leaf_udf(max_items, types)(text, F.lit(False) if latest is None else latest)
 
 
+def _finite(text: str) -> float | None:
+    number = float(text)
+    return number if math.isfinite(number) else None
+
+
 def _canonical_udf(indent: int | None):
     @F.arrow_udf("string")
     def canonical(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
-            ok, value = _parse(text)
+            ok, _ = _parse(text)
+            # JSON has no NaN and no infinity: both become null
+            value = json.loads(text, parse_constant=lambda _: None, parse_float=_finite) if ok else None
             out.append(_printable(json.dumps(value, indent=indent, ensure_ascii=False)) if ok else None)
         return pa.array(out, pa.string())
 
@@ -139,5 +147,5 @@ def _canonical_udf(indent: int | None):
 
 
 def canonical_json(text: Column, indent: int | None = None) -> Column:
-    """JSON text re-written from its value (duplicate keys resolved); null if it is not JSON."""
+    """JSON text re-written from its value: duplicate keys resolved, NaN and infinities as null; null if it is not JSON."""
     return _canonical_udf(indent)(text)

@@ -48,6 +48,7 @@ _REFERENCES = {"form": "action", "link": "href"}
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""",
     re.DOTALL)
+_UNCLOSED = re.compile("<[!?]")
 _ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s]*+)))?+""")
 
 ELEMENTS = ("array<struct<ord int, last_ord int, parent_ord int, form_ord int, tag string, "
@@ -112,12 +113,15 @@ class _ElementBatch:
 
     def _read(self, page: str, base: str) -> None:
         first, open_, at, based = self.offsets[-1], [], 0, False  # open_: (ord, tag, text parts)
-        while token := _TOKEN.search(page, at):
+        closed = page.rfind(">") + 1  # no tag ends beyond: tags that never close are not looked at one by one
+        while token := _TOKEN.search(page, at, closed):
             if token.start() > at and any(o[2] is not None for o in open_):
                 self._take_text(open_, unescape(page[at:token.start()]))
             at, last = token.end(), len(self.tag) - first - 1
             slash, tag, rest = token.groups()
             if tag is None:
+                if at == closed and token.group().startswith("<!--") and not token.group().endswith("-->"):
+                    at = len(page)  # a comment that never ends
                 continue
             tag = tag.lower()
             if slash:
@@ -167,7 +171,7 @@ class _ElementBatch:
                 self._take_text(open_, unescape(text) if tag in _ESCAPABLE_RAW else text)
                 at = stop
         if at < len(page):
-            self._take_text(open_, unescape(page[at:]))
+            self._take_text(open_, unescape(_UNCLOSED.split(page[at:], maxsplit=1)[0]))
         self._close(open_, 0, len(self.tag) - first - 1)
 
     def to_arrow(self) -> pa.Array:
@@ -217,11 +221,17 @@ _CSS_URL = re.compile(r"""url\((?!['"]?(?:data:|https:|http:))['"]?([^'")]*)['"]
 
 @F.arrow_udf(T.StringType())
 def absolutise_css(css: pa.Array, base: pa.Array) -> pa.Array:
-    """Relative ``url(...)`` references of a style sheet made absolute."""
+    """Relative ``url(...)`` references of a style sheet made absolute.
+
+    A reference that forms no address with the sheet's own stays as it is.
+    """
     out = []
     for sheet, url in zip(css.to_pylist(), base.to_pylist()):
-        out.append(None if sheet is None else
-                   _CSS_URL.sub(lambda m: f"url('{urljoin(url, m.group(1))}')", sheet))
+        def absolute(m: re.Match, url: str = url or "") -> str:
+            joined = _join(url, m.group(1))
+            return m.group(0) if joined is None else f"url('{joined}')"
+
+        out.append(None if sheet is None else _CSS_URL.sub(absolute, sheet))
     return pa.array(out, pa.string())
 
 

@@ -59,8 +59,9 @@ def not_preflight(method: Column) -> Column:
 
 
 def is_json_content_type(headers: Column) -> Column:
-    value = F.coalesce(F.try_element_at(headers, F.lit("content-type")), F.lit(""))
-    return F.lower(value).contains("application/json")
+    """The content type names JSON; header names count in any case."""
+    named = F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "content-type"))
+    return F.coalesce(F.exists(named, lambda v: F.lower(v).contains("application/json")), F.lit(False))
 
 
 def clean_headers(headers: Column) -> Column:
@@ -81,8 +82,9 @@ def is_token_type(typ: Column) -> Column:
     return typ.isin("string", "int")
 
 
-def token_length_ok(value: Column, shortest: int, longest: int) -> Column:
-    return F.length(value).between(shortest, longest)
+def token_length_ok(value: Column, shortest: int | None, longest: int | None) -> Column:
+    """The length lies between the limits; None is no limit.  A null value never passes."""
+    return F.length(value).between(shortest or 0, (1 << 31) - 1 if longest is None else longest)
 
 
 def is_container(root_kind: Column) -> Column:

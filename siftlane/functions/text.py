@@ -24,9 +24,14 @@ def content_hash(value: Column) -> Column:
     return F.md5(value)
 
 
-def text_sample(text: Column, size: int = 500) -> Column:
+def leading(text: Column, size: int | None) -> Column:
+    """The first ``size`` characters; all of them for None."""
+    return text if size is None else F.substring(text, 1, size)
+
+
+def text_sample(text: Column, size: int | None = 500) -> Column:
     """Leading text followed by an ellipsis, which is added in any case."""
-    return F.concat(F.substring(text, 1, size), F.lit("..."))
+    return F.concat(leading(text, size), F.lit("..."))
 
 
 def js_trim(text: Column) -> Column:
@@ -34,8 +39,8 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", "")
 
 
-def picker_text(text: Column, size: int = 150) -> Column:
-    return F.substring(js_trim(text), 1, size)
+def picker_text(text: Column, size: int | None = 150) -> Column:
+    return leading(js_trim(text), size)
 
 
 def request_content_type(json_kind: Column) -> Column:

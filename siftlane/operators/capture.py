@@ -30,19 +30,28 @@ def _parse_eligible(profile: CaptureProfile) -> Column:
     return eligible
 
 
+_MARK = "siftlane.profile"
+
+
 def _prepared(events: DataFrame, test: Column, p: CaptureProfile) -> DataFrame:
-    return events.where(test).withColumns({
+    """Filtered events with their endpoint key; the metadata of ``parse`` says for which profile."""
+    rows = events.where(test).withColumns({
         "method": F.upper("method"), "path": endpoint_path(F.col("url"), p.empty_path), "parse": _parse_eligible(p)})
+    return rows.withMetadata("parse", {_MARK: repr(p)})
 
 
-def _is_prepared(events: DataFrame) -> bool:
-    return {"path", "parse"} <= set(events.columns)
+def _is_prepared(events: DataFrame, p: CaptureProfile) -> bool:
+    """Whether ``both_sides`` made these rows; rows prepared for another profile are refused."""
+    made_for = events.schema["parse"].metadata.get(_MARK) if "parse" in events.columns else None
+    if made_for not in (None, repr(p)):
+        raise ValueError(f"these events were prepared for another profile than {p.name}")
+    return made_for is not None
 
 
 def requests(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Logged requests with endpoint key; adds ``parse`` (body may be read as JSON)."""
     p = profile_of(profile)
-    if _is_prepared(events):
+    if _is_prepared(events, p):
         return events.where(F.col("kind") == "request")
     return _prepared(events, _test("request", p), p)
 
@@ -50,7 +59,7 @@ def requests(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFra
 def responses(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Responses with the endpoint key of their request; noise URLs stay in."""
     p = profile_of(profile)
-    if _is_prepared(events):
+    if _is_prepared(events, p):
         return events.where(F.col("kind") == "response")
     return _prepared(events, _test("response", p), p)
 
@@ -62,7 +71,7 @@ def both_sides(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataF
     not prepared again then.
     """
     p = profile_of(profile)
-    if _is_prepared(events):
+    if _is_prepared(events, p):
         return events
     return _prepared(events, _test("request", p) | _test("response", p), p)
 
@@ -92,16 +101,19 @@ def pair_responses(events: DataFrame) -> DataFrame:
     """Give responses the method, URL and type of their request.
 
     For sources whose responses only carry ``request_id``.  The key is unique per request, so
-    the join has no hot key; responses that already carry a URL are left alone.
+    the join has no hot key; responses that already carry a URL are left alone.  ``paired`` is
+    false for responses whose request is not in the log: they stay, without method, URL and type.
     """
     described = ["method", "url", "resource_type"]
     asked = (events.where(F.col("kind") == "request")
              .select("session_id", "request_id", *[F.col(c).alias(f"__{c}") for c in described]))
     bare = events.where((F.col("kind") == "response") & F.col("url").isNull())
-    filled = (bare.drop(*described).join(asked, ["session_id", "request_id"])
-              .withColumnsRenamed({f"__{c}": c for c in described}))
+    asked = asked.withColumn("paired", F.lit(True))
+    filled = (bare.drop(*described).join(asked, ["session_id", "request_id"], "left")
+              .withColumnsRenamed({f"__{c}": c for c in described})
+              .withColumn("paired", F.coalesce("paired", F.lit(False))))
     rest = events.where((F.col("kind") != "response") | F.col("url").isNotNull())
-    return rest.unionByName(filled)
+    return rest.withColumn("paired", F.lit(True)).unionByName(filled)
 
 
 def network_log(events: DataFrame, profile: str | CaptureProfile = "v2", drop_blocked: bool = False,

@@ -39,14 +39,15 @@ def endpoints(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFr
 def sample_picks(events: DataFrame, profile: str | CaptureProfile = "v2", n: int | None = None) -> DataFrame:
     """Positions of the first-N sample payloads: ``(endpoint, seq, rank)``.
 
-    Where any body is a sample, none is parsed here.
+    ``n`` (also 0) overrides the profile's limit; a profile whose limit is None keeps all.  Where
+    any body is a sample, none is parsed here.
     """
     p = profile_of(profile)
     bodies = requests(events, p).where("parse")
     if not p.raw_text_samples:
         # A body under a JSON type counts as its raw text if it does not parse.
         bodies = with_json_facts(bodies).where(F.col("json_kind").isNull() | F.col("json_truthy"))
-    return first_n(bodies.select(*ENDPOINT, "seq"), ENDPOINT, ["seq"], n or p.sample_limit, rank="rank")
+    return first_n(bodies.select(*ENDPOINT, "seq"), ENDPOINT, ["seq"], p.sample_limit if n is None else n, rank="rank")
 
 
 def _payload_kind():
@@ -114,7 +115,8 @@ def response_picks(events: DataFrame, profile: str | CaptureProfile = "v2") -> D
     entry = F.struct("seq", "class_rank", "is_json", "json_kind")
     lists = leading.groupBy(*ENDPOINT).agg(F.array_sort(F.collect_list(entry)).alias("e"))
     text_first = F.when(F.col("e")[0]["is_json"], 0).otherwise(1)
-    kept = F.filter("e", lambda x, i: F.when(x["is_json"], x["class_rank"] + text_first <= held).otherwise(i == 0))
+    kept = F.filter("e", lambda x, i: F.when(x["is_json"], (x["class_rank"] + text_first <= held) if held is not None
+                                             else F.lit(True)).otherwise(i == 0))
     return (lists.select(*ENDPOINT, F.explode(kept).alias("x"))
             .select(*ENDPOINT, "x.seq", F.coalesce("x.json_kind", F.lit("text")).alias("kind")))
 
@@ -143,7 +145,7 @@ def endpoint_catalog(events: DataFrame, profile: str | CaptureProfile = "v2", ma
     picks = [first_seen(events, p).select(*ENDPOINT, F.col("first_seq").alias("seq"), F.lit("first").alias("role")),
              sample_picks(events, p).select(*ENDPOINT, "seq", F.lit("sample").alias("role"))]
     wide = requests(events, p)  # v1 picks nothing else
-    if p.response_sample_limit:
+    if p.response_sample_limit != 0:
         picks.append(response_picks(events, p).select(*ENDPOINT, "seq", F.lit("response").alias("role")))
         wide = events
     found = with_json_facts(fetch(reduce(DataFrame.unionByName, picks), wide, ["url", "headers", "body", "parse"]))
@@ -156,12 +158,12 @@ def endpoint_catalog(events: DataFrame, profile: str | CaptureProfile = "v2", ma
         return F.array_sort(F.collect_list(F.when(F.col("role") == role, item)))
 
     lists = [listed("sample", body=F.col("body"), kind=F.col("kind")).alias("__samples")]
-    if p.response_sample_limit:
+    if p.response_sample_limit != 0:
         lists.append(listed("response", sample=_response_sample(p), kind=F.col("kind")).alias("__responses"))
     folded = found.withColumn("kind", kind).groupBy(*ENDPOINT).agg(F.any_value(first, True).alias("__first"), *lists)
     columns = [*ENDPOINT, "first_seq", "__first.url", "__first.headers", "response_statuses",
                F.transform("__samples", lambda s: s.dropFields("seq")).alias("sample_payloads")]
-    if p.response_sample_limit:
+    if p.response_sample_limit != 0:
         columns.append(F.transform("__responses", lambda s: s.dropFields("seq")).alias("response_samples"))
     return known.join(folded, ENDPOINT).select(*columns)
 

@@ -201,7 +201,7 @@ def _dataset(attrs: Column) -> Column:
     return F.transform_keys(F.map_filter(attrs, lambda k, v: k.startswith("data-")), lambda k, v: camel(k))
 
 
-def _picker_array(roles: tuple[str, ...], class_substrings: tuple[str, ...]) -> Column:
+def _picker_array(roles: tuple[str, ...], class_substrings: tuple[str, ...], text_size: int | None = 150) -> Column:
     def test(e: Column) -> Column:
         hit = F.coalesce(_attr(e, "role").isin(*roles), F.lit(False)) if roles else F.lit(False)
         for fragment in class_substrings:
@@ -213,20 +213,20 @@ def _picker_array(roles: tuple[str, ...], class_substrings: tuple[str, ...]) ->
             index.alias("index"), e["tag"].alias("tag"), _attr(e, "role").alias("role"),
             _or_null(_attr(e, "id")).alias("id"), _or_null(_attr(e, "name")).alias("name"),
             _or_null(_attr(e, "class")).alias("class_name"),
-            X.picker_text(F.coalesce(e["text"], F.lit(""))).alias("current_text"),
+            X.picker_text(F.coalesce(e["text"], F.lit("")), text_size).alias("current_text"),
             _dataset(e["attrs"]).alias("dataset"))
 
     return F.transform(_hits(F.col("els"), test), picker)
 
 
 def custom_pickers(parsed: DataFrame, roles: tuple[str, ...] = PICKER_ROLES,
-                   class_substrings: tuple[str, ...] = PICKER_CLASSES) -> DataFrame:
-    """Elements that act as pickers, by role or class fragment.
+                   class_substrings: tuple[str, ...] = PICKER_CLASSES, text_size: int | None = 150) -> DataFrame:
+    """Elements that act as pickers, by role or class fragment; ``text_size`` (None: no limit) cuts their text.
 
     Parse the pages with the same roles and fragments, else ``current_text`` is empty.
     """
     kept = [c for c in parsed.columns if c != "els"]
-    return parsed.select(*kept, F.inline(_picker_array(roles, class_substrings)))
+    return parsed.select(*kept, F.inline(_picker_array(roles, class_substrings, text_size)))
 
 
 def dropdown_catalog(parsed: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from siftlane.operators.capture import both_sides
 from siftlane.operators.leaves import capture_leaves
 from siftlane.operators.ordered import BLOCK, asof_last, first_n, with_index
 from siftlane.profiles import CaptureProfile, profile_of
+from siftlane.session import stored
 
 _SIDE = "__side"
 _EDGE = ["session_id", "source_endpoint", "source_field", "consumer_endpoint", "consumer_field"]
@@ -53,7 +54,7 @@ def value_lineage(leaves: DataFrame, block: int = BLOCK, carry_from: DataFrame |
 
     ``leaves`` has both sides (``capture_leaves``).  A use sees producers of smaller ``seq``
     only; of those the last one counts, and within one response its last leaf.  ``carry_from``
-    optionally holds the leaves of the sessions that reach past one block.
+    optionally holds the leaves (at least) of the keys that reach past one block.
     """
     def with_origin(df: DataFrame) -> DataFrame:
         origin = F.when(F.col("side") == 1, F.struct("endpoint", "field_path"))
@@ -68,15 +69,13 @@ def value_lineage(leaves: DataFrame, block: int = BLOCK, carry_from: DataFrame |
 
 
 def lineage_uses(events: DataFrame, profile: str | CaptureProfile = "v2", block: int = BLOCK) -> DataFrame:
-    """All uses in a capture log, in one scan unless a session reaches past one block.
+    """All uses in a capture log.
 
-    Which sessions do is known from two plain columns, without parsing.  With none, AQE sees
-    an empty build side and drops the carry branch.
+    Bodies are read and parsed once: the leaves are stored, as narrow rows, and both the
+    blocks and what is carried between them are computed from those.
     """
-    events = both_sides(events, profile)
-    long_sessions = events.where(F.abs("seq") >= block).select("session_id").distinct()
-    lasting = events.join(long_sessions, "session_id", "left_semi")
-    return value_lineage(capture_leaves(events, profile), block, capture_leaves(lasting, profile))
+    leaves = stored(capture_leaves(both_sides(events, profile), profile), "leaves")
+    return value_lineage(leaves, block, leaves)
 
 
 def distinct_edges(matches: DataFrame, edge_limit: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.functions import text as X
+from siftlane.functions.bodies import canonical_json
 from siftlane.operators.capture import ENDPOINT, both_sides, fetch, requests, responses, with_json_facts
 from siftlane.operators.catalog import status_positions
 from siftlane.profiles import CaptureProfile, profile_of
@@ -47,15 +48,15 @@ def openapi_responses(events: DataFrame, profile: str | CaptureProfile = "v2") -
             .select(*ENDPOINT, "s.status", F.col("s.answered").alias("seq")))
     found = with_json_facts(fetch(last, responses(events, p), ["body", "parse"]))
     kind = F.coalesce(F.col("json_kind"), F.lit("text"))
-    example = F.when(kind == "text", F.substring("body", 1, p.text_sample)).otherwise(F.col("body"))
+    example = F.when(kind == "text", X.leading(F.col("body"), p.text_sample)).otherwise(F.col("body"))
     return found.select(*ENDPOINT, F.col("status").cast("string").alias("status"),
                         X.response_content_type(kind).alias("content_type"),
                         example.alias("example"), kind.alias("example_kind"))
 
 
 def json_example(example: Column, kind: Column) -> Column:
-    """JSON text of an example: JSON bodies as they are, texts quoted."""
-    return F.when(kind == "text", X.json_quote(example)).otherwise(example)
+    """JSON text of an example: JSON bodies in canonical form, texts quoted."""
+    return F.when(kind == "text", X.json_quote(example)).otherwise(canonical_json(F.when(kind != "text", example)))
 
 
 def _object(entries: Column) -> Column:

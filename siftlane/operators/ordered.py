@@ -99,16 +99,19 @@ def with_index(df: DataFrame, key: Sequence[str], pos: str, out: str = "index",
     return numbered.withColumn(out, F.col(out) + F.lit(start - 1)).drop(one)
 
 
-def first_n(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int,
+def first_n(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int | None,
             rank: str | None = None) -> DataFrame:
-    """Keep the first ``n`` rows per key.
+    """Keep the first ``n`` rows per key; all of them for None.
 
     The rank filter becomes a ``WindowGroupLimit`` below the shuffle, so a hot key sends at
     most ``n`` rows per map task.
     """
     name = rank or "__rank"
     window = Window.partitionBy(*key).orderBy(*order)
-    kept = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+    if n is None and rank is None:
+        return df
+    kept = df.withColumn(name, F.row_number().over(window))
+    kept = kept if n is None else kept.where(F.col(name) <= n)
     return kept if rank else kept.drop(name)
 
 

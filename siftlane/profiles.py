@@ -39,7 +39,7 @@ NOISE_FRAGMENTS = (
 
 @dataclass(frozen=True)
 class CaptureProfile:
-    """Parameters that differ between capture variants."""
+    """Parameters that differ between capture variants.  None switches a limit off."""
 
     name: str
     resource_types: tuple[str, ...]
@@ -53,15 +53,15 @@ class CaptureProfile:
     raw_text_samples: bool
     # What an empty path becomes in the endpoint key.
     empty_path: str
-    sample_limit: int
-    response_sample_limit: int
+    sample_limit: int | None
+    response_sample_limit: int | None
     edge_limit: int | None
     # The client table shows any first sample (v1) or only an object (v2).
     spec_needs_object: bool
-    max_items: int = 10
-    min_token: int = 3
-    max_token: int = 120
-    text_sample: int = 500
+    max_items: int | None = 10
+    min_token: int | None = 3
+    max_token: int | None = 120
+    text_sample: int | None = 500
 
 
 PROFILES = {

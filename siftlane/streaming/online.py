@@ -3,13 +3,14 @@
 State is keyed as finely as the semantics allow (session and token, endpoint and salt, page)
 and lives in RocksDB.  A micro-batch is bounded by the source's file limit, which bounds what
 one key can bring to one task at a time; across batches a key's state is a single small row.
-Late responses cannot change edges already emitted: the batch operators give the reference
-answer, and both agree when events arrive in order.
+Late responses cannot change edges already emitted: the batch operators give the whole
+answer, and both agree when no response comes after a request that it precedes.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,14 +40,18 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     Every micro-batch goes to the shared folder with its number in ``batch``.
     """
     place = f"{ensure_checkpoint_dir(stream.sparkSession)}/siftlane/drained-{uuid.uuid4().hex}"
+    written = []
 
     def keep(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{place}/out/batch={number}")  # a replay overwrites
+        written.append(number)
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state")
              .foreachBatch(keep).trigger(availableNow=True).start())
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    if not written:  # the source held nothing
+        return stream.sparkSession.createDataFrame([], schema)
     return stream.sparkSession.read.schema(schema).parquet(f"{place}/out")
 
 
@@ -55,28 +60,36 @@ def drop_late(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "seq"])
 
 
-class _LastOrigin(StatefulProcessor):
-    """State per (session, token): the last producer.  Emits matched consumers."""
+class _Origins(StatefulProcessor):
+    """State per (session, token): its producers, less those that repeat the one before them.
+
+    A request sees the last producer before it, also if newer ones came in earlier.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = "seq long, endpoint string, field_path string"
-        self.origin = handle.getValueState("origin", schema, self.ttl_ms)
+        self.origins = handle.getListState("origins", "seq long, endpoint string, field_path string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seq", "side", "ord"], kind="stable")
-        held = self.origin.get() if self.origin.exists() else None
+        asked, given = [], {}
+        for part in rows:
+            part = part.sort_values(["seq", "ord"], kind="stable")
+            asked.append(part[part["side"] == 0])
+            for row in part[part["side"] == 1].itertuples(index=False):
+                given[int(row.seq)] = max(given.get(int(row.seq), (-1,)), (int(row.ord), row.endpoint, row.field_path))
+        held = {int(o[0]): (o[1], o[2]) for o in self.origins.get()} if self.origins.exists() else {}
+        held |= {seq: (endpoint, path) for seq, (_, endpoint, path) in given.items()}
+        places = sorted(held)
+        if given:
+            changes = [s for i, s in enumerate(places) if i == 0 or held[s] != held[places[i - 1]]]
+            self.origins.put([(s, *held[s]) for s in changes])
         out = []
-        for row in batch.itertuples(index=False):
-            if row.side == 1:
-                if held is None or row.seq >= held[0]:
-                    held = (int(row.seq), row.endpoint, row.field_path)
-            elif held is not None and held[0] < row.seq:
-                out.append((key[0], int(row.seq), int(row.ord), held[1], held[2], row.endpoint, row.field_path))
-        if held is not None:
-            self.origin.update(held)
+        for row in pd.concat(asked).itertuples(index=False) if places and asked else ():
+            before = bisect_left(places, int(row.seq))
+            if before:
+                out.append((key[0], int(row.seq), int(row.ord), *held[places[before - 1]], row.endpoint, row.field_path))
         if out:
             yield pd.DataFrame(out, columns=_EDGE_COLUMNS)
 
@@ -92,10 +105,12 @@ _EDGE_SCHEMA = ("session_id string, seq long, ord int, source_endpoint string, s
 def lineage_stream(events: DataFrame, profile: str | CaptureProfile = "v2", ttl_ms: int | None = None) -> DataFrame:
     """Matched uses as they arrive; distinct edges and caps belong downstream.
 
+    Requests may come late: they find the last producer before them among all that have come.
     ``ttl_ms`` forgets producers not renewed for that long (default: never).
     """
+    use_rocksdb(events.sparkSession)
     return (capture_leaves(events, profile).groupBy("session_id", "token")
-            .transformWithStateInPandas(_LastOrigin(ttl_ms), outputStructType=_EDGE_SCHEMA,
+            .transformWithStateInPandas(_Origins(ttl_ms), outputStructType=_EDGE_SCHEMA,
                                         outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"))
 
 
@@ -106,6 +121,7 @@ def catalog_stream(events: DataFrame, profile: str | CaptureProfile = "v2") -> D
     status; ``settle_catalog`` folds them.  Aggregates combine on the map side, so hot
     endpoints are no concern.
     """
+    use_rocksdb(events.sparkSession)
     is_request = F.col("kind") == "request"
     asked = F.when(is_request, F.col("seq"))
     return (both_sides(events, profile).groupBy(*ENDPOINT, F.when(~is_request, F.col("status")).alias("status"))
@@ -153,9 +169,12 @@ def first_samples_stream(events: DataFrame, profile: str | CaptureProfile = "v2"
 
     Two stages: the first is keyed by endpoint and salt, so a hot endpoint is spread over
     ``SALTS`` keys; what passes it is a superset of the answer with at most N rows per salt,
-    and the second stage keeps the first N of that.
+    and the second stage keeps the first N of that.  The profile must set a sample limit.
     """
     p = profile_of(profile)
+    if p.sample_limit is None:
+        raise ValueError("without a sample limit every payload is a sample: read the log instead")
+    use_rocksdb(events.sparkSession)
     parsed = with_json_facts(requests(events, p).where("parse"))
     if not p.raw_text_samples:
         parsed = parsed.where(F.col("json_kind").isNull() | F.col("json_truthy"))
@@ -197,12 +216,15 @@ class _Changed(StatefulProcessor):
 def changed_pages_stream(pages: DataFrame) -> DataFrame:
     """Page states that differ from the state before; run it with a two-second trigger.
 
-    Only digests travel to the state operator: ``(session_id, url, page_id, ts)`` of changed
-    states come out, for a join with the pages inside ``foreachBatch``.
+    A session is one page that navigates: its states follow each other whatever their address,
+    and only the top frame's state counts.  Only digests travel to the state operator:
+    ``(session_id, url, page_id, ts)`` of changed states come out, for a join with the pages
+    inside ``foreachBatch``.
     """
+    use_rocksdb(pages.sparkSession)
     columns = ["session_id", "url", "page_id", "ts"]
-    return (pages.where(F.col("html").isNotNull())
+    return (pages.where(F.col("html").isNotNull() & (F.coalesce("frame_index", F.lit(0)) == 0))
             .select(*columns, content_hash(F.col("html")).alias("digest"))
-            .groupBy("session_id", "url")
+            .groupBy("session_id")
             .transformWithStateInPandas(_Changed(columns), outputMode="append", timeMode="None",
                                         outputStructType="session_id string, url string, page_id long, ts timestamp"))
