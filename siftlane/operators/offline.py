@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.functions.html import absolutise_css, inject_base
-from siftlane.functions.text import step_name
-from siftlane.operators.ordered import BLOCK, with_index
+from siftlane.functions.text import content_hash, step_name
+from siftlane.operators.ordered import BLOCK, changed_only, with_index
 
 
 def stylesheet_links(parsed: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -68,6 +68,23 @@ def page_steps(states: DataFrame, block: int = BLOCK) -> DataFrame:
     return (numbered.withColumn("step_name", step_name(F.col("step"), F.col("ts"))).drop("__at", "__sec"))
 
 
+def changed_pages(states: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Steps of the page states that differ from the state before: ``session_id, page_id, step, step_name``.
+
+    ``(session_id, page_id)`` is unique.  Only digests go through windows; join the result with
+    the states to get their pages.
+    """
+    narrow = states.select("session_id", "page_id", "ts", content_hash(F.col("html")).alias("digest"))
+    kept = changed_only(narrow.where(F.col("digest").isNotNull()), ["session_id"], "page_id", "digest", block=block)
+    return page_steps(kept.drop("digest"), block).select("session_id", "page_id", "step", "step_name")
+
+
+def offline_states(states: DataFrame) -> DataFrame:
+    """Changed page states, named by step, with the base address injected; pages are fetched once."""
+    return (changed_pages(states).join(states, ["session_id", "page_id"])
+            .select("session_id", "step_name", inject_base(F.col("html"), F.col("url")).alias("html")))
+
+
 def offline_pages(states: DataFrame) -> DataFrame:
     """``(session_id, step_name, html)`` ready to write, base address injected."""
     return page_steps(states).select("session_id", "step_name", inject_base(F.col("html"), F.col("url")).alias("html"))

@@ -7,10 +7,12 @@ in Spark and in DuckDB alike: the SQL counterparts start from the same expressio
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.session import store
+from siftlane.session import ensure_checkpoint_dir, store
 from siftlane.sources.readers import read_capture, spread
 
 
@@ -66,9 +68,9 @@ FORM_PAGES = {
             f"<select name=k0><option value=', {_s('c_custkey')}, '>Z</option></select><button>no</button></body></html>')",
 }
 
-# nation -> one style sheet per nation; nation 7 has none.
+# nation -> one style sheet per nation; that of nation 7 lies at an address that no page links.
 STYLESHEETS = {
-    "url": f"concat('https://shop.example.com/css/n', {_s('n_nationkey')}, '.css')",
+    "url": f"concat('https://shop.example.com/css/', CASE WHEN n_nationkey = 7 THEN 'old' ELSE 'n' END, {_s('n_nationkey')}, '.css')",
     "css": "concat('body{background:url(\"../img/', n_name, '.png\")} i{src:url(data:x)}')",
 }
 
@@ -145,7 +147,15 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stylesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "nation").where("n_nationkey <> 7"), STYLESHEETS)
+    return derive(table(spark, sf_dir, "nation"), STYLESHEETS)
+
+
+def fed(parts: list[DataFrame], name: str, files: int = 2) -> str:
+    """A folder of Parquet files that a stream reads part by part, ``files`` of them in each."""
+    place = f"{ensure_checkpoint_dir(parts[0].sparkSession)}/siftlane/{name}-{uuid.uuid4().hex}"
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(place)
+    return place
 
 
 def chat_capture(spark: SparkSession, sf_dir: str) -> DataFrame:

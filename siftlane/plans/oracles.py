@@ -9,7 +9,7 @@ from __future__ import annotations
 from siftlane.plans.derived import (
     CALLS, EVENT_CAPTURE, FORM_PAGES, LISTENERS, MUTATIONS, as_select,
 )
-from siftlane.profiles import NOISE_FRAGMENTS, TRACKER_DOMAINS
+from siftlane.profiles import MEDIA_EXTENSIONS, NOISE_FRAGMENTS, STATIC_EXTENSIONS, TRACKER_DOMAINS
 
 ORACLES: dict[str, str] = {}
 
@@ -39,15 +39,18 @@ def _noise(url: str) -> str:
     return "(" + " OR ".join(f"contains({url}, '{f}')" for f in NOISE_FRAGMENTS) + ")"
 
 
+def _endings(extensions: tuple[str, ...]) -> str:
+    return "'(" + "|".join(e.replace(".", "[.]") for e in extensions) + ")$'"
+
+
 def _block_v1(url: str) -> str:
     tracker = " OR ".join(f"contains({_host(url)}, '{d}')" for d in TRACKER_DOMAINS)
-    static = "'[.](css|png|jpg|jpeg|gif|svg|ico|webp|woff|woff2|ttf|eot|mp3|mp4|map)$'"
     return (f"CASE WHEN {tracker} THEN 'tracker' "
-            f"WHEN regexp_matches(lower({_path(url)}), {static}) THEN 'static' END")
+            f"WHEN regexp_matches(lower({_path(url)}), {_endings(STATIC_EXTENSIONS)}) THEN 'static' END")
 
 
 def _block_v2(url: str) -> str:
-    return f"CASE WHEN regexp_matches(lower({_path(url)}), '[.](mp3|mp4|wav|avi|mov)$') THEN 'static' END"
+    return f"CASE WHEN regexp_matches(lower({_path(url)}), {_endings(MEDIA_EXTENSIONS)}) THEN 'static' END"
 
 
 _KIND = ("CASE json_type(body) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' "
@@ -72,7 +75,7 @@ def _side(kind: str, profile: str) -> str:
     return f"""
       SELECT *, CASE WHEN valid THEN {_KIND} END AS json_kind,
              coalesce(valid AND body NOT IN ('{{}}', '[]', '""', '0', 'null', 'false'), false) AS truthy
-      FROM (SELECT session_id, seq, url, upper(method) AS method, {path} AS path, body, status, {parse} AS parse,
+      FROM (SELECT session_id, seq, url, content_type, upper(method) AS method, {path} AS path, body, status, {parse} AS parse,
                    CASE WHEN {parse} THEN json_valid(body) ELSE false END AS valid
             FROM cap WHERE kind = '{kind}' AND {where})"""
 
@@ -270,7 +273,9 @@ ORACLES["openapi_last_write"] = """
   SELECT event_type, user_id, max_by(props, event_id) AS example, max(event_id) AS last_event,
          'application/json' AS content_type FROM events GROUP BY event_type, user_id"""
 
-_EXAMPLE = "CASE WHEN example_kind = 'text' THEN CAST(to_json(example) AS STRING) ELSE example END"
+# Canonical text of a JSON body: the bodies here only lack the spaces.
+_SPACED = "replace(replace(replace({x}, '\":', '\": '), ',', ', '), ':  ', ': ')"
+_EXAMPLE = f"CASE WHEN example_kind = 'text' THEN CAST(to_json(example) AS STRING) ELSE {_SPACED.format(x='example')} END"
 _DOCS = f"""
   answers AS (SELECT session_id, method, path, string_agg('"' || status || '":{{"description":"Auto-captured response","content":{{"'
       || content_type || '":{{"example":' || {_EXAMPLE} || '}}}}}}', ',' ORDER BY status) AS a FROM oa_resp GROUP BY ALL),
@@ -293,9 +298,7 @@ def _document(rows: str, key: str, value: str, head: str, tail: str) -> str:
 ORACLES["openapi_documents"] = _with("v2", _OA_REQ, _OA_RESP, _DOCS) + _document(
     "items", "path", "item", '{"openapi": "3.0.0", "info": {"title": "Captured API", "version": "1.0"}, "paths": {', "}}")
 
-# Canonical text of a JSON sample: the bodies here only lack the spaces.
-_SPACED = "replace(replace(replace(body, '\":', '\": '), ',', ', '), ':  ', ': ')"
-_SAMPLE_JSON = f"CASE WHEN kind = 'text' THEN CAST(to_json(body) AS STRING) ELSE {_SPACED} END"
+_SAMPLE_JSON = f"CASE WHEN kind = 'text' THEN CAST(to_json(body) AS STRING) ELSE {_SPACED.format(x='body')} END"
 ORACLES["endpoint_map"] = _with("v1", _SAMPLES["v1"], _ATTACHED, _STATUS_LISTS, f"""
   sampled AS (SELECT session_id, method, path, string_agg({_SAMPLE_JSON}, ', ' ORDER BY seq) AS samples
     FROM samples GROUP BY ALL), entries AS (SELECT session_id, first_seq AS ord, method || ' ' || path AS k,
@@ -345,7 +348,7 @@ ORACLES["picker_by_class"] = f"""
   SELECT page_id, i AS "index", 'div' AS tag, 'ad' AS class_name,
          substr(trim({_UNESCAPED.format(x="regexp_extract(d, '>([^<]*)<', 1)")}), 1, 150) AS current_text FROM d"""
 ORACLES["element_counts"] = """
-  WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(a|div|article|li|nav|style|script|title)[ >]', 1)) AS tag FROM pages)
+  WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages)
   SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL"""
 
 _C = "'https://shop.example.com/c/' || c_custkey || '/edit?tab=1'"
@@ -393,9 +396,9 @@ ORACLES["inlined_css"] = f"""
     END AS html FROM p JOIN c ON p.page_id = c.c_custkey"""
 ORACLES["frozen_values"] = """
   SELECT c_custkey AS page_id, name, CASE name WHEN 'who' THEN CASE WHEN c_custkey % 2 = 0 THEN 'typed' ELSE c_name END
-    WHEN 'vip' THEN 'on' WHEN 'note' THEN c_mktsegment || ' & more' END AS value,
-    CASE WHEN name = 'vip' THEN c_acctbal > 5000 END AS checked
-  FROM customer, (VALUES ('who'), ('vip'), ('s'), ('note')) f(name)"""
+    WHEN 'vip' THEN 'on' WHEN 'note' THEN c_mktsegment || ' & more' WHEN 's' THEN NULL ELSE '' END AS value,
+    CASE WHEN name = 'vip' THEN c_custkey % 3 = 0 OR c_acctbal > 5000 END AS checked
+  FROM customer, (VALUES ('who'), ('vip'), ('s'), ('note'), (NULL)) f(name)"""
 
 # Change detection and traces.
 ORACLES["page_change"] = """
@@ -433,3 +436,57 @@ ORACLES["cookie_values"] = """
 ORACLES["stream_catalog"] = _with("v2", _ATTACHED, _STATUS_LISTS) + """
   SELECT session_id, method, path, url, first_seq, coalesce(statuses, 'None') AS statuses
   FROM firsts LEFT JOIN lists USING (session_id, method, path)"""
+
+# Unpaired responses, odd bodies and sheets, a session past the edge limit.
+ORACLES["unpaired_responses"] = f"""
+  WITH {_CAP} SELECT session_id, seq, CASE WHEN seq % 3 = 0 THEN 'lost-' ELSE '' END || request_id AS request_id,
+    CASE WHEN seq % 3 <> 0 THEN method END AS method, CASE WHEN seq % 3 <> 0 THEN url END AS url,
+    CASE WHEN seq % 3 <> 0 THEN resource_type END AS resource_type, seq % 3 <> 0 AS paired FROM cap WHERE kind = 'request'"""
+ORACLES["client_spec_v2"] = _with("v2", _SAMPLES["v2"], f"named AS (SELECT *, {_FN} AS fn_name FROM firsts)") + """
+  SELECT n.session_id, fn_name, n.method, n.url, CASE WHEN s.kind = 'object' THEN s.body END AS body,
+    count(*) OVER (PARTITION BY n.session_id, fn_name) > 1 AS name_clash, 'authorization=***;content-type=' || r.content_type AS headers
+  FROM named n JOIN req r ON r.session_id = n.session_id AND r.seq = n.first_seq
+  LEFT JOIN samples s ON s.session_id = n.session_id AND s.method = n.method AND s.path = n.path AND s.rank = 1"""
+ORACLES["openapi_escaped"] = _with("v2") + """
+  SELECT session_id, method, path, '{"x": null, "a": ' || max(seq) || '}' AS example FROM req GROUP BY ALL"""
+ORACLES["css_with_bad_address"] = """
+  SELECT n_nationkey, 'a{b:url(//[' || n_name || ')} c{d:url(''https://shop.example.com/i/' || n_name || '.png'')}' AS css FROM nation"""
+ORACLES["lineage_edges_capped"] = _with("v1", _REQ_LEAVES, _RESP_LEAVES, _uses("'all'"), _EDGES) + """
+  SELECT session_id, source_endpoint, source_field, consumer_endpoint, consumer_field, first_seq FROM edges
+  QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY first_at) <= 100"""
+
+# Sinks and readers.
+ORACLES["log_roundtrip"] = _with("v2") + f"""
+  SELECT session_id, seq, method, url, {_root(_path('url'))} AS path, body, truthy AS body_is_json, {_block_v2("url")} AS block_reason,
+    ':path=/;Host=api;authorization=***;content-length=9;content-type=' || content_type AS headers FROM req"""
+ORACLES["edges_roundtrip"] = f"SELECT * EXCLUDE (first_seq) FROM ({ORACLES['lineage_edges_v2']})"
+ORACLES["dom_roundtrip"] = """
+  SELECT c_mktsegment AS session_id, c_custkey // 4 AS page_id, string_agg((c_custkey % 4) || ':f' || c_custkey || ':5:' || c_name
+    || ':3:Pick ' || c_name, ';' ORDER BY c_custkey) AS frames FROM customer GROUP BY ALL"""
+ORACLES["catalogs_roundtrip"] = ORACLES["dropdown_catalog"]
+ORACLES["listeners_roundtrip"] = ORACLES["listener_map"]
+ORACLES["traces_roundtrip"] = f"""
+  SELECT session_id, 'call' AS trace, ts_ms AS "at", "function" AS what, arguments || returned AS detail FROM ({ORACLES['call_log']})
+  UNION ALL SELECT session_id, 'mutation', time_ms, type, target_id || '+' || added_nodes FROM ({ORACLES['mutation_log']})"""
+ORACLES["stored_snapshots"] = """
+  SELECT DISTINCT c_mktsegment AS session_id, c_custkey // 4 AS page_id, CAST(c_custkey // 4 AS STRING) AS local, c_mktsegment AS session,
+    'uid=' || (c_custkey // 4) AS cookies FROM customer"""
+_STATES = """
+  states AS (SELECT page_id * 3 + r AS place, url, CASE WHEN r = 2 THEN html || '<!-- seen -->' ELSE html END AS html
+    FROM pages, (VALUES (0), (1), (2)) v(r)),
+  kept AS (SELECT * FROM states QUALIFY html <> coalesce(lag(html) OVER (ORDER BY place), '')),
+  steps AS (SELECT *, row_number() OVER (ORDER BY place) AS step FROM kept)"""
+ORACLES["offline_pages"] = f"""
+  WITH {_STATES} SELECT 'crawl' AS session_id, 'step_' || CASE WHEN step < 1000 THEN lpad(CAST(step AS STRING), 3, '0')
+    ELSE CAST(step AS STRING) END || '_' || strftime(make_timestamp(place * 1000000), '%H%M%S') AS step_name,
+    md5(CASE WHEN instr(html, '<head>') > 0 THEN substr(html, 1, instr(html, '<head>') + 5) || chr(10) || '    <base href="' || url
+      || '">' || substr(html, instr(html, '<head>') + 6) ELSE '<base href="' || url || '">' || chr(10) || html END) AS md5 FROM steps"""
+
+# Streams.
+ORACLES["stream_lineage"] = ORACLES["value_lineage"]
+ORACLES["stream_first_samples"] = f"SELECT * EXCLUDE (rank) FROM ({ORACLES['sample_payloads_v2']})"
+ORACLES["stream_page_changes"] = f"""
+  SELECT 'user-' || user_id AS session_id, event_id AS page_id, 'https://h/' || (event_id % 2) AS url FROM ({ORACLES['user_state_changes']})"""
+ORACLES["stream_late_events"] = """
+  WITH mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS wm FROM events WHERE event_id % 10 <> 0)
+  SELECT 'user-' || user_id AS session_id, event_id AS seq FROM events, mark WHERE event_id % 10 <> 0 OR ts > wm"""

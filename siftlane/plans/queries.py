@@ -44,6 +44,11 @@ def _long(name: str) -> Column:
     return F.col(name).cast("long").alias(name)
 
 
+def map_text(name: str) -> Column:
+    """A map as sorted text."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+
+
 def _day(ts: str) -> Column:
     return F.unix_date(F.col(ts).cast("date")).cast("long")
 
@@ -147,6 +152,18 @@ def paired_responses(spark, sf_dir):
     return paired.select("session_id", "seq", "request_id", "method", "url", "resource_type")
 
 
+@query
+def unpaired_responses(spark, sf_dir):
+    """Of bare responses every third has lost its request; all of them stay."""
+    events = V.event_capture(spark, sf_dir)
+    asked = events.where(F.col("kind") == "request")
+    lost = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("lost-"), "request_id")).otherwise(F.col("request_id"))
+    none = F.lit(None).cast("string")
+    bare = asked.withColumns({"request_id": lost, "kind": F.lit("response"), "method": none, "url": none, "resource_type": none})
+    paired = pair_responses(asked.unionByName(bare)).where(F.col("kind") == "response")
+    return paired.select("session_id", "seq", "request_id", "method", "url", "resource_type", "paired")
+
+
 @query
 def endpoint_catalog(spark, sf_dir):
     """Distinct endpoints of the crawled pages with the URL first seen."""
@@ -220,6 +237,12 @@ def client_spec(spark, sf_dir):
     return C.client_spec(pages, "v2").select("fn_name", "method", "url", "body", "name_clash")
 
 
+@query
+def client_spec_v2(spark, sf_dir):
+    spec = C.client_spec(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v2"), "v2")
+    return spec.select("session_id", "fn_name", "method", "url", "body", "name_clash", map_text("headers").alias("headers"))
+
+
 @query
 def client_spec_v1(spark, sf_dir):
     spec = C.client_spec(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v1"), "v1")
@@ -256,6 +279,13 @@ def lineage_edges_v1(spark, sf_dir):
     return L.lineage_edges(V.event_capture(spark, sf_dir), "v1").drop("first_at")
 
 
+@query
+def lineage_edges_capped(spark, sf_dir):
+    """All traffic as one session of the first profile, which keeps 100 edges of a session."""
+    events = V.event_capture(spark, sf_dir).withColumn("session_id", F.lit("all"))
+    return L.lineage_edges(events, "v1").drop("first_at")
+
+
 @query
 def lineage_edges_v2(spark, sf_dir):
     return L.lineage_edges(V.event_capture(spark, sf_dir), "v2").drop("first_at")
@@ -302,6 +332,14 @@ def openapi_responses(spark, sf_dir):
     return A.openapi_responses(V.event_capture(spark, sf_dir), "v2")
 
 
+@query
+def openapi_escaped(spark, sf_dir):
+    """Bodies with a repeated key and a number that JSON does not have."""
+    body = F.concat(F.lit('{"x":NaN,"a":1,"a":'), "seq", F.lit("}"))
+    rows = A.openapi_requests(V.event_capture(spark, sf_dir).withColumn("body", body), "v2")
+    return rows.select("session_id", "method", "path", A.json_example(F.col("example"), F.col("example_kind")).alias("example"))
+
+
 @query
 def openapi_last_write(spark, sf_dir):
     """Last payload per (event type, user) with its content type."""
@@ -360,8 +398,7 @@ def picker_by_class(spark, sf_dir):
 @query
 def element_counts(spark, sf_dir):
     parsed = D.page_elements(spread(V.table(spark, sf_dir, "pages")), (), (), ())
-    rows = D.elements(parsed).where(F.col("tag").isin("a", "div", "article", "li", "nav", "style", "script", "title"))
-    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return D.elements(parsed).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def _parsed_forms(spark, sf_dir):
@@ -431,13 +468,23 @@ def inlined_css(spark, sf_dir):
     return rows.select("page_id", "html")
 
 
+@query
+def css_with_bad_address(spark, sf_dir):
+    """One reference of each sheet forms no address and stays as it is."""
+    sheets = V.table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.concat(F.lit("a{b:url(//["), "n_name", F.lit(")} c{d:url('../i/"), "n_name", F.lit(".png')}")).alias("css"))
+    return sheets.select("n_nationkey", H.absolutise_css(F.col("css"), F.lit("https://shop.example.com/css/n.css")).alias("css"))
+
+
 @query
 def frozen_values(spark, sf_dir):
-    fields = D.form_fields(D.forms(_parsed_forms(spark, sf_dir))).select("page_id", "name", "value", "checked")
-    live = V.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
-        F.col("c_custkey").alias("page_id"), F.lit("who").alias("name"), F.lit("typed").alias("live_value"),
-        F.lit(None).cast("boolean").alias("live_checked"))
-    return D.frozen_values(fields.where(F.col("name").isNotNull()), live, ("page_id", "name"))
+    """Live values come by element, for every field of every page."""
+    key = ("page_id", "form_index", "ord")
+    fields = D.form_fields(D.forms(_parsed_forms(spark, sf_dir))).select(*key, "name", "value", "checked")
+    typed = F.when((F.col("name") == "who") & (F.col("page_id") % 2 == 0), F.lit("typed"))
+    ticked = F.when((F.col("name") == "vip") & (F.col("page_id") % 3 == 0), F.lit(True))
+    live = fields.select(*key, typed.alias("live_value"), ticked.alias("live_checked"))
+    return D.frozen_values(fields, live, key).select("page_id", "name", "value", "checked")
 
 
 # --- Change detection, steps, traces --------------------------------------------------
