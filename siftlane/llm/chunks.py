@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlane.llm.worker import release
 from siftlane.session import stored
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
@@ -108,9 +109,9 @@ def packed(docs: DataFrame, limit: int = CHUNK_BYTES, tag: Column | None = None)
     return stored(rows, "chunks")
 
 
-def buckets_for(chunks: DataFrame) -> int:
-    """Buckets for keys of stored chunks: a bucket holds the keys of about four chunks, however many chunks there are."""
-    return max(8, -(-chunks.count() // CHUNKS_PER_BUCKET))
+def buckets_for(chunks: DataFrame, per_bucket: int = CHUNKS_PER_BUCKET) -> int:
+    """Buckets for keys of stored chunks: a bucket holds the keys of about ``per_bucket`` chunks, however many chunks there are."""
+    return max(8, -(-chunks.count() // per_bucket))
 
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -134,6 +135,7 @@ def each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
     for pdf in batches:
         for number, payload in zip(pdf["chunk"], pdf["payload"]):
             yield Chunk.unpack(int(number), payload)
+            release()
 
 
 def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], n_buckets: int, most: int = 0) -> DataFrame:
@@ -175,7 +177,9 @@ def with_answers(chunks: DataFrame, answers: DataFrame, run: Callable[[Chunk, di
         for kind, dtype in dtypes.items():
             parts = [expand(a, dtype) for a in right.loc[right["kind"] == kind, "answer"]]
             got[kind] = np.concatenate(parts) if parts else np.zeros(0, dtype)
-        return run(Chunk.unpack(int(left["chunk"].iloc[0]), left["payload"].iloc[0]), got)
+        out = run(Chunk.unpack(int(left["chunk"].iloc[0]), left["payload"].iloc[0]), got)
+        release()
+        return out
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: one(a, b), schema)
 

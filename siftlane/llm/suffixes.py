@@ -10,10 +10,14 @@ A byte is removed if some string of 100 bytes that covers it also starts earlier
   per trigger bucket. Only an entry's first occurrence is looked at further; all starts in its later occurrences repeat.
 * Suffix array. The suffixes of a bucket's dictionary are sorted by their first 100 bytes and ties by corpus order (entry by first occurrence, then offset);
   neighbours that agree form a class, of which the first in corpus order stays. Equal strings share a trigger, so they meet in one bucket.
+* A trigger that is very frequent (a passage in a large part of all documents, with ever other text around it) would fill one bucket. Strings with such
+  a trigger are hashed, with 96 bits, and each class goes to its own place.
 """
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,8 +26,12 @@ from pyspark.sql import types as T
 
 from siftlane.llm import chunks as C
 
-#: Bytes of a trigger gram (a power of two), and entries whose suffixes are sorted at once.
-GRAM, SORTED_ENTRIES = 32, 20_000
+#: Bytes of a trigger gram (a power of two), entries whose suffixes are sorted at once, suffixes compared at once.
+GRAM, SORTED_ENTRIES, AT_ONCE = 32, 6_000, 1 << 16
+#: Occurrences in the corpus from which a trigger counts as very frequent.
+FREQUENT = 200_000
+#: Every byte of a chunk takes some fifty bytes of arrays here, so chunks are smaller than elsewhere, and so are buckets.
+CHUNK_BYTES, CHUNKS_PER_BUCKET = 1 << 20, 4
 SPANS = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -73,6 +81,11 @@ class Phrases:
         for name in ("first", "count", "trigger", "key", "doc"):
             setattr(self, name, getattr(self, name)[mask])
 
+    def starts(self, order: np.ndarray) -> np.ndarray:
+        """All starts of the phrases, in the order given, phrase by phrase."""
+        count = self.count[order]
+        return np.repeat(self.first[order], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
     def records(self) -> np.ndarray:
         """Each phrase as bytes of fixed length: the text its starts reach, place of the trigger, number of starts."""
         reach = self.window - GRAM + 1
@@ -99,20 +112,49 @@ def _dictionary(phrases: Phrases):
     return records, order, new
 
 
-def _repeats(entries: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
-    """For distinct dictionary entries in corpus order: which of their starts (end to end) have an equal start before them."""
-    entry = np.repeat(np.arange(len(entries)), count)
-    offset = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+def _hashed(phrases: Phrases):
+    """Starts of the phrases and hashes of their strings, in the order of the hashes, and which of them are the first of their string."""
+    start = phrases.starts(np.arange(len(phrases.first)))
+    letters = C.multipliers(13, 256)[phrases.data] if len(start) else np.zeros(0, np.uint64)
+    one, two = (C.linear_hash(letters, start, C.multipliers(seed, phrases.window)) for seed in (14, 15))
+    two >>= np.uint64(32)
+    order = np.lexsort((start, two, one))
+    new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)][:len(order)]
+    return start[order], one[order], two[order], new
+
+
+def _later_of_hashed(one: np.ndarray, two: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which strings have an equal one before them."""
+    order = np.lexsort((*place, two, one))
+    later = np.zeros(len(one), bool)
+    later[order[1:]] = (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0)
+    return later
+
+
+def _repeats(entries: np.ndarray, count: np.ndarray, trigger: np.ndarray, window: int) -> np.ndarray:
+    """For distinct dictionary entries in corpus order: which of their starts (end to end) have an equal start before them.
+
+    Equal strings have their trigger at one distance, so suffixes are sorted distance by distance; one distance takes at most one start of an entry.
+    """
     width = entries.shape[1]
     every = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(entries).reshape(-1), window)
-    suffix = np.ascontiguousarray(every[entry * width + offset]).view(f"V{window}").ravel()
-    order = np.argsort(suffix, kind="stable")
-    later = np.zeros(len(suffix), bool)
-    later[order[1:]] = suffix[order[1:]] == suffix[order[:-1]]
+    base = np.cumsum(count) - count
+    later = np.zeros(int(count.sum()), bool)
+    for distance in range(window - GRAM + 1):
+        offset = trigger - distance
+        entry = np.flatnonzero((offset >= 0) & (offset < count))
+        if len(entry) < 2:
+            continue
+        place = base[entry] + offset[entry]
+        suffix = every[entry * width + offset[entry]].view(f"V{window}").ravel()
+        order = np.argsort(suffix, kind="stable")
+        for i in range(1, len(order), AT_ONCE):
+            these = order[i:i + AT_ONCE]
+            later[place[these]] = suffix[these] == suffix[order[i - 1:i - 1 + len(these)]]
     return later
 
 
-def byte_dedup(docs: DataFrame, window: int = 100, tag: Column | None = None) -> DataFrame:
+def byte_dedup(docs: DataFrame, window: int = 100, tag: Column | None = None, frequent: int = FREQUENT) -> DataFrame:
     """Remove every byte covered by a string of ``window`` bytes that also starts earlier; matches never cross documents.
 
     Returns doc_id, n_bytes, n_removed, spans (maximal removed runs, in bytes) and kept (the remaining bytes, which may cut a character). A null text is an
@@ -121,39 +163,46 @@ def byte_dedup(docs: DataFrame, window: int = 100, tag: Column | None = None) ->
     """
     if window < 2 * GRAM:
         raise ValueError(f"a window has {2 * GRAM} bytes or more")
-    chunks, tagged = C.packed(docs, tag=tag), tag is not None
-    n = C.buckets_for(chunks)
+    chunks, tagged = C.packed(docs, CHUNK_BYTES, tag), tag is not None
+    n = C.buckets_for(chunks, CHUNKS_PER_BUCKET)
 
     def keys_of(chunk: C.Chunk):
         keys, counts, _ = C.distinct(Phrases(chunk, window).key)
         return keys, counts
 
-    totals = C.global_counts(chunks, keys_of, n, most=2)
+    totals = C.global_counts(chunks, keys_of, n, most=max(2, frequent))
 
-    def candidates(chunk: C.Chunk, totals: np.ndarray) -> Phrases:
+    def candidates(chunk: C.Chunk, totals: np.ndarray) -> tuple[Phrases, Phrases]:
+        """Phrases whose trigger repeats, and those whose trigger is very frequent."""
         phrases = Phrases(chunk, window)
         _, _, place = C.distinct(phrases.key)
-        phrases.keep(totals[place] > 1 if len(place) else np.zeros(0, bool))
-        return phrases
+        total = totals[place] if len(place) else np.zeros(0, np.uint64)
+        hot = copy(phrases)
+        hot.keep(total >= max(2, frequent))
+        phrases.keep((total > 1) & (total < max(2, frequent)))
+        return phrases, hot
 
     def send(chunk: C.Chunk, got: dict) -> pd.DataFrame:
-        phrases = candidates(chunk, got[0])
+        phrases, hot = candidates(chunk, got[0])
         records, order, new = _dictionary(phrases)
         order = order[new]
-        key, records = phrases.key[order], records[order]
-        when, place = chunk.order()[phrases.doc[order]], phrases.first[order] - chunk.starts[phrases.doc[order]]
-        parts = list(C.by_bucket(key, n))
-        return pd.DataFrame({"bucket": [x[0] for x in parts], "chunk": chunk.number, "n": [b - a for _, a, b in parts],
-                             "keys": [C.squeeze(key[a:b]) for _, a, b in parts], "records": [C.squeeze(records[a:b]) for _, a, b in parts],
-                             "whence": [C.squeeze(np.stack([when[a:b], place[a:b]])) for _, a, b in parts]})
+        rows = _rows(chunk, False, phrases.key[order], records[order], phrases.first[order], n)
+        start, one, two, new = _hashed(hot)
+        rows += _rows(chunk, True, one[new], two[new].astype(np.uint32), start[new], n)
+        return pd.DataFrame(rows, columns=["bucket", "hot", "chunk", "n", "keys", "records", "whence"])
 
     def settle(bucket, pdf):
         sizes = pdf["n"].to_numpy()
         key = np.concatenate([C.expand(x, np.uint64) for x in pdf["keys"]])
-        records = np.concatenate([C.expand(x, np.uint8).reshape(m, -1) for x, m in zip(pdf["records"], sizes)])
         when, place = np.concatenate([C.expand(x, np.int64).reshape(2, -1) for x in pdf["whence"]], axis=1)
         chunk = np.repeat(pdf["chunk"].to_numpy(), sizes)
-        count = records[:, -2:].copy().view("<u2").ravel().astype(np.int64)
+        if bucket[1]:
+            two = np.concatenate([C.expand(x, np.uint32) for x in pdf["records"]]).astype(np.int64)
+            later = _later_of_hashed(key, two, chunk, place, when)
+            answers = np.split(later, np.cumsum(sizes)[:-1])
+            return pd.DataFrame({"chunk": pdf["chunk"], "kind": 2, "bucket": int(bucket[0]), "answer": [C.squeeze(x) for x in answers]})
+        records = np.concatenate([C.expand(x, np.uint8).reshape(m, -1) for x, m in zip(pdf["records"], sizes)])
+        trigger, count = records[:, -4:].copy().view("<u2").astype(np.int64).T
         corpus = np.lexsort((chunk, place, when))
         _, entry = np.unique(_as_one(records), return_inverse=True)
         first = np.full(entry.max() + 1, -1)
@@ -169,23 +218,25 @@ def byte_dedup(docs: DataFrame, window: int = 100, tag: Column | None = None) ->
         rank[corpus] = np.arange(len(corpus))
         for batch in _batches(first[~alone], key):
             batch = batch[np.argsort(rank[batch])]
-            found = _repeats(records[batch], count[batch], window)
+            found = _repeats(records[batch], count[batch], trigger[batch], window)
             for i, part in zip(batch, np.split(found, np.cumsum(count[batch])[:-1])):
                 later[ends[i] - count[i]:ends[i]] = part
         cuts = ends[np.cumsum(sizes)[:-1] - 1]
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": 1, "bucket": int(bucket[0]), "answer": [C.squeeze(x) for x in np.split(later, cuts)]})
 
-    sent = C.with_answers(chunks, totals, send, "bucket long, chunk long, n long, keys binary, records binary, whence binary", {0: np.uint64})
-    later = sent.groupBy("bucket").applyInPandas(settle, "chunk long, kind int, bucket long, answer binary")
+    sent = C.with_answers(chunks, totals, send, "bucket long, hot boolean, chunk long, n long, keys binary, records binary, whence binary", {0: np.uint64})
+    later = sent.groupBy("bucket", "hot").applyInPandas(settle, "chunk long, kind int, bucket long, answer binary")
 
     def finish(chunk: C.Chunk, got: dict) -> pd.DataFrame:
-        phrases = candidates(chunk, got[0])
+        phrases, hot = candidates(chunk, got[0])
         _, order, new = _dictionary(phrases)
-        count = phrases.count[order]
-        start = np.repeat(phrases.first[order], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        gone = np.repeat(~new, count)
+        gone = np.repeat(~new, phrases.count[order])
         gone[~gone] = got[1]
-        removed = C.covered(start[gone], window, len(phrases.data))
+        start, _, _, new = _hashed(hot)
+        gone_hot = ~new
+        gone_hot[new] = got[2]
+        gone = np.concatenate([phrases.starts(order)[gone], start[gone_hot]])
+        removed = C.covered(gone, window, len(phrases.data))
         rows = []
         for text, a, b in zip(chunk.texts(), chunk.starts.tolist(), chunk.ends.tolist()):
             own = removed[a:b]
@@ -200,7 +251,15 @@ def byte_dedup(docs: DataFrame, window: int = 100, tag: Column | None = None) ->
         return out.assign(tag=chunk.tags) if tagged else out
 
     schema = SPANS + ", tag string" * tagged
-    return C.with_answers(chunks, totals.unionByName(later), finish, schema, {0: np.uint64, 1: bool})
+    return C.with_answers(chunks, totals.unionByName(later), finish, schema, {0: np.uint64, 1: bool, 2: bool})
+
+
+def _rows(chunk: C.Chunk, hot: bool, key: np.ndarray, records: np.ndarray, first: np.ndarray, n: int) -> list[tuple]:
+    """Packed rows for the buckets of ascending keys, with the corpus place of each record."""
+    doc = np.searchsorted(chunk.ends, first, side="right")
+    when, place = chunk.order()[doc], first - chunk.starts[doc]
+    return [(bucket, hot, chunk.number, b - a, C.squeeze(key[a:b]), C.squeeze(np.ascontiguousarray(records[a:b])), C.squeeze(np.stack([when[a:b], place[a:b]])))
+            for bucket, a, b in C.by_bucket(key, n)]
 
 
 def _batches(entries: np.ndarray, key: np.ndarray):
