@@ -2,7 +2,7 @@
 
 Features are the 1- to 3-grams of lower-cased letters (everything else is a blank), hashed into 65,536 buckets. Document frequencies are counted over all labelled
 training documents. The weights are learnt with follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) on a bounded sample: per
-language the ``per_language`` documents with the smallest hash of doc_id. A fifth of the sample is held back to calibrate the temperature of the scores.
+language the documents whose hash of doc_id lies in the share of the range that holds ``per_language`` of them. A fifth of the sample is held back to calibrate the temperature of the scores.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.llm.worker import remembered
@@ -129,8 +129,8 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_label
 def train(labelled: DataFrame, per_language: int = 1500) -> Model:
     """Learn a model from doc_id, text and lang of the given rows; rows with a null doc_id or lang, or without a letter, teach nothing.
 
-    ``per_language`` bounds the sample that sets the weights; document frequencies come from all rows. The sample meets in one task: sparse vectors of at most
-    65,536 entries, per_language times the number of languages. With no usable row the model knows no language and predicts ``und``.
+    ``per_language`` bounds the sample that sets the weights (within the spread of a hash, some percent); document frequencies come from all rows. The sample
+    meets in one task: sparse vectors of at most 65,536 entries, per_language times the number of languages. With no usable row the model knows no language and predicts ``und``.
     """
     rows = labelled.where("doc_id is not null and lang is not null").select(
         F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -140,13 +140,14 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model:
     for r in told:
         if r.bucket >= 0:
             idf[r.bucket] = np.log((n_docs + 1) / (r.n + 1)) + 1
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    languages = sorted(r.lang for r in last)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(counts)
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), 1.0)
     number = {x: i for i, x in enumerate(languages)}
-    limits = F.create_map(*[F.lit(x) for r in last for x in (r.lang, r.h)])
+    # hashes are uniform: the share of their range that holds per_language documents, all of it for rarer languages
+    last = {x: min((1 << 63) - 1, (per_language << 64) // n - (1 << 63)) for x, n in counts.items()}
+    limits = F.create_map(*[F.lit(v) for item in last.items() for v in item])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
