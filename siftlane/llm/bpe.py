@@ -2,7 +2,7 @@
 
 A text is cut at its special strings, then by the tokenizer's pattern into short words. A word is held as part boundaries and the ranks of
 adjacent parts, in contiguous arrays: find the least rank (the leftmost of equals), delete that boundary, refresh the two neighbouring ranks, until no
-rank is left. Words of one length are worked on together, as rows of an array. Words that the worker has met before are looked up.
+rank is left. Words of one length are worked on together, as rows of an array. What stands between single blanks is looked up if the worker has met it before.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlane.llm.worker import remembered
+from siftlane.llm.worker import release, remembered
 
 #: Fixed value: the pattern that byte-level tokenizers of this kind split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer words are merged with a heap; words of one length that are merged at once; pieces of text that a worker remembers.
-SHORT, AT_ONCE, REMEMBERED = 48, 20_000, 400_000
+#: Longer words are merged with a heap; words of one length that are merged at once; pieces of text that a worker remembers; rows worked on at once.
+SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 800_000, 512
 NONE = np.iinfo(np.int32).max
 _TWO_BLANKS, _SINGLE_BLANK = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
@@ -46,6 +47,7 @@ class ByteBPE:
         back = {c: b for b, c in letters.items()}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.byte_ids = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
         self.size = max(self.bytes_of) + 1
@@ -55,8 +57,7 @@ class ByteBPE:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.pattern = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}  # ids of a blank and this piece, as the bytes of int32 numbers
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of adjacent parts; NONE where they do not merge."""
@@ -64,8 +65,8 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.ranks[at], NONE)
 
-    def merge_rows(self, parts: np.ndarray) -> list[np.ndarray]:
-        """Merge words of one length, one in each row."""
+    def merge_rows(self, parts: np.ndarray) -> list[bytes]:
+        """Merge words of one length, one in each row; the ids of each as the bytes of int32 numbers."""
         n, width = parts.shape
         parts = np.concatenate([parts, np.full((n, 1), -1, np.int32)], axis=1)
         ranks = np.full((n, width + 1), NONE, np.int32)
@@ -90,7 +91,9 @@ class ByteBPE:
             before = at > 0
             shifted[own[before], at[before] - 1] = self.rank(moved[own[before], at[before] - 1], moved[own[before], at[before]])
             parts[rows, :width], ranks[rows, :width] = moved, shifted
-        return [row[:k] for row, k in zip(parts, left.tolist())]
+        flat = parts[:, :width][np.arange(width)[None, :] < left[:, None]].tobytes()
+        ends = (4 * np.cumsum(left)).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
     def merge_long(self, data: bytes) -> np.ndarray:
         """Merge one long word: the same steps, with the least rank from a heap."""
@@ -123,74 +126,88 @@ class ByteBPE:
                 offer(before[i], i)
         return np.array([p for p in parts if p >= 0], np.int32)
 
-    def learn_words(self, words: set[str]) -> None:
+    def merge_words(self, words: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words.difference(self.words):
+        for word in words:
             data = word.encode()
             if len(data) > SHORT:
-                self.words[word] = self.merge_long(data).tobytes()
+                found[word] = self.merge_long(data).tobytes()
             else:
                 by_length.setdefault(len(data), []).append((word, data))
         for length, some in by_length.items():
             for i in range(0, len(some), AT_ONCE):
                 part = some[i:i + AT_ONCE]
-                rows = self.byte_ids[np.frombuffer(b"".join(d for _, d in part), np.uint8)].reshape(-1, length)
-                for (word, _), ids in zip(part, self.merge_rows(rows)):
-                    self.words[word] = ids.tobytes()
-
-    def learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        found = {p: self.pattern.findall(p) for p in pieces}
-        self.learn_words({w for words in found.values() for w in words})
-        for piece, words in found.items():
-            self.pieces[piece] = b"".join([self.words[w] for w in words])
+                rows = self.byte_ids[np.frombuffer(b"".join([d for _, d in part]), np.uint8)].reshape(-1, length)
+                found.update(zip([w for w, _ in part], self.merge_rows(rows)))
+        return found
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that can be encoded one by one."""
+        # letters, also after a blank, are one word of the pattern
+        cut = [(p,) if p.isalpha() or p[:1] == " " and p[1:].isalpha() else self.pattern.findall(p) for p in pieces]
+        found = self.merge_words({w for words in cut for w in words})
+        return [found[words[0]] if len(words) == 1 else b"".join([found[w] for w in words]) for words in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of int32 numbers."""
-        cut = [self._pieces(t) for t in texts]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        self.learn_pieces({p for pieces in cut for p in pieces if p.__class__ is str}.difference(self.pieces))
-        look = self.pieces.__getitem__
-        return [b"".join([look(p) if p.__class__ is str else np.int32(p).tobytes() for p in pieces]) for pieces in cut]
-
-    def _pieces(self, text: str) -> list:
-        """Pieces that can be encoded one by one, and the ids of special strings between them."""
+        cut = [self._parts(t) for t in texts]  # of each text: lists of pieces between single blanks, and ids of special strings
+        if len(self.after_blank) > REMEMBERED:
+            self.after_blank.clear()
+        lists = [part for parts in cut for part in parts if part.__class__ is list]
+        new = list(set(chain.from_iterable([part[1:] for part in lists])).difference(self.after_blank))
+        self.after_blank.update(zip(new, self.encode_pieces([" " + p for p in new])))
+        heads = list({part[0] for part in lists})
+        first = dict(zip(heads, self.encode_pieces(heads)))
+        look = self.after_blank.__getitem__
+        return [b"".join([np.int32(part).tobytes() if part.__class__ is int else first[part[0]] + b"".join(map(look, part[1:])) for part in parts])
+                for parts in cut]
+
+    def _parts(self, text: str) -> list:
         if self.special and any(s in text for s in self.special):
-            out: list = []
-            for part in self.cut.split(text):
-                out += [self.special[part]] if part in self.special else _blank_pieces(part)
-            return out
-        return _blank_pieces(text)
+            return [self.special[part] if part in self.special else _at_blanks(part) for part in self.cut.split(text)]
+        return [_at_blanks(text)]
+
+
+def _at_blanks(text: str) -> list[str]:
+    """Cut at every blank that has no white space beside it; no word of the pattern goes across the place before such a blank."""
+    return _SINGLE_BLANK.split(text) if _TWO_BLANKS.search(text) else text.split(" ")
 
 
-def _blank_pieces(text: str) -> list[str]:
-    """Cut before every blank that has no white space beside it; no word of the pattern goes across such a place."""
-    if not text:
-        return []
-    first, *rest = _SINGLE_BLANK.split(text) if _TWO_BLANKS.search(text) else text.split(" ")
-    return ([first] if first else []) + [" " + p for p in rest]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+        release()
 
 
-def _loaded(path: str) -> ByteBPE:
-    return remembered(f"bpe {path}", lambda: ByteBPE(path))
+def _encoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    """The batch with ``ids`` in place of ``text``."""
+    bpe = remembered(f"bpe {path}", lambda: ByteBPE(path))
+    found = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+    ends = np.cumsum([0] + [len(x) // 4 for x in found])
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+    names = [n for n in batch.schema.names if n not in ("text", "ids")]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, "ids"])
 
 
-#: Characters of text that are encoded at once.
-CHARS_AT_ONCE = 4 << 20
+def _decoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    """The batch with ``decoded`` beside ``ids``."""
+    bpe = remembered(f"bpe {path}", lambda: ByteBPE(path))
+    table, column, texts = bpe.table, batch.column("ids"), []
+    for i in range(len(column)):
+        ids = column[i].values
+        ids = np.zeros(0, np.int32) if ids is None else ids.to_numpy(zero_copy_only=False)
+        known = ids if not len(ids) or (ids.min() >= 0 and ids.max() < len(table)) else ids[(ids >= 0) & (ids < len(table))]
+        texts.append(b"".join(map(table.__getitem__, known.tolist())).decode("utf-8", "replace"))
+    names = [n for n in batch.schema.names if n != "decoded"]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size > CHARS_AT_ONCE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _texts(docs: DataFrame) -> DataFrame:
+    """Text as a string, and the other columns but ids."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids")]
+    return docs.select(*others, F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -200,21 +217,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     has no tokens. Columns other than text are kept as they are (one named ids is replaced); text is dropped. Every row is encoded on its own. An empty
     table gives no rows. Texts are taken whole.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "ids")]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [ids for part in _portions(texts) for ids in bpe.encode(part)]
-            ends = np.cumsum([0] + [len(x) // 4 for x in found])
-            values = pa.array(np.frombuffer(b"".join(found), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, "ids"])
-
-    schema = docs.select(*[F.col(f"`{n}`") for n in names], F.array(F.lit(0)).alias("ids")).schema
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    rows = _texts(docs)
+    schema = rows.drop("text").withColumn("ids", F.array(F.lit(0))).schema
+    return rows.mapInArrow(lambda batches: (_encoded(b, path) for b in _slices(batches)), schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -223,17 +228,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     Bytes that form no UTF-8 become U+FFFD; ids that the file does not have are skipped; null ids give an empty text.
     """
     schema = rows.withColumn("decoded", F.lit("")).schema
+    return rows.mapInArrow(lambda batches: (_decoded(b, path) for b in _slices(batches)), schema)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _loaded(path).bytes_of
-        for batch in batches:
-            column = batch.column("ids")
-            texts = []
-            for i in range(len(column)):
-                ids = column[i].values
-                known = map(bytes_of.get, ids.to_numpy(zero_copy_only=False).tolist()) if ids is not None else ()
-                texts.append(b"".join([b for b in known if b is not None]).decode("utf-8", "replace"))
-            names = [n for n in batch.schema.names if n != "decoded"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
-
-    return rows.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, in one pass over the rows: one Python worker a task instead of two."""
+    rows = _texts(docs)
+    schema = rows.drop("text", "decoded").withColumns({"ids": F.array(F.lit(0)), "decoded": F.lit("")}).schema
+    return rows.mapInArrow(lambda batches: (_decoded(_encoded(b, path), path) for b in _slices(batches)), schema)

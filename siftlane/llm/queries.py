@@ -57,7 +57,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return with_digests(bpe.decode(bpe.encode(docs, path), path)).drop("ids", "decoded")
+    return with_digests(bpe.round_trip(docs, path)).drop("ids", "decoded")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ def test_counts_refuse_tokenizers_that_keep_blanks(odd):
 def test_encode_and_decode(odd, nothing, byte_library):
     docs = odd.withColumn("ids", F.lit("clash"))
     rows = bpe.decode(bpe.encode(docs, BYTES), BYTES).collect()
+    assert sorted(map(str, bpe.round_trip(docs, BYTES).collect())) == sorted(map(str, rows)) and bpe.round_trip(nothing, BYTES).count() == 0
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     assert len(rows) == odd.count() and bpe.decode(bpe.encode(nothing, BYTES), BYTES).count() == 0
     for r in rows:
