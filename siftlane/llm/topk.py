@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlane.llm import chunks as C
@@ -103,13 +103,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) ->
     """
     asked = _usable(queries, scale).groupBy(F.col("id").alias("query_id")).agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
     n_blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
-    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))), "queries")
+    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("long")), "queries")
     packed = stored(_usable(rows, scale).mapInPandas(_packed, PACKED), "candidates")
     n_groups = max(1, -(-packed.count() // BLOCKS_PER_GROUP))
-    packed = packed.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(n_groups))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def every(n: int) -> Column:
+        # long like the other side's key: a cogroup deals both sides by the hash of the key, which depends on its type
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    packed = packed.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("long")).withColumn("block", every(n_blocks))
 
     def meet(state: DataFrame, run, schema: str) -> DataFrame:
-        spread = state.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+        spread = state.withColumn("group", every(n_groups))
         keys = ["dim", "group", "block"]
         nothing = {part.split()[0]: [] for part in schema.split(",")}
         return packed.groupBy(keys).cogroup(spread.groupBy(keys)).applyInPandas(

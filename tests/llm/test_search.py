@@ -58,6 +58,21 @@ def test_repeated_query_counts_once(spark):
     assert out == [(1, 1, 3, 256 * 768), (1, 2, 2, 256 * 512)]
 
 
+def test_many_blocks_in_many_partitions(spark, monkeypatch):
+    """Blocks and groups meet also where Spark does not put small partitions together."""
+    from siftlane.llm import topk
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 4)
+    monkeypatch.setattr(topk, "BLOCKS_PER_GROUP", 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-9, 9, 5).astype(float).tolist()) for i in range(120)]
+    queries = [r for r in rows if r[0] % 3 == 0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got(spark, rows, queries, 5) == brute_top(rows, queries, 5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_extra_columns_do_not_matter(spark):
     rows = spark.createDataFrame([(1, [1.0], 5), (2, [2.0], 6)], "id long, vec array<double>, block int").withColumn("dim", F.lit("x"))
     assert top_k(rows, rows, 1).count() == 2
