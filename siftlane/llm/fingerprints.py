@@ -52,7 +52,8 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     width = max(1.0, (float(high) - float(low) + 1) / max(1, -(-n // DOCS_PER_BLOCK))) if n else 1.0
     # in doubles, which cannot overflow and keep the order
     number = F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)).cast("long")
-    return docs.withColumn("block", F.coalesce(number, -1 - F.pmod(F.xxhash64("text"), F.lit(1024))))
+    # never null, also to the optimizer: branches that join on it then share one shuffle of the texts
+    return docs.withColumn("block", F.coalesce(number, -1 - F.pmod(F.xxhash64("text"), F.lit(1024)), F.lit(-1)))
 
 
 def _previous(blocks: DataFrame) -> DataFrame:
