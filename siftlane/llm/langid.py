@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlane.llm.worker import remembered
+from siftlane.llm.worker import release, remembered
 
 BUCKETS, GRAMS, BLANK = 1 << 16, 3, 32
 #: Follow-the-regularised-leader: rate, its offset, L1, L2, rounds over the sample.
@@ -169,7 +169,9 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model:
 def language(text: Column, model: Model) -> Column:
     """A struct lang_pred, score for each text: a language of the model and its calibrated probability; ``und`` and 0 for a null text or one without a letter."""
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        found = pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        release()
+        return found
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)
 

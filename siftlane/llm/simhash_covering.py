@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftlane.llm import chunks as C
 from siftlane.llm import graph
+from siftlane.llm.worker import release
 from siftlane.session import stored
 
 BITS, PARTS = 64, ((0, 21), (21, 21), (42, 22))
@@ -50,7 +51,9 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprint_column(text) -> F.Column:
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+        found = pd.Series([fingerprint(t) for t in texts], dtype="int64")
+        release()
+        return found
 
     return F.pandas_udf(run, "long")(text)
 
