@@ -131,6 +131,16 @@ def expand(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, all first bytes before all second ones: n keys take about 64 - log2(n) + 1.5 bits each."""
+    return squeeze(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
+
+
+def expand_keys(data: bytes) -> np.ndarray:
+    planes = expand(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
     for pdf in batches:
         for number, payload in zip(pdf["chunk"], pdf["payload"]):
@@ -138,8 +148,8 @@ def each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
             release()
 
 
-def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], n_buckets: int, most: int = 0) -> DataFrame:
-    """Count keys over all chunks.
+def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], n_buckets: int, most: int = 0, tight: bool = False) -> DataFrame:
+    """Count keys over all chunks. With ``tight`` keys travel as differences.
 
     ``keys_of`` gives a chunk's distinct keys, ascending, and how often the chunk holds each. Returns rows (chunk, kind 0, bucket, answer); a chunk's
     answers, in the order of buckets, hold the total of each of its keys (uint64; with ``most``, totals above it are stated as ``most``).
@@ -149,11 +159,11 @@ def global_counts(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray
             keys, counts = keys_of(chunk)
             parts = list(by_bucket(keys, n_buckets))
             yield pd.DataFrame({"bucket": [p[0] for p in parts], "chunk": chunk.number,
-                                "keys": [keys[a:b].tobytes() for _, a, b in parts],
+                                "keys": [squeeze_keys(keys[a:b]) if tight else keys[a:b].tobytes() for _, a, b in parts],
                                 "counts": [squeeze(counts[a:b].astype(np.uint32)) for _, a, b in parts]})
 
     def settle(key, pdf):
-        arrays = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+        arrays = [expand_keys(k) if tight else np.frombuffer(k, np.uint64) for k in pdf["keys"]]
         counts = np.concatenate([expand(c, np.uint32) for c in pdf["counts"]])
         keys = np.concatenate(arrays)
         order = np.argsort(keys)

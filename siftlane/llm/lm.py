@@ -16,6 +16,8 @@ from siftlane.llm import chunks as C
 
 #: The key whose count is the number of words.
 ALL_WORDS = np.uint64(1)
+#: From trigrams on, bytes of text in a chunk and chunks whose keys one bucket holds: the larger a chunk, the fewer keys travel.
+CHUNK_BYTES, CHUNKS_PER_BUCKET = 8 << 20, 2
 SCORES = "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double"
 
 
@@ -43,7 +45,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataF
     mean_log_score (null without words). Words are [^\\x20\\x09-\\x0D]+ as they stand. A null text has no words, score 0. Every row is a document of its
     own, also if it repeats a doc_id or has none. Other columns are ignored; an empty table gives no rows. Texts are taken whole, counts cover all rows.
     """
-    chunks = C.packed(docs)
+    large = order > 2
+    chunks = C.packed(docs, CHUNK_BYTES if large else C.CHUNK_BYTES)
 
     def keys_of(chunk: C.Chunk):
         grams = _Grams(chunk, order)
@@ -77,4 +80,5 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataF
         return pd.DataFrame({"doc_id": chunk.doc_ids(), "n_words": grams.lens, "n_backoff": short, "log_score": total_log,
                              "mean_log_score": pd.Series(mean, dtype=object).where(grams.lens > 0, None)})
 
-    return C.with_answers(chunks, C.global_counts(chunks, keys_of, C.buckets_for(chunks)), run, SCORES, {0: np.uint64})
+    counted = C.global_counts(chunks, keys_of, C.buckets_for(chunks, CHUNKS_PER_BUCKET if large else C.CHUNKS_PER_BUCKET), tight=large)
+    return C.with_answers(chunks, counted, run, SCORES, {0: np.uint64})
