@@ -168,15 +168,15 @@ def linked(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
         for a, b in near_pairs(cells, fps, home, radius):
             u, v = np.r_[u, a], np.r_[v, b]
             if len(u) > PAIRS_AT_ONCE:
-                u, v = _spanning(u, v)
-        u, v = _spanning(u, v)
+                u, v = spanning(u, v)
+        u, v = spanning(u, v)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     sent = fingerprints.select("fp").mapInPandas(send, "bucket long, cells binary, fps binary, home binary")
     return sent.groupBy("bucket").applyInPandas(settle, "u long, v long")
 
 
-def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few links with the same components."""
     nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
     root = graph.local_roots(len(nodes), place[:len(u)], place[len(u):])
@@ -192,10 +192,15 @@ def classes(docs: DataFrame, radius: int = 4) -> tuple[DataFrame, DataFrame]:
     prints = stored(docs.select(F.col("doc_id").cast("long"), fingerprint_column(F.col("text").cast("string")).alias("fp")), "fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = graph.components(linked(least, radius)).withColumnRenamed("node", "fp")
+    return prints, named_classes(least, roots)
+
+
+def named_classes(least: DataFrame, roots: DataFrame) -> DataFrame:
+    """The stored component (fp, component_id, first_fp) of each distinct fingerprint (fp, least), from the roots (fp, root) of those that have links."""
     every = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
     named = every.groupBy("root").agg(first.alias("first")).select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("first_fp"))
-    return prints, stored(every.join(named, "root").select("fp", "component_id", "first_fp"), "classes")
+    return stored(every.join(named, "root").select("fp", "component_id", "first_fp"), "classes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -215,9 +220,18 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     Of rows that repeat this doc_id, one with the smallest fingerprint stays. Where no row of a component has a doc_id, one of its rows stays.
     """
     _, named = classes(docs, radius)
+    return first_rows(docs, named, fingerprint_column(F.col("text").cast("string")))
+
+
+def keyed_rows(docs: DataFrame, fp: F.Column, what: F.Column) -> DataFrame:
+    """``what`` of each row, keyed by its doc_id (0 if null), whether that is null, and its fingerprint: columns id, none, fp and ``what``."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), fp.alias("fp"), what)
+
+
+def first_rows(docs: DataFrame, named: DataFrame, fp: F.Column) -> DataFrame:
+    """One row of each component, with all its columns."""
     keys = ["id", "none", "fp"]
     stay = named.select(F.coalesce("component_id", F.lit(0)).alias("id"), F.col("component_id").isNull().alias("none"), F.col("first_fp").alias("fp")).distinct()
-    doc_id = F.col("doc_id").cast("long")
-    keyed = docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"),
-                        fingerprint_column(F.col("text").cast("string")).alias("fp"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    keyed = keyed_rows(docs, fp, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).select("doc.*")
