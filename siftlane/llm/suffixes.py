@@ -1,4 +1,6 @@
-"""Substring dedup over bytes, by prefix-free parsing and suffix arrays.
+"""Substring dedup over bytes, by phrases as in prefix-free parsing and suffixes sorted to depth 100 per trigger bucket.
+
+The parse itself is neither built nor suffix-sorted: equal strings of 100 bytes share their trigger, so sorting inside trigger buckets finds all of them.
 
 A byte is removed if some string of 100 bytes that covers it also starts earlier in the corpus (smaller doc_id, or same document and earlier start).
 
