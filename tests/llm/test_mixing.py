@@ -64,6 +64,39 @@ def test_taken_is_near_the_target(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def check_repeated(docs, most_size):
+    rows = mix(docs).collect()
+    sizes, taken, aims = Counter(), Counter(), {}
+    for r in rows:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r["copies"] * r["size"]
+        aims[r.source] = r.target
+        assert 0 <= r.copies <= 3
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(order, brute_targets([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))])))
+    assert all(abs(taken[s] - want[s]) <= most_size / 2 + 1e-6 for s in want), (taken, want)
+    assert Counter(tuple(r) for r in mix(docs.repartition(3)).collect()) == Counter(tuple(r) for r in rows)
+    drawn = Counter((r.doc_id, r.source) for r in mixed_documents(docs).collect())
+    assert sum(drawn.values()) == sum(r.copies for r in rows)
+    return rows
+
+
+def test_repeated_rows_are_cut_inside_a_tie(spark):
+    """A third of all rows are one row; another third have no id and one text."""
+    same = spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("s0").alias("source"))
+    null = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("en").alias("lang"), F.lit("s1").alias("source"))
+    rest = spark.range(1000).select("id", F.expr("repeat('w ', cast(1 + id % 9 as int))").alias("text"), F.lit("en").alias("lang"), F.expr("concat('s', 2 + id % 3)").alias("source"))
+    rows = check_repeated(same.union(null).union(rest).repartition(5), 9)
+    assert 0 < sum(r.copies for r in rows if r.source == "s0") < 1000
+
+
+def test_only_repeated_rows(spark):
+    same = spark.range(100).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x y").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    check_repeated(same, 2)
+    blank = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit(None).cast("string").alias("source"))
+    assert {r.copies for r in check_repeated(blank.union(same), 2) if r.source is None} <= {0, 1}
+
+
 def test_documents_of_the_mix(spark):
     docs = large(spark).withColumnRenamed("n_chars", "size")
     copies = {r.doc_id: r.copies for r in mix(docs).collect()}
