@@ -13,25 +13,33 @@ A byte is removed if some string of 100 bytes that covers it also starts earlier
 * Suffix array. The suffixes of a bucket's dictionary are sorted by their first 100 bytes and ties by corpus order (entry by first occurrence, then offset);
   neighbours that agree form a class, of which the first in corpus order stays. Equal strings share a trigger, so they meet in one bucket.
 * A trigger that is very frequent (a passage in a large part of all documents, with ever other text around it) would fill one bucket. Strings with such
-  a trigger are hashed, with 96 bits, and each class goes to its own place.
+  a trigger are hashed, with 96 bits, and each class goes to its own place. The bound is a size switch: below it strings are compared byte by byte, above it by their
+  hashes, so the rows are the same but for collisions.
+* A document longer than a chunk is a chunk of its own, and a chunk takes some fifty bytes of arrays per byte: one text of 20 MB needs a GB in its task.
 """
 
 from __future__ import annotations
 
+import base64
+import pickle
+from collections.abc import Iterator
 from copy import copy
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftlane.llm import chunks as C
+from siftlane.llm.worker import release
 
-#: Bytes of a trigger gram (a power of two), entries whose suffixes are sorted at once, suffixes compared at once.
-GRAM, SORTED_ENTRIES, AT_ONCE = 32, 6_000, 1 << 16
-#: Occurrences in the corpus from which a trigger counts as very frequent.
-FREQUENT = 200_000
+#: Bytes of a trigger gram (a power of two), entries whose suffixes are sorted at once, suffixes compared at once, records made at once, rows restored at once.
+GRAM, SORTED_ENTRIES, AT_ONCE, RECORDS_AT_ONCE, ROWS_AT_ONCE = 32, 6_000, 1 << 16, 1 << 12, 256
+#: Occurrences in the corpus from which a trigger counts as very frequent: no bucket holds more phrases of one trigger than that.
+FREQUENT = 2_000
 #: Every byte of a chunk takes some fifty bytes of arrays here, so chunks are smaller than elsewhere, and so are buckets.
 CHUNK_BYTES, CHUNKS_PER_BUCKET = 1 << 20, 4
 SPANS = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -76,7 +84,7 @@ class Phrases:
         self.first = starts[new]
         self.count = np.diff(np.r_[new, len(starts)])
         self.trigger = trigger[new]
-        self.key = grams[self.trigger]
+        self.key = C.mixed(grams[self.trigger])  # a trigger's hash is a least one: mixed again, keys spread evenly over buckets
         self.doc = doc[self.first]
 
     def keep(self, mask: np.ndarray) -> None:
@@ -92,10 +100,11 @@ class Phrases:
         """Each phrase as bytes of fixed length: the text its starts reach, place of the trigger, number of starts."""
         reach = self.window - GRAM + 1
         width = self.window + reach - 1
-        place = self.first[:, None] + np.arange(width)
         out = np.zeros((len(self.first), width + 4), np.uint8)
-        if len(self.first):
-            out[:, :width] = np.where(np.arange(width) < (self.count + self.window - 1)[:, None], self.data[np.minimum(place, len(self.data) - 1)], 0)
+        every = np.lib.stride_tricks.sliding_window_view(np.r_[self.data, np.zeros(width, np.uint8)], width)
+        for i in range(0, len(self.first), RECORDS_AT_ONCE):
+            these = slice(i, i + RECORDS_AT_ONCE)
+            out[these, :width] = every[self.first[these]] * (np.arange(width) < (self.count[these] + self.window - 1)[:, None])
         out[:, width:width + 2] = (self.trigger - self.first).astype("<u2")[:, None].view(np.uint8)
         out[:, width + 2:] = self.count.astype("<u2")[:, None].view(np.uint8)
         return out
@@ -276,23 +285,36 @@ def _batches(entries: np.ndarray, key: np.ndarray):
             begin = end
 
 
-def kept_text(kept) -> Column:
-    """The kept bytes as text; the pieces of characters that a cut has left are dropped."""
-    def run(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return F.pandas_udf(run, "string")(kept)
+def _packed_values(rows: pa.Array) -> pa.Array:
+    """Each row of a struct array as text, exactly."""
+    return pa.array([base64.b64encode(pickle.dumps(tuple(r.values()))).decode() for r in rows.to_pylist()], pa.string())
 
 
 def dedup_documents(docs: DataFrame, window: int = 100) -> DataFrame:
     """The documents, all columns kept, with repeated bytes taken out of ``text`` and ``n_chars`` (if there is one) counted anew. A null text stays null.
 
-    The other columns travel with the text as JSON, so nothing is joined back by doc_id.
+    The pieces of characters that a cut has left are dropped. The other columns, of any type that Arrow has, travel unchanged with their text, so nothing is joined back
+    by doc_id.
     """
     others = [f for f in docs.schema.fields if f.name != "text"]
-    tag = F.to_json(F.struct(F.struct(*[F.col(f"`{f.name}`") for f in others]).alias("d"), F.col("text").isNull().alias("none")))
-    schema = T.StructType([T.StructField("d", T.StructType([T.StructField(f.name, f.dataType) for f in others])), T.StructField("none", T.BooleanType())])
-    rows = byte_dedup(docs, window, tag).select(F.from_json("tag", schema).alias("own"), kept_text("kept").alias("kept"))
-    text = F.when(~F.col("own.none"), F.col("kept"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col("own.d").getField(c).alias(c) for c in docs.columns])
+    names = [f"c{i}" for i in range(len(others))]
+    own = F.struct(F.col("text").isNull().alias("none"), *[F.col(f"`{f.name}`").alias(n) for f, n in zip(others, names)])
+    rows = byte_dedup(docs, window, F.arrow_udf(_packed_values, "string")(own)).select("kept", "tag")
+    schema = T.StructType([T.StructField("kept", T.StringType())] + [T.StructField(n, f.dataType) for f, n in zip(others, names)])
+    types = to_arrow_schema(schema)
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                values = [pickle.loads(base64.b64decode(tag)) for tag in part.column(1).to_pylist()]
+                texts = [None if v[0] else kept.decode("utf-8", "ignore") for v, kept in zip(values, part.column(0).to_pylist())]
+                columns = [texts, *([v[i + 1] for v in values] for i in range(len(names)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+            release()
+
+    found = rows.mapInArrow(restore, schema)
+    place = {f.name: F.col(n) for f, n in zip(others, names)} | {"text": F.col("kept")}
+    if "n_chars" in place:
+        place["n_chars"] = F.length("kept").cast("long")
+    return found.select(*[place[c].alias(c) for c in docs.columns])

@@ -67,6 +67,17 @@ def test_documents_keep_their_columns(odd):
     assert out.where("n_chars <> length(text)").count() == 0
 
 
+def test_columns_of_any_type_travel_unchanged(odd):
+    extra = {"at": F.expr("timestamp'2024-01-02 03:04:05.123456'"), "kinds": F.create_map(F.lit(1), F.lit("a"), F.lit(2), F.lit(None).cast("string")), "tag": F.lit(None).cast("date"),
+             "price": F.expr("cast(12.345 as decimal(9,3))"), "raw": F.encode("lang", "UTF-8"), "kept": F.array(F.col("n_chars"), F.lit(None).cast("long")),
+             "none": F.struct(F.lit(1.5).alias("none"), F.col("source"))}
+    rows = odd.withColumns(extra)
+    out = dedup_documents(rows)
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in rows.schema]
+    own = lambda df: sorted(str(r) for r in df.drop("text", "n_chars").collect())
+    assert own(out) == own(rows)
+
+
 def test_long_document_is_one_chunk(spark):
     docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([10, 500, 3, 2000, 1])], "doc_id long, text string").coalesce(1)
     assert packed(docs, limit=1000).count() >= 3
