@@ -17,6 +17,9 @@ from siftlane.operators.capture import ENDPOINT, both_sides, fetch, requests, re
 from siftlane.operators.catalog import status_positions
 from siftlane.profiles import CaptureProfile, profile_of
 
+#: Descriptions in the API document.
+ANSWERED, SUMMARY = "Auto-captured response", "Auto-captured "
+
 
 def openapi_requests(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """One row per endpoint: ``first_seq`` and the last truthy payload.
@@ -69,7 +72,7 @@ def openapi_path_items(requests_fold: DataFrame, responses_fold: DataFrame) -> D
     The arrays collected here hold one entry per status and per method.
     """
     answer = F.concat(
-        X.json_quote(F.col("status")), F.lit(':{"description":"Auto-captured response","content":{'),
+        X.json_quote(F.col("status")), F.lit(f':{{"description":"{ANSWERED}","content":{{'),
         X.json_quote(F.col("content_type")), F.lit(':{"example":'),
         json_example(F.col("example"), F.col("example_kind")), F.lit("}}}"))
     answers = (responses_fold.select(*ENDPOINT, F.struct("status", answer.alias("json")).alias("a"))
@@ -81,7 +84,7 @@ def openapi_path_items(requests_fold: DataFrame, responses_fold: DataFrame) -> D
         json_example(F.col("example"), F.col("example_kind")), F.lit("}}}"))).otherwise(F.lit(""))
     operation = F.concat(
         X.json_quote(F.lower("method")), F.lit(':{"summary":'),
-        X.json_quote(F.concat(F.lit("Auto-captured "), F.col("path"))),
+        X.json_quote(F.concat(F.lit(SUMMARY), F.col("path"))),
         F.lit(',"responses":'), _object(F.coalesce("answers", F.array().cast("array<string>"))),
         request_body, F.lit("}"))
     return (requests_fold.join(answers, ENDPOINT, "left")

@@ -13,6 +13,11 @@ from siftlane.functions import text as X
 from siftlane.functions.bodies import canonical_json
 from siftlane.operators.lineage import edge_lines
 
+#: The headings of the report, by which its readers find their way.
+TITLE, TARGET, GENERATED, ENDPOINTS = "# Investigation Report", "**Target URL:** `", "**Generated:** `", "## Discovered Business Endpoints"
+FULL_URL, STATUSES, SAMPLE = "- **Full URL:** `", "- **Observed HTTP Statuses:** `", "- **Sample Request Schema:**\n```json\n"
+CHART = "## Field Dependency Flow (Data Chains)\n```mermaid\ngraph TD"
+
 
 def json_entries(entries: DataFrame, ord_: str = "ord", key: str | None = "key", value: str = "value",
                  head: str | Column = "{", tail: str = "}", section: int = 1) -> DataFrame:
@@ -48,19 +53,19 @@ def report_rows(catalog: DataFrame, edges: DataFrame, meta: DataFrame) -> DataFr
     the header, 1 the endpoints, 2 to 4 the edge chart, which is absent without edges.
     """
     header = meta.select("session_id", F.concat_ws(
-        "\n", F.lit("# Investigation Report"),
-        F.concat(F.lit("**Target URL:** `"), F.col("target"), F.lit("`  ")),
-        F.concat(F.lit("**Generated:** `"), F.col("generated"), F.lit("`  ")),
-        F.lit(""), F.lit("## Discovered Business Endpoints"), F.lit("")).alias("line"))
+        "\n", F.lit(TITLE),
+        F.concat(F.lit(TARGET), F.col("target"), F.lit("`  ")),
+        F.concat(F.lit(GENERATED), F.col("generated"), F.lit("`  ")),
+        F.lit(""), F.lit(ENDPOINTS), F.lit("")).alias("line"))
     sample = F.try_element_at("sample_payloads", F.lit(1))
     shown = catalog.withColumn("__sample", F.when(sample.isNotNull(), sample_json(sample, indent=2)))
     endpoint_block = F.concat_ws(
         "\n",
         F.concat(F.lit("### `"), F.col("method"), F.lit("` `"), F.col("path"), F.lit("`")),
-        F.concat(F.lit("- **Full URL:** `"), F.col("url"), F.lit("`")),
-        F.concat(F.lit("- **Observed HTTP Statuses:** `"), X.status_text(F.col("response_statuses")), F.lit("`")),
+        F.concat(F.lit(FULL_URL), F.col("url"), F.lit("`")),
+        F.concat(F.lit(STATUSES), X.status_text(F.col("response_statuses")), F.lit("`")),
         F.when(F.col("__sample").isNotNull(), F.concat(
-            F.lit("- **Sample Request Schema:**\n```json\n"), F.col("__sample"), F.lit("\n```"))),
+            F.lit(SAMPLE), F.col("__sample"), F.lit("\n```"))),
         F.lit(""))
     chart = edge_lines(edges)
     charted = chart.select("session_id").distinct()
@@ -68,7 +73,6 @@ def report_rows(catalog: DataFrame, edges: DataFrame, meta: DataFrame) -> DataFr
     return (header.select("session_id", F.lit(0).alias("section"), zero, "line")
             .unionByName(shown.select("session_id", F.lit(1).alias("section"), F.col("first_seq").alias("ord"),
                                       endpoint_block.alias("line")))
-            .unionByName(charted.select("session_id", F.lit(2).alias("section"), zero, F.lit(
-                "## Field Dependency Flow (Data Chains)\n```mermaid\ngraph TD").alias("line")))
+            .unionByName(charted.select("session_id", F.lit(2).alias("section"), zero, F.lit(CHART).alias("line")))
             .unionByName(chart.select("session_id", F.lit(3).alias("section"), "ord", "line"))
             .unionByName(charted.select("session_id", F.lit(4).alias("section"), zero, F.lit("```\n").alias("line"))))

@@ -459,6 +459,17 @@ ORACLES["lineage_edges_capped"] = _with("v1", _REQ_LEAVES, _RESP_LEAVES, _uses("
 ORACLES["log_roundtrip"] = _with("v2") + f"""
   SELECT session_id, seq, method, url, {_root(_path('url'))} AS path, body, truthy AS body_is_json, {_block_v2("url")} AS block_reason,
     ':path=/;Host=api;authorization=***;content-length=9;content-type=' || content_type AS headers FROM req"""
+
+
+def _written(lines: str) -> str:
+    """Lines of a document as its file has them, numbered by session."""
+    return f"""
+      SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY section, ord, line, i) AS line_no, part AS line
+      FROM (SELECT *, unnest(string_split(line, chr(10))) AS part, generate_subscripts(string_split(line, chr(10)), 1) AS i FROM ({lines}))"""
+
+
+for _name, _lines in (("endpoint_map_written", "endpoint_map"), ("openapi_written", "openapi_documents"), ("report_written", "report_lines")):
+    ORACLES[_name] = _written(ORACLES[_lines])
 ORACLES["edges_roundtrip"] = f"SELECT * EXCLUDE (first_seq) FROM ({ORACLES['lineage_edges_v2']})"
 ORACLES["dom_roundtrip"] = """
   SELECT c_mktsegment AS session_id, c_custkey // 4 AS page_id, string_agg((c_custkey % 4) || ':f' || c_custkey || ':5:' || c_name

@@ -1,8 +1,8 @@
 """Table and document sinks.
 
 Tables go out as JSON lines or parquet, range partitioned by session and order: a session of
-any size spreads over many files and small sessions share one.  Documents (``write_lines``)
-are text files below ``session_id=...``; read in name order they form the document.
+any size spreads over many files and small sessions share one.  Documents go out through
+``documents.write_lines``, which shares files among sessions in the same way.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftlane.functions import text as X
 from siftlane.operators.openapi import openapi_path_items
 from siftlane.operators.report import json_entries, report_rows, sample_json
+from siftlane.sinks.documents import write_lines
 
 # Keeps files of a large session at a readable size.
 RECORDS_PER_FILE = 2_000_000
@@ -23,13 +24,6 @@ def _write(df: DataFrame, path: str, fmt: str, order: list[str]) -> None:
      .write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).format(fmt).save(path))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Write document lines ``(session_id, section, ord, line)`` as text."""
-    order = ["session_id", "section", "ord", "line"]
-    (lines.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-     .select("session_id", "line").write.mode("overwrite").partitionBy("session_id").text(path))
-
-
 def write_network_log(log: DataFrame, path: str, fmt: str = "json") -> None:
     _write(log, path, fmt, ["session_id", "seq"])
 

@@ -13,9 +13,10 @@ from siftlane.operators.capture import network_log, pair_responses
 from events import Model, frame, random_events
 
 
-def document(path, session):
-    files = sorted((path / f"session_id={session}").glob("part-*"))
-    return "\n".join(f.read_text().rstrip("\n") for f in files if f.stat().st_size)
+def document(spark, path, session):
+    rows = sinks.read_documents(spark, str(path), [session]).orderBy("line_no").collect()
+    assert [r.line_no for r in rows] == list(range(1, len(rows) + 1)) and {r.session_id for r in rows} == {session}
+    return "\n".join(r.line for r in rows)
 
 
 def rows_of(spark, path):
@@ -42,19 +43,19 @@ def test_capture_tables_and_documents(spark, tmp_path):
         assert {(r.source.origin_endpoint, r.consumer.field_path) for r in rows_of(spark, out / "edges")} == {(e[1], e[4]) for e in model.edges}
         for session in ("s0", "s1"):
             mine = {k: e for k, e in model.endpoints.items() if k[0] == session}
-            held = json.loads(document(out / "map", session))
+            held = json.loads(document(spark, out / "map", session))
             assert list(held) == [f"{k[1]} {k[2]}" for k, e in sorted(mine.items(), key=lambda x: x[1]["first_seq"])]
             for (_, method, path), e in mine.items():
                 assert held[f"{method} {path}"]["response_statuses"] == sorted(e["statuses"])
                 assert len(held[f"{method} {path}"]["sample_payloads"]) == len(e["samples"])
-            api = json.loads(document(out / "api", session))
+            api = json.loads(document(spark, out / "api", session))
             assert api["openapi"] == "3.0.0" and api["info"] == {"title": "T", "version": "1.0"}
             assert {(m.upper(), p) for p, ops in api["paths"].items() for m in ops} == {k[1:] for k in mine}
             for (s, method, path), (ctype, _) in model.requests_fold.items():
                 if s == session:
                     body = api["paths"][path][method.lower()].get("requestBody")
                     assert (list(body["content"])[0] if body else None) == ctype
-            report = document(out / "report", session).split("\n")
+            report = document(spark, out / "report", session).split("\n")
             assert report[:2] == ["# Investigation Report", "**Target URL:** `https://t`  "]
             assert sum(line.startswith("### `") for line in report) == len(mine)
             assert ("graph TD" in report) == any(e[0] == session for e in model.edges)
