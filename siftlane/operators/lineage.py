@@ -2,8 +2,8 @@
 
 An as-of equi join without a join: both sides are unioned and a window carries the last
 producer forward, so a frequent token costs its row count and never a product of the two
-sides.  The window is blocked (see ``ordered``): a token or session that owns a third of all
-leaves is spread over as many partitions as it has blocks of events.
+sides.  The window is cut into blocks (see ``ordered``): a token or session that owns a third of
+all leaves is spread over as many tasks as it has blocks of rows.
 """
 
 from __future__ import annotations
@@ -31,37 +31,26 @@ def _sides(consumers: DataFrame, producers: DataFrame, columns: list[str], origi
 
 
 def asof_match(consumers: DataFrame, producers: DataFrame, key: Sequence[str], pos: str = "seq",
-               origin: str = "origin", block: int = BLOCK,
-               carry: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+               origin: str = "origin", block: int = BLOCK) -> DataFrame:
     """Consumers with the ``origin`` of the last producer at a strictly smaller ``pos``.
 
-    No match, no row.  Producers must be unique per ``(key, pos)``.  ``carry`` optionally gives
-    the same two tables cut down to (at least) the keys that reach past one block, for inputs
-    that are costly to compute and filter.
+    No match, no row.  Producers must be unique per ``(key, pos)``.
     """
-    columns = [*key, pos]
-    carry_from = None
-    if carry is not None:
-        carry_from = _sides(carry[0].select(*columns), carry[1], columns, origin)
-    matched = asof_last(_sides(consumers, producers, columns, origin), key, pos, origin, "__found",
-                        [_SIDE], block, carry_from)
+    both = _sides(consumers, producers, [*key, pos], origin)
+    matched = asof_last(both, key, pos, origin, "__found", [_SIDE], block)
     return (matched.where((F.col(_SIDE) == 0) & F.col("__found").isNotNull())
             .withColumn(origin, F.col("__found")).drop("__found", _SIDE))
 
 
-def value_lineage(leaves: DataFrame, block: int = BLOCK, carry_from: DataFrame | None = None) -> DataFrame:
+def value_lineage(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every use of a known value: edge columns with the position ``(seq, ord)`` of the use.
 
-    ``leaves`` has both sides (``capture_leaves``).  A use sees producers of smaller ``seq``
-    only; of those the last one counts, and within one response its last leaf.  ``carry_from``
-    optionally holds the leaves (at least) of the keys that reach past one block.
+    ``leaves`` has both sides (``capture_leaves``) and is read more than once: pass it stored.  A
+    use sees producers of smaller ``seq`` only; of those the last one counts, and within one
+    response its last leaf.
     """
-    def with_origin(df: DataFrame) -> DataFrame:
-        origin = F.when(F.col("side") == 1, F.struct("endpoint", "field_path"))
-        return df.withColumn("origin", origin)
-
-    found = asof_last(with_origin(leaves), ["session_id", "token"], "seq", "origin", "source", ["side", "ord"],
-                      block, None if carry_from is None else with_origin(carry_from))
+    origin = F.when(F.col("side") == 1, F.struct("endpoint", "field_path"))
+    found = asof_last(leaves.withColumn("origin", origin), ["session_id", "token"], "seq", "origin", "source", ["side", "ord"], block)
     return found.where((F.col("side") == 0) & F.col("source").isNotNull()).select(
         "session_id", "seq", "ord",
         F.col("source.endpoint").alias("source_endpoint"), F.col("source.field_path").alias("source_field"),
@@ -71,11 +60,11 @@ def value_lineage(leaves: DataFrame, block: int = BLOCK, carry_from: DataFrame |
 def lineage_uses(events: DataFrame, profile: str | CaptureProfile = "v2", block: int = BLOCK) -> DataFrame:
     """All uses in a capture log.
 
-    Bodies are read and parsed once: the leaves are stored, as narrow rows, and both the
-    blocks and what is carried between them are computed from those.
+    Bodies are read and parsed once: the leaves are stored, as narrow rows, and the blocks, what
+    is carried between them and the window are computed from those.
     """
     leaves = stored(capture_leaves(both_sides(events, profile), profile), "leaves")
-    return value_lineage(leaves, block, leaves)
+    return value_lineage(leaves, block)
 
 
 def distinct_edges(matches: DataFrame, edge_limit: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlane.functions.html import absolutise_css, inject_base
 from siftlane.functions.text import content_hash, step_name
 from siftlane.operators.ordered import BLOCK, changed_only, with_index
+from siftlane.session import stored
 
 
 def stylesheet_links(parsed: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -62,19 +63,17 @@ def page_steps(states: DataFrame, block: int = BLOCK) -> DataFrame:
     Numbers start at 1 and have no gaps; ``ts`` orders the states, ``page_id`` breaks ties.
     """
     placed = states.withColumn("__at", F.unix_micros("ts"))
-    # A block of positions is a 65-millisecond span here; scale to seconds to keep blocks full.
-    placed = placed.withColumn("__sec", F.expr("`__at` div 1000000L"))
-    numbered = with_index(placed, ["session_id"], "__sec", "step", 1, ["__at", "page_id"], block)
-    return (numbered.withColumn("step_name", step_name(F.col("step"), F.col("ts"))).drop("__at", "__sec"))
+    numbered = with_index(placed, ["session_id"], "__at", "step", 1, ["page_id"], block)
+    return numbered.withColumn("step_name", step_name(F.col("step"), F.col("ts"))).drop("__at")
 
 
 def changed_pages(states: DataFrame, block: int = BLOCK) -> DataFrame:
     """Steps of the page states that differ from the state before: ``session_id, page_id, step, step_name``.
 
-    ``(session_id, page_id)`` is unique.  Only digests go through windows; join the result with
-    the states to get their pages.
+    ``(session_id, page_id)`` is unique.  Pages are read and hashed once: the digests are stored,
+    and only they go through windows; join the result with the states to get their pages.
     """
-    narrow = states.select("session_id", "page_id", "ts", content_hash(F.col("html")).alias("digest"))
+    narrow = stored(states.select("session_id", "page_id", "ts", content_hash(F.col("html")).alias("digest")), "digests")
     kept = changed_only(narrow.where(F.col("digest").isNotNull()), ["session_id"], "page_id", "digest", block=block)
     return page_steps(kept.drop("digest"), block).select("session_id", "page_id", "step", "step_name")
 
