@@ -23,7 +23,7 @@ from siftlane.operators.capture import both_sides, network_log
 from siftlane.plans import derived as V
 from siftlane.plans.queries import _frames, _long, _parsed_forms, map_text, query
 from siftlane.session import ensure_checkpoint_dir, stored
-from siftlane.streaming import changed_pages_stream, drain, drop_late, first_samples_stream, lineage_stream
+from siftlane.streaming import changed_pages_stream, drain, drop_late, first_samples_stream, lineage_stream, settle_lineage
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -173,8 +173,18 @@ def stream_lineage(spark, sf_dir):
     chat = V.chat_capture(spark, sf_dir)
     answer, early = F.col("kind") == "response", F.col("seq") < 3
     place = V.fed([chat.where(answer & ~early), chat.where(answer & early), chat.where(~answer & ~early), chat.where(~answer & early)], "chat")
-    uses = drain(lineage_stream(sources.stream_capture(spark, place, "parquet", 2), "v2"))
-    return uses.drop("batch").withColumn("ord", _long("ord"))
+    uses = settle_lineage(drain(lineage_stream(sources.stream_capture(spark, place, "parquet", 2), "v2")))
+    return uses.withColumn("ord", _long("ord"))
+
+
+@query
+def stream_lineage_late(spark, sf_dir):
+    """Conversations in four parts, questions first: every edge comes from a response that is late, and later turns come before earlier ones."""
+    chat = V.chat_capture(spark, sf_dir)
+    answer, early = F.col("kind") == "response", F.col("seq") < 3
+    place = V.fed([chat.where(~answer & ~early), chat.where(answer & ~early), chat.where(~answer & early), chat.where(answer & early)], "chat")
+    uses = settle_lineage(drain(lineage_stream(sources.stream_capture(spark, place, "parquet", 2), "v2")))
+    return uses.withColumn("ord", _long("ord"))
 
 
 @query

@@ -1,9 +1,9 @@
 """The operators on Structured Streaming."""
 
+from siftlane.streaming.lineage import lineage_stream, settle_lineage
 from siftlane.streaming.online import (
-    catalog_stream, changed_pages_stream, drain, drop_late, first_samples_stream, lineage_stream,
-    settle_catalog, use_rocksdb,
+    catalog_stream, changed_pages_stream, drain, drop_late, first_samples_stream, settle_catalog, use_rocksdb,
 )
 
 __all__ = ["catalog_stream", "changed_pages_stream", "drain", "drop_late",
-           "first_samples_stream", "lineage_stream", "settle_catalog", "use_rocksdb"]
+           "first_samples_stream", "lineage_stream", "settle_catalog", "settle_lineage", "use_rocksdb"]

@@ -1,16 +1,13 @@
-"""Online lineage, catalog, samples and page changes.
+"""Online catalog, samples and page changes; ``lineage`` has the lineage.
 
-State is keyed as finely as the semantics allow (session and token, endpoint and salt, page)
-and lives in RocksDB.  A micro-batch is bounded by the source's file limit, which bounds what
-one key can bring to one task at a time; across batches a key's state is a single small row.
-Late responses cannot change edges already emitted: the batch operators give the whole
-answer, and both agree when no response comes after a request that it precedes.
+State is keyed as finely as the semantics allow (endpoint and salt, session) and lives in
+RocksDB.  A micro-batch is bounded by the source's file limit, which bounds what one key can
+bring to one task at a time.
 """
 
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +18,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from siftlane.functions.text import content_hash
 from siftlane.operators.capture import ENDPOINT, both_sides, requests, with_json_facts
-from siftlane.operators.leaves import capture_leaves
 from siftlane.profiles import CaptureProfile, profile_of
 from siftlane.session import ensure_checkpoint_dir
 
@@ -60,60 +56,6 @@ def drop_late(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "seq"])
 
 
-class _Origins(StatefulProcessor):
-    """State per (session, token): its producers, less those that repeat the one before them.
-
-    A request sees the last producer before it, also if newer ones came in earlier.
-    """
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.origins = handle.getListState("origins", "seq long, endpoint string, field_path string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        asked, given = [], {}
-        for part in rows:
-            part = part.sort_values(["seq", "ord"], kind="stable")
-            asked.append(part[part["side"] == 0])
-            for row in part[part["side"] == 1].itertuples(index=False):
-                given[int(row.seq)] = max(given.get(int(row.seq), (-1,)), (int(row.ord), row.endpoint, row.field_path))
-        held = {int(o[0]): (o[1], o[2]) for o in self.origins.get()} if self.origins.exists() else {}
-        held |= {seq: (endpoint, path) for seq, (_, endpoint, path) in given.items()}
-        places = sorted(held)
-        if given:
-            changes = [s for i, s in enumerate(places) if i == 0 or held[s] != held[places[i - 1]]]
-            self.origins.put([(s, *held[s]) for s in changes])
-        out = []
-        for row in pd.concat(asked).itertuples(index=False) if places and asked else ():
-            before = bisect_left(places, int(row.seq))
-            if before:
-                out.append((key[0], int(row.seq), int(row.ord), *held[places[before - 1]], row.endpoint, row.field_path))
-        if out:
-            yield pd.DataFrame(out, columns=_EDGE_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-_EDGE_COLUMNS = ["session_id", "seq", "ord", "source_endpoint", "source_field", "consumer_endpoint", "consumer_field"]
-_EDGE_SCHEMA = ("session_id string, seq long, ord int, source_endpoint string, source_field string, "
-                "consumer_endpoint string, consumer_field string")
-
-
-def lineage_stream(events: DataFrame, profile: str | CaptureProfile = "v2", ttl_ms: int | None = None) -> DataFrame:
-    """Matched uses as they arrive; distinct edges and caps belong downstream.
-
-    Requests may come late: they find the last producer before them among all that have come.
-    ``ttl_ms`` forgets producers not renewed for that long (default: never).
-    """
-    use_rocksdb(events.sparkSession)
-    return (capture_leaves(events, profile).groupBy("session_id", "token")
-            .transformWithStateInPandas(_Origins(ttl_ms), outputStructType=_EDGE_SCHEMA,
-                                        outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"))
-
-
 def catalog_stream(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """Endpoints with first URL and statuses, for update mode.
 

@@ -45,6 +45,104 @@ def test_lineage_stream_equals_batch(spark, feed):
     assert got.select("batch").distinct().count() > 1
 
 
+def test_lineage_stream_corrects_itself(spark, tmp_path):
+    """The events in parts out of order, one file at a time: after a batch the settled rows are the batch operator's answer for the events so far."""
+    rows = random_events(13, 60)
+    names = [f.name for f in schemas.CAPTURE]
+    parts = [rows[at * 10:(at + 1) * 10] for at in (5, 0, 3, 1, 4, 2)]
+    for i, part in enumerate(parts):
+        write_at(tmp_path / f"part-{i}.json", [json.dumps(dict(zip(names, r))) for r in part], i)
+    got = drain(streaming.lineage_stream(stream_capture(spark, str(tmp_path), files_per_batch=1), "v2"))
+    assert got.where("change < 0").count() > 0
+    columns = streaming.settle_lineage(got).columns
+    for i in (2, 5):
+        want = lineage_uses(frame(spark, sum(parts[:i + 1], [])), "v2")
+        assert rows_of(streaming.settle_lineage(got.where(F.col("batch") <= i)), *columns) == rows_of(want, *columns)
+
+
+class Handle:
+    """State in dictionaries that count what is read and written."""
+
+    def __init__(self):
+        self.map, self.value, self.reads, self.writes = {}, None, 0, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        handle = self
+
+        class Value:
+            def exists(self):
+                return handle.value is not None
+
+            def get(self):
+                return handle.value
+
+            def update(self, value):
+                handle.value = value
+        return Value()
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self.map[key] = value
+
+
+def fed(processor, rows):
+    import pandas as pd
+    parts = iter([pd.DataFrame(rows, columns=["side", "seq", "ord", "endpoint", "field_path"])])
+    return [tuple(r) for out in processor.handleInputRows(("s", "t"), parts, None) for r in out.itertuples(index=False)]
+
+
+def plain_uses(rows):
+    out = []
+    for side, seq, ord_, endpoint, path in rows:
+        given = [r for r in rows if r[0] and r[1] < seq]
+        if not side and given:
+            last = max(given, key=lambda r: (r[1], r[2]))
+            out.append(("s", seq, ord_, *last[3:], endpoint, path))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lineage_state_in_any_order(seed):
+    """Events of one token in random order and batches, blocks of three positions."""
+    import random
+    from collections import Counter
+    from siftlane.streaming.lineage import _Lineage
+    rng = random.Random(seed)
+    rows = [(int(rng.random() < 0.4), seq, ord_, f"e{rng.randrange(3)}", f"f{ord_}") for seq in rng.sample(range(200), 60) for ord_ in range(rng.choice([1, 1, 2]))]
+    rng.shuffle(rows)
+    processor, held, seen = _Lineage(None, 3), Counter(), []
+    processor.init(Handle())
+    for i in range(0, len(rows), 7):
+        for *row, change in fed(processor, rows[i:i + 7]):
+            held[tuple(row)] += change
+        seen += rows[i:i + 7]
+        assert sorted(held.elements()) == plain_uses(seen) and min(held.values(), default=0) >= 0
+
+
+def test_lineage_state_per_batch_is_bounded():
+    """A token that alternates between endpoints for 20,000 positions: a batch reads and writes a few blocks, not the history."""
+    from siftlane.streaming.lineage import SPAN, _Lineage
+    handle = Handle()
+    processor, most = _Lineage(None), 0
+    processor.init(handle)
+    for begin in range(0, 20_000, 100):
+        before = handle.reads + handle.writes
+        fed(processor, [(int(i % 4 > 0), i, 0, f"e{i % 2}", "f") for i in range(begin, begin + 100)])
+        most = max(most, handle.reads + handle.writes - before)
+    assert len(handle.map) == -(-20_000 // SPAN) and most <= 8
+    before = handle.reads + handle.writes
+    out = fed(processor, [(1, 301, 5, "late", "f"), (1, 9_000, 0, "late", "f")])
+    assert handle.reads + handle.writes - before <= 6 and len(out) <= 4
+    assert max(len(text) for (text,) in handle.map.values()) < 60 * SPAN
+
+
 def test_catalog_stream_equals_batch(spark, feed):
     folder, batch = feed
     rows = drain(streaming.catalog_stream(stream_capture(spark, folder, files_per_batch=1), "v1"), "update")
