@@ -47,7 +47,8 @@ def test_lineage_stream_equals_batch(spark, feed):
 
 def test_lineage_stream_corrects_itself(spark, tmp_path):
     """The events in parts out of order, one file at a time: after a batch the settled rows are the batch operator's answer for the events so far."""
-    rows = random_events(13, 60)
+    rows = [(*r[:5], "xhr", "GET", f"https://h/p{i * i % 5}", {"content-type": "application/json"}, f'{{"id":"tok-{i % 2}"}}', r[10])
+            for i, r in enumerate(random_events(13, 60))]
     names = [f.name for f in schemas.CAPTURE]
     parts = [rows[at * 10:(at + 1) * 10] for at in (5, 0, 3, 1, 4, 2)]
     for i, part in enumerate(parts):
