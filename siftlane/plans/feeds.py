@@ -23,7 +23,9 @@ from siftlane.operators.capture import both_sides, network_log
 from siftlane.plans import derived as V
 from siftlane.plans.queries import _frames, _long, _parsed_forms, map_text, query
 from siftlane.session import ensure_checkpoint_dir, stored
-from siftlane.streaming import changed_pages_stream, drain, drop_late, first_samples_stream, lineage_stream, settle_lineage
+from siftlane.streaming import (
+    changed_pages_stream, drain, drop_late, first_samples_stream, late_events, lineage_stream, ordered_pages_stream, settle_lineage,
+)
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -210,6 +212,51 @@ def stream_page_changes(spark, sf_dir):
     return drain(changed_pages_stream(sources.stream_pages(spark, place, "parquet", 2))).select("session_id", "page_id", "url")
 
 
+def _user_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of one page per user, one a second."""
+    return V.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("user-"), "user_id").alias("session_id"), F.col("event_id").alias("page_id"), F.timestamp_seconds("event_id").alias("ts"),
+        F.lit(0).alias("frame_index"), F.concat(F.lit("https://h/"), F.col("event_id") % 2).alias("url"), F.col("event_type").alias("html"))
+
+
+def _clock(states: DataFrame, days: int) -> DataFrame:
+    """A state of no user that moves the watermark on by so many days."""
+    return states.groupBy().agg(F.max("ts").alias("ts")).select(
+        F.lit("clock").alias("session_id"), F.lit(-1).cast("long").alias("page_id"), (F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"),
+        F.lit(0).alias("frame_index"), F.lit("").alias("url"), F.lit("").alias("html"))
+
+
+@query
+def stream_page_changes_shuffled(spark, sf_dir):
+    """The states in four parts dealt by hash, each over all times: compared in the order of event time."""
+    states = _user_states(spark, sf_dir)
+    part = F.pmod(F.xxhash64("page_id"), F.lit(4))
+    place = V.fed([*(states.where(part == i) for i in range(4)), _clock(states, 60)], "pages")
+    changed = drain(ordered_pages_stream(sources.stream_pages(spark, place, "parquet", 2), "30 days"))
+    return changed.where("session_id <> 'clock' and not late").select("session_id", "page_id", "url")
+
+
+@query
+def stream_late_pages(spark, sf_dir):
+    """Nine tenths of the states, a clock two days on, and the rest, which is late: marked, kept and of no effect."""
+    states = _user_states(spark, sf_dir)
+    tenth = F.col("page_id") % 10 == 0
+    place = V.fed([states.where(~tenth), _clock(states, 2), _clock(states, 3), states.where(tenth)], "pages")
+    changed = drain(ordered_pages_stream(sources.stream_pages(spark, place, "parquet", 2), "1 day"))
+    return changed.where("session_id <> 'clock'").select("session_id", "page_id", "url", "late")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """The events that ``stream_late_events`` drops, in a table of their own."""
+    events = V.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("user-"), "user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    tenth = F.col("seq") % 10 == 0
+    place = V.fed([events.where(~tenth), events.where(~tenth & (F.col("seq") % 11 == 0)), events.where(tenth)], "late")
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(place)
+    return drain(late_events(feed, "1 day")).where("seq % 10 = 0").select("session_id", "seq")
+
+
 @query
 def stream_late_events(spark, sf_dir):
     """Nine tenths of the events, replays, then the rest and more replays: what is older than a day by then is late.

@@ -501,3 +501,12 @@ ORACLES["stream_page_changes"] = f"""
 ORACLES["stream_late_events"] = """
   WITH mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS wm FROM events WHERE event_id % 10 <> 0)
   SELECT 'user-' || user_id AS session_id, event_id AS seq FROM events, mark WHERE event_id % 10 <> 0 OR ts > wm"""
+ORACLES["stream_page_changes_shuffled"] = ORACLES["stream_page_changes"]
+ORACLES["stream_late_pages"] = """
+  WITH seen AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_id % 10 <> 0)
+  SELECT 'user-' || user_id AS session_id, event_id AS page_id, 'https://h/' || (event_id % 2) AS url, false AS late
+    FROM seen WHERE before IS DISTINCT FROM event_type
+  UNION ALL SELECT 'user-' || user_id, event_id, 'https://h/' || (event_id % 2), true FROM events WHERE event_id % 10 = 0"""
+ORACLES["stream_late_rows"] = """
+  WITH mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS wm FROM events WHERE event_id % 10 <> 0)
+  SELECT 'user-' || user_id AS session_id, event_id AS seq FROM events, mark WHERE event_id % 10 = 0 AND ts <= wm"""

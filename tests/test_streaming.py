@@ -182,3 +182,50 @@ def test_drop_late_removes_replays(spark, feed):
     twice = stream.unionByName(stream_capture(spark, folder, files_per_batch=1).withColumn("ts", F.timestamp_seconds("seq")))
     got = drain(streaming.drop_late(twice, "1 hour").drop("headers"))
     assert got.count() == batch.count()
+
+
+def page_files(folder, parts):
+    names = [f.name for f in schemas.PAGES]
+    folder.mkdir()
+    for i, part in enumerate(parts):
+        lines = [json.dumps(dict(zip(names, (s, p, f"2024-01-01T00:{t // 60:02d}:{t % 60:02d}Z", 0, "https://h/x", html)))) for s, p, t, html in part]
+        write_at(folder / f"p{i}.json", lines, i)
+    return str(folder)
+
+
+def test_ordered_pages_over_shuffled_parts(spark, tmp_path):
+    """States that come in any order within the delay are compared in event order, across micro-batches; a clock row releases the rest."""
+    import random
+    rng = random.Random(2)
+    rows = [(f"s{i % 3}", i, i, rng.choice("AB")) for i in range(120)]
+    shuffled = sorted(rows, key=lambda r: r[2] + rng.randrange(50))
+    parts = [shuffled[i:i + 20] for i in range(0, 120, 20)] + [[("clock", 999, 3000, "-")]]
+    got = drain(streaming.ordered_pages_stream(stream_pages(spark, page_files(tmp_path / "in", parts), files_per_batch=1), "1 minute")).where("session_id <> 'clock'")
+    batch = spark.createDataFrame([(s, p, html) for s, p, _, html in rows], "session_id string, page_id long, html string")
+    want = changed_only(batch, ["session_id"], "page_id", "html")
+    assert rows_of(got, "session_id", "page_id") == rows_of(want, "session_id", "page_id") and got.where("late").count() == 0
+    assert got.select("batch").distinct().count() > 2
+    seconds = got.select(F.col("page_id"), F.unix_seconds("ts").alias("t")).collect()
+    assert {r.t - r.page_id for r in seconds} == {1704067200}
+
+
+def test_late_pages_come_out_marked(spark, tmp_path):
+    """What comes behind the watermark changes nothing and is not lost."""
+    on_time = [("s", i, i * 10, html) for i, html in enumerate("AABBA")]
+    late = [("s", 50, 5, "Z"), ("s", 51, 15, "A")]
+    parts = [on_time, [("clock", 999, 1800, "-")], [("clock", 1000, 1801, "-")], late, [("s", 60, 1900, "A"), ("s", 61, 1910, "C")], [("clock", 1001, 3000, "-")]]
+    got = drain(streaming.ordered_pages_stream(stream_pages(spark, page_files(tmp_path / "in", parts), files_per_batch=1), "1 minute")).where("session_id = 's'")
+    assert [r.page_id for r in got.where("late").orderBy("page_id").collect()] == [50, 51]
+    assert [r.page_id for r in got.where("not late").orderBy("ts").collect()] == [0, 2, 4, 61]
+
+
+def test_late_events_are_what_drop_late_drops(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("s"), F.col("id") % 4).alias("session_id"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    for i, part in enumerate([rows.where("seq % 5 > 0"), rows.where("seq = 199"), rows.where("seq % 5 = 0")]):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        for f in (tmp_path / f"in/{i}").glob("part-*"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    feed = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    kept, late = drain(streaming.drop_late(feed(), "59 minutes")), drain(streaming.late_events(feed(), "59 minutes"))
+    assert sorted(r.seq for r in kept.select("seq").union(late.select("seq")).collect()) == list(range(200))
+    assert sorted(r.seq for r in late.collect()) == list(range(0, 141, 5))
