@@ -24,7 +24,8 @@ from siftlane.plans import derived as V
 from siftlane.plans.queries import _frames, _long, _parsed_forms, map_text, query
 from siftlane.session import ensure_checkpoint_dir, stored
 from siftlane.streaming import (
-    changed_pages_stream, drain, drop_late, first_samples_stream, late_events, lineage_stream, ordered_pages_stream, settle_lineage,
+    changed_pages_stream, drain, drop_late, first_samples_stream, late_events, lineage_stream, ordered_pages_stream,
+    response_samples_stream, settle_lineage, settle_samples,
 )
 
 
@@ -189,14 +190,30 @@ def stream_lineage_late(spark, sf_dir):
     return uses.withColumn("ord", _long("ord"))
 
 
-@query
-def stream_first_samples(spark, sf_dir):
-    """The capture log in three parts, in order."""
+def _capture_parts(spark: SparkSession, sf_dir: str, order: tuple[int, ...]) -> DataFrame:
+    """The capture log as a stream of three parts, fed in the order given."""
     events = V.event_capture(spark, sf_dir)
     third = events.agg(F.max("seq")).first()[0] // 3 + 1
     part = F.expr(f"seq div {third}")
-    place = V.fed([events.where(part == i) for i in range(3)], "capture")
-    return drain(first_samples_stream(sources.stream_capture(spark, place, "parquet", 2), "v2")).drop("batch")
+    return sources.stream_capture(spark, V.fed([events.where(part == i) for i in order], "capture"), "parquet", 2)
+
+
+@query
+def stream_first_samples(spark, sf_dir):
+    """The capture log in three parts, in order."""
+    return settle_samples(drain(first_samples_stream(_capture_parts(spark, sf_dir, (0, 1, 2)), "v2")))
+
+
+@query
+def stream_first_samples_reversed(spark, sf_dir):
+    """The last part first: samples are taken back as earlier ones come."""
+    return settle_samples(drain(first_samples_stream(_capture_parts(spark, sf_dir, (2, 1, 0)), "v2")))
+
+
+@query
+def stream_response_samples(spark, sf_dir):
+    """The last part first: requests and responses move the samples back."""
+    return settle_samples(drain(response_samples_stream(_capture_parts(spark, sf_dir, (2, 1, 0)), "v2")))
 
 
 @query

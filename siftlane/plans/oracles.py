@@ -510,3 +510,5 @@ ORACLES["stream_late_pages"] = """
 ORACLES["stream_late_rows"] = """
   WITH mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS wm FROM events WHERE event_id % 10 <> 0)
   SELECT 'user-' || user_id AS session_id, event_id AS seq FROM events, mark WHERE event_id % 10 = 0 AND ts <= wm"""
+ORACLES["stream_first_samples_reversed"] = ORACLES["stream_first_samples"]
+ORACLES["stream_response_samples"] = ORACLES["response_samples"]

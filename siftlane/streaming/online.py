@@ -1,4 +1,4 @@
-"""Online catalog, samples and page changes; ``lineage`` has the lineage.
+"""Online catalog, page changes and late data; ``lineage``, ``samples`` and ``event_time`` have the rest.
 
 State is keyed as finely as the semantics allow (endpoint and salt, session) and lives in
 RocksDB.  A micro-batch is bounded by the source's file limit, which bounds what one key can
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftlane.functions.text import content_hash
-from siftlane.operators.capture import ENDPOINT, both_sides, requests, with_json_facts
+from siftlane.operators.capture import ENDPOINT, both_sides
 from siftlane.profiles import CaptureProfile, profile_of
 from siftlane.session import ensure_checkpoint_dir
 
@@ -81,58 +81,6 @@ def settle_catalog(rows: DataFrame) -> DataFrame:
             .withColumn("response_statuses", F.coalesce("response_statuses", F.array().cast("array<int>"))))
 
 
-class _FirstN(StatefulProcessor):
-    """State per key: how many rows were let through.  Lets the first ``n`` pass."""
-
-    def __init__(self, n: int, columns: list[str]):
-        self.n, self.columns = n, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        used = self.count.get()[0] if self.count.exists() else 0
-        if used >= self.n:
-            return
-        first = None
-        for chunk in rows:  # only the first n rows of the batch are ever held
-            chunk = chunk[self.columns]
-            first = chunk if first is None else pd.concat([first, chunk])
-            first = first.sort_values("seq").head(self.n - used)
-        self.count.update((used + len(first),))
-        yield first
-
-    def close(self) -> None:
-        pass
-
-
-def first_samples_stream(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
-    """First-N sample payloads per endpoint as they arrive.
-
-    Two stages: the first is keyed by endpoint and salt, so a hot endpoint is spread over
-    ``SALTS`` keys; what passes it is a superset of the answer with at most N rows per salt,
-    and the second stage keeps the first N of that.  The profile must set a sample limit.
-    """
-    p = profile_of(profile)
-    if p.sample_limit is None:
-        raise ValueError("without a sample limit every payload is a sample: read the log instead")
-    use_rocksdb(events.sparkSession)
-    parsed = with_json_facts(requests(events, p).where("parse"))
-    if not p.raw_text_samples:
-        parsed = parsed.where(F.col("json_kind").isNull() | F.col("json_truthy"))
-    columns = [*ENDPOINT, "seq", "body", "kind"]
-    samples = parsed.select(*ENDPOINT, "seq", "body",
-                            F.when(F.col("json_truthy"), F.col("json_kind")).otherwise(F.lit("text")).alias("kind"),
-                            F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("salt"))
-    schema = "session_id string, method string, path string, seq long, body string, kind string"
-
-    def stage(df: DataFrame, key: list[str]) -> DataFrame:
-        return df.groupBy(*key).transformWithStateInPandas(
-            _FirstN(p.sample_limit, columns), outputStructType=schema, outputMode="append", timeMode="None")
-
-    return stage(stage(samples, [*ENDPOINT, "salt"]), ENDPOINT)
-
-
 class _Changed(StatefulProcessor):
     """State per page: digest of the last state.  Lets changed states pass."""
 

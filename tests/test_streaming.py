@@ -229,3 +229,20 @@ def test_late_events_are_what_drop_late_drops(spark, tmp_path):
     kept, late = drain(streaming.drop_late(feed(), "59 minutes")), drain(streaming.late_events(feed(), "59 minutes"))
     assert sorted(r.seq for r in kept.select("seq").union(late.select("seq")).collect()) == list(range(200))
     assert sorted(r.seq for r in late.collect()) == list(range(0, 141, 5))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4), (4, 3, 2, 1, 0), (2, 0, 4, 1, 3)])
+def test_samples_in_any_order(spark, tmp_path, order):
+    rows = random_events(17, 150)
+    names = [f.name for f in schemas.CAPTURE]
+    for i, at in enumerate(order):
+        write_at(tmp_path / f"part-{i}.json", [json.dumps(dict(zip(names, r))) for r in rows[at * 30:(at + 1) * 30]], i)
+    batch = frame(spark, rows)
+    feed = lambda: stream_capture(spark, str(tmp_path), files_per_batch=1)
+    first, answers = drain(streaming.first_samples_stream(feed(), "v2")), drain(streaming.response_samples_stream(feed(), "v2"))
+    want = C.sample_rows(batch, "v2").drop("rank")
+    assert rows_of(streaming.settle_samples(first), *want.columns) == rows_of(want, *want.columns)
+    want = C.response_sample_rows(batch, "v2")
+    assert rows_of(streaming.settle_samples(answers), *want.columns) == rows_of(want, *want.columns)
+    taken_back = first.where("change < 0").count(), answers.where("change < 0").count()
+    assert taken_back == (0, 0) if order == (0, 1, 2, 3, 4) else min(taken_back) > 0
