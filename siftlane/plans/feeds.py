@@ -167,6 +167,44 @@ def offline_pages(spark, sf_dir):
     return _through(pages, "pages", sinks.write_pages, "parquet").select("session_id", "step_name", F.md5("html").alias("md5"))
 
 
+#: Lines of a log: cut, with a field of another type, without a field, or whole.
+DAMAGED = ("CASE WHEN event_id % 7 = 0 THEN concat('{\"session_id\":\"user-', CAST(user_id AS STRING), '\",\"seq\":', CAST(event_id AS STRING)) "
+           "WHEN event_id % 11 = 0 THEN concat('{\"session_id\":\"x\",\"kind\":\"request\",\"seq\":\"', CAST(event_id AS STRING), 'th\"}') "
+           "WHEN event_id % 13 = 0 THEN concat('{\"seq\":', CAST(event_id AS STRING), ',\"kind\":null}') END")
+
+
+def _damaged_log(spark: SparkSession, sf_dir: str) -> str:
+    """The capture log as JSON lines, some of them damaged, with blank lines between."""
+    log = V.event_capture(spark, sf_dir).select("seq", F.to_json(F.struct("session_id", "seq", "kind", "method", "url", "body")).alias("whole"))
+    hurt = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.expr(DAMAGED).alias("damaged"))
+    lines = log.join(hurt, "seq").select(F.concat(F.coalesce("damaged", "whole"), F.when(F.col("seq") % 5 == 0, "\n").otherwise("")).alias("value"))
+    place = _place(spark, "damaged")
+    lines.write.text(place)
+    return place
+
+
+@query
+def damaged_log(spark, sf_dir):
+    rows = sources.good_rows(sources.read_checked(spark, _damaged_log(spark, sf_dir)))
+    return rows.select("session_id", "seq", "kind", "method", "url", "body")
+
+
+@query
+def damaged_lines(spark, sf_dir):
+    return sources.bad_lines(sources.read_checked(spark, _damaged_log(spark, sf_dir))).select("line", "problem")
+
+
+@query
+def stream_damaged_log(spark, sf_dir):
+    """Micro-batches split into a table and its quarantine; rows of both by problem."""
+    good, bad = _place(spark, "good"), _place(spark, "quarantine")
+    stream = sources.stream_checked(spark, _damaged_log(spark, sf_dir), files_per_batch=3)
+    (stream.writeStream.foreachBatch(sources.split_batches(good, bad)).option("checkpointLocation", _place(spark, "state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    rows = spark.read.parquet(good).select("kind").unionByName(spark.read.parquet(bad).select(F.col("problem").alias("kind")))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # --- Streams --------------------------------------------------------------------------
 
 

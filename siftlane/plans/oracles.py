@@ -512,3 +512,13 @@ ORACLES["stream_late_rows"] = """
   SELECT 'user-' || user_id AS session_id, event_id AS seq FROM events, mark WHERE event_id % 10 = 0 AND ts <= wm"""
 ORACLES["stream_first_samples_reversed"] = ORACLES["stream_first_samples"]
 ORACLES["stream_response_samples"] = ORACLES["response_samples"]
+
+# Damaged logs.
+_HURT = "(event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0)"
+_DAMAGED = """CASE WHEN event_id % 7 = 0 THEN '{"session_id":"user-' || user_id || '","seq":' || event_id
+  WHEN event_id % 11 = 0 THEN '{"session_id":"x","kind":"request","seq":"' || event_id || 'th"}' ELSE '{"seq":' || event_id || ',"kind":null}' END"""
+_PROBLEM = "CASE WHEN event_id % 7 = 0 THEN 'not JSON' WHEN event_id % 11 = 0 THEN 'wrong type' ELSE 'missing field' END"
+ORACLES["damaged_log"] = f"WITH {_CAP} SELECT session_id, seq, kind, method, url, body FROM cap WHERE seq NOT IN (SELECT event_id FROM events WHERE {_HURT})"
+ORACLES["damaged_lines"] = f"SELECT {_DAMAGED} AS line, {_PROBLEM} AS problem FROM events WHERE {_HURT}"
+ORACLES["stream_damaged_log"] = f"""
+  SELECT kind, count(*) AS n FROM (SELECT {_PROBLEM} AS kind FROM events WHERE {_HURT} UNION ALL SELECT kind FROM ({ORACLES["damaged_log"]})) GROUP BY kind"""
