@@ -13,15 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlane import schemas, sinks, sources
-from siftlane.operators import catalog as C
 from siftlane.operators import dom as D
+from siftlane.operators import fold as E
 from siftlane.operators import lineage as L
 from siftlane.operators import offline as O
-from siftlane.operators import openapi as A
 from siftlane.operators import trace as T
-from siftlane.operators.capture import both_sides, network_log
+from siftlane.operators.capture import network_log
 from siftlane.plans import derived as V
-from siftlane.plans.queries import _frames, _long, _parsed_forms, map_text, query
+from siftlane.plans.queries import _folded, _frames, _long, _parsed_forms, map_text, query
 from siftlane.session import ensure_checkpoint_dir, stored
 from siftlane.streaming import (
     changed_pages_stream, drain, drop_late, first_samples_stream, late_events, lineage_stream, ordered_pages_stream,
@@ -76,15 +75,14 @@ def _documents(spark: SparkSession, name: str, write: Callable[[str], None]) ->
 
 @query
 def endpoint_map_written(spark, sf_dir):
-    catalog = C.endpoint_catalog(V.event_capture(spark, sf_dir), "v1")
+    catalog = E.catalog_of(_folded(spark, sf_dir, "v1", "samples"), "v1")
     return _documents(spark, "map", lambda place: sinks.write_endpoint_map(catalog, place))
 
 
 @query
 def openapi_written(spark, sf_dir):
-    events = both_sides(V.event_capture(spark, sf_dir), "v2")
-    folds = A.openapi_requests(events, "v2"), A.openapi_responses(events, "v2")
-    return _documents(spark, "api", lambda place: sinks.write_openapi(*folds, place, "Captured API"))
+    folded = _folded(spark, sf_dir, "v2", "payload", "answers")
+    return _documents(spark, "api", lambda place: sinks.write_openapi(E.openapi_requests_of(folded), E.openapi_responses_of(folded, "v2"), place, "Captured API"))
 
 
 @query
@@ -92,9 +90,8 @@ def report_written(spark, sf_dir):
     events = V.event_capture(spark, sf_dir)
     meta = (events.groupBy("session_id").agg(F.lit("https://api.example.com").alias("target"))
             .withColumn("generated", F.lit("2024-01-01T00:00:00")))
-    events = both_sides(events, "v1")
     edges = stored(L.lineage_edges(events, "v1"))
-    return _documents(spark, "report", lambda place: sinks.write_report(C.endpoint_catalog(events, "v1"), edges, meta, place))
+    return _documents(spark, "report", lambda place: sinks.write_report(E.catalog_of(_folded(spark, sf_dir, "v1", "samples"), "v1"), edges, meta, place))
 
 
 @query

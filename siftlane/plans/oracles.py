@@ -522,3 +522,7 @@ ORACLES["damaged_log"] = f"WITH {_CAP} SELECT session_id, seq, kind, method, url
 ORACLES["damaged_lines"] = f"SELECT {_DAMAGED} AS line, {_PROBLEM} AS problem FROM events WHERE {_HURT}"
 ORACLES["stream_damaged_log"] = f"""
   SELECT kind, count(*) AS n FROM (SELECT {_PROBLEM} AS kind FROM events WHERE {_HURT} UNION ALL SELECT kind FROM ({ORACLES["damaged_log"]})) GROUP BY kind"""
+
+# Folds of part of the log, extended by the rest.
+ORACLES["catalog_extended"] = ORACLES["endpoint_catalog_v2"]
+ORACLES["openapi_extended"] = ORACLES["openapi_documents"]

@@ -17,6 +17,7 @@ from siftlane.functions import text as X
 from siftlane.functions import urls as U
 from siftlane.operators import catalog as C
 from siftlane.operators import dom as D
+from siftlane.operators import fold as E
 from siftlane.operators import lineage as L
 from siftlane.operators import offline as O
 from siftlane.operators import openapi as A
@@ -171,8 +172,19 @@ def endpoint_catalog(spark, sf_dir):
             .select("method", "path", "url", F.col("first_seq").alias("first_page")))
 
 
-def _catalog(spark, sf_dir, profile):
-    rows = C.endpoint_catalog(V.event_capture(spark, sf_dir), profile)
+def _folded(spark, sf_dir, profile, *parts):
+    return stored(E.fold(V.event_capture(spark, sf_dir), profile, parts), "fold")
+
+
+def _extended(spark, sf_dir, profile):
+    """The fold of the first half of the log, extended by the second."""
+    events = V.event_capture(spark, sf_dir)
+    half = events.agg(F.max("seq")).first()[0] // 2
+    base = stored(E.fold(events.where(F.col("seq") <= half), profile), "fold")
+    return stored(E.extend(base, events.where(F.col("seq") > half), profile), "fold")
+
+
+def _catalog(rows):
     return rows.select(
         "session_id", "method", "path", "url", "first_seq", X.status_text(F.col("response_statuses")).alias("statuses"),
         F.array_join(F.transform("sample_payloads", lambda s: s["body"]), " | ").alias("samples"),
@@ -181,12 +193,17 @@ def _catalog(spark, sf_dir, profile):
 
 @query
 def endpoint_catalog_v1(spark, sf_dir):
-    return _catalog(spark, sf_dir, "v1")
+    return _catalog(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v1"))
 
 
 @query
 def endpoint_catalog_v2(spark, sf_dir):
-    return _catalog(spark, sf_dir, "v2")
+    return _catalog(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v2"))
+
+
+@query
+def catalog_extended(spark, sf_dir):
+    return _catalog(E.catalog_of(_extended(spark, sf_dir, "v2"), "v2"))
 
 
 @query
@@ -239,13 +256,13 @@ def client_spec(spark, sf_dir):
 
 @query
 def client_spec_v2(spark, sf_dir):
-    spec = C.client_spec(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v2"), "v2")
+    spec = C.client_spec(E.catalog_of(_folded(spark, sf_dir, "v2", "samples"), "v2"), "v2")
     return spec.select("session_id", "fn_name", "method", "url", "body", "name_clash", map_text("headers").alias("headers"))
 
 
 @query
 def client_spec_v1(spark, sf_dir):
-    spec = C.client_spec(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v1"), "v1")
+    spec = C.client_spec(E.catalog_of(_folded(spark, sf_dir, "v1", "samples"), "v1"), "v1")
     return spec.select("session_id", "fn_name", "method", "url", "body", "name_clash")
 
 
@@ -351,14 +368,22 @@ def openapi_last_write(spark, sf_dir):
 
 @query
 def openapi_documents(spark, sf_dir):
-    events = both_sides(V.event_capture(spark, sf_dir), "v2")
-    lines = openapi_lines(A.openapi_requests(events, "v2"), A.openapi_responses(events, "v2"), "Captured API")
+    folded = _folded(spark, sf_dir, "v2", "payload", "answers")
+    lines = openapi_lines(E.openapi_requests_of(folded), E.openapi_responses_of(folded, "v2"), "Captured API")
+    return lines.select("session_id", _long("section"), _long("ord"), "line")
+
+
+@query
+def openapi_extended(spark, sf_dir):
+    """The API description from a fold of the first half of the log, extended by the second."""
+    folded = _extended(spark, sf_dir, "v2")
+    lines = openapi_lines(E.openapi_requests_of(folded), E.openapi_responses_of(folded, "v2"), "Captured API")
     return lines.select("session_id", _long("section"), _long("ord"), "line")
 
 
 @query
 def endpoint_map(spark, sf_dir):
-    lines = R.json_entries(endpoint_map_rows(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v1")))
+    lines = R.json_entries(endpoint_map_rows(E.catalog_of(_folded(spark, sf_dir, "v1", "samples"), "v1")))
     return lines.select("session_id", _long("section"), _long("ord"), "line")
 
 
@@ -369,7 +394,7 @@ def report_lines(spark, sf_dir):
             .withColumn("generated", F.lit("2024-01-01T00:00:00")))
     events = both_sides(events, "v1")
     edges = stored(L.lineage_edges(events, "v1"))
-    rows = R.report_rows(C.endpoint_catalog(events, "v1"), edges, meta)
+    rows = R.report_rows(E.catalog_of(_folded(spark, sf_dir, "v1", "samples"), "v1"), edges, meta)
     return rows.select("session_id", _long("section"), "ord", "line")
 
 
