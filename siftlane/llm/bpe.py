@@ -24,7 +24,7 @@ from siftlane.llm.worker import release, remembered
 #: Fixed value: the pattern that byte-level tokenizers of this kind split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer words are merged with a heap; words of one length that are merged at once; pieces of text that a worker remembers; rows worked on at once.
-SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 800_000, 512
+SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 300_000, 512
 NONE = np.iinfo(np.int32).max
 _TWO_BLANKS, _SINGLE_BLANK = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
