@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import random
+import re
+
+import duckdb
 
 from siftlane import profile_of, schemas
 
@@ -46,15 +49,11 @@ def _json(text):
         return False, None
 
 
-def _leaves(value, path=""):
-    if isinstance(value, dict):
-        for name, child in value.items():
-            yield from _leaves(child, f"{path}.{name}" if path else name)
-    elif isinstance(value, list):
-        for i in range(min(10, len(value))):
-            yield from _leaves(value[i], f"{path}[{i}]")
-    elif type(value) in (str, int):
-        yield path, str(value)
+def _leaves(value):
+    """Texts and whole numbers with their paths, from DuckDB's listing of the JSON tree; list places from 10 on do not count."""
+    tree = duckdb.execute("SELECT fullkey, type, atom FROM json_tree(CAST(? AS JSON)) WHERE atom IS NOT NULL ORDER BY id", [json.dumps(value)])
+    return [(key.lstrip("$").lstrip("."), str(json.loads(atom))) for key, kind, atom in tree.fetchall()
+            if kind in ("VARCHAR", "BIGINT", "UBIGINT") and all(int(at) < 10 for at in re.findall(r"\[(\d+)\]", key))]
 
 
 class Model:
