@@ -88,11 +88,14 @@ class _ElementBatch:
         self.offsets.append(len(self.tag))
 
     def _close(self, open_: list, depth: int, last: int) -> None:
-        for ord_, _, parts in open_[depth:]:
+        for ord_, _, begin in open_[depth:]:
             self.last[self.offsets[-1] + ord_] = last
-            if parts is not None:
-                self.text[self.offsets[-1] + ord_] = "".join(parts)
+            if begin is not None:
+                self.text[self.offsets[-1] + ord_] = "".join(self.taken[begin:])
+                self.wanting -= 1
         del open_[depth:]
+        if not self.wanting:
+            self.taken.clear()
 
     def _close_implied(self, open_: list, tag: str, last: int) -> None:
         closes = _CLOSES.get(tag)
@@ -106,17 +109,18 @@ class _ElementBatch:
                     continue
                 break
 
-    def _take_text(self, open_: list, text: str) -> None:
-        for _, _, parts in open_:
-            if parts is not None:
-                parts.append(text)
+    def _take_text(self, text: str) -> None:
+        """One buffer serves all open elements; each holds the place where its text begins."""
+        if self.wanting:
+            self.taken.append(text)
 
     def _read(self, page: str, base: str) -> None:
-        first, open_, at, based = self.offsets[-1], [], 0, False  # open_: (ord, tag, text parts)
+        first, open_, at, based = self.offsets[-1], [], 0, False  # open_: (ord, tag, where its text begins)
+        self.taken, self.wanting = [], 0
         closed = page.rfind(">") + 1  # no tag ends beyond: tags that never close are not looked at one by one
         while token := _TOKEN.search(page, at, closed):
-            if token.start() > at and any(o[2] is not None for o in open_):
-                self._take_text(open_, unescape(page[at:token.start()]))
+            if token.start() > at and self.wanting:
+                self._take_text(unescape(page[at:token.start()]))
             at, last = token.end(), len(self.tag) - first - 1
             slash, tag, rest = token.groups()
             if tag is None:
@@ -147,12 +151,12 @@ class _ElementBatch:
             if tag == "base" and "href" in attrs and not based:
                 base, based = _join(base, attrs["href"].strip()) or base, True
             reference = attrs.get(_REFERENCES[tag], "").strip() if tag in _REFERENCES else ""
-            parts = [] if self.wants_text(tag, attrs) else None
+            begin = len(self.taken) if self.wants_text(tag, attrs) else None
             self.last.append(ord_)
             self.parent.append(parent)
             self.form.append(ord_ if tag == "form" else form)
             self.tag.append(tag)
-            self.text.append(None if parts is None else "")
+            self.text.append(None if begin is None else "")
             self.target.append(_join(base, reference) if reference else None)
             self.hosts.append(hosts)
             self.inert.append(inert)
@@ -163,15 +167,16 @@ class _ElementBatch:
             self.attr_offsets.append(len(self.names))
             if tag in _VOID:
                 continue
-            open_.append((ord_, tag, parts))
+            open_.append((ord_, tag, begin))
+            self.wanting += begin is not None
             if tag in _RAW or tag in _ESCAPABLE_RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
                 stop = end.start() if end else len(page)
                 text = page[at:stop]
-                self._take_text(open_, unescape(text) if tag in _ESCAPABLE_RAW else text)
+                self._take_text(unescape(text) if tag in _ESCAPABLE_RAW else text)
                 at = stop
         if at < len(page):
-            self._take_text(open_, unescape(_UNCLOSED.split(page[at:], maxsplit=1)[0]))
+            self._take_text(unescape(_UNCLOSED.split(page[at:], maxsplit=1)[0]))
         self._close(open_, 0, len(self.tag) - first - 1)
 
     def to_arrow(self) -> pa.Array:
