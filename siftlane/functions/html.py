@@ -56,6 +56,10 @@ ELEMENTS = ("array<struct<ord int, last_ord int, parent_ord int, form_ord int, t
             "start int, size int>>")
 
 
+#: Characters kept of the reason why a page could not be read.
+MOST_ERROR = 200
+
+
 def _join(base: str, reference: str) -> str | None:
     try:
         return urljoin(base, reference)
@@ -76,17 +80,34 @@ class _ElementBatch:
 
     def __init__(self, wants_text):
         self.wants_text = wants_text
-        self.offsets, self.absent = [0], []
+        self.offsets, self.absent, self.errors = [0], [], []
         self.last, self.parent, self.form, self.tag, self.text, self.target = [], [], [], [], [], []
         self.hosts, self.inert, self.start, self.size = [], [], [], []
         self.names, self.values, self.attr_offsets = [], [], [0]
 
-    def add(self, page: str | None, url: str | None) -> None:
+    def add(self, page: str | None, url: str | None, keep_errors: bool = False) -> None:
+        error = None
         if page is not None:
-            self._read(page, url or "")
-        self.absent.append(page is None)
+            try:
+                self._read(page, url or "")
+            except Exception as e:
+                if not keep_errors:
+                    raise
+                error = f"{type(e).__name__}: {e}"[:MOST_ERROR]
+                self._forget()
+        self.absent.append(page is None or error is not None)
+        self.errors.append(error)
         self.offsets.append(len(self.tag))
 
+    def _forget(self) -> None:
+        """Take back what the page that is being read has added."""
+        first = self.offsets[-1]
+        del self.attr_offsets[first + 1:]
+        for column in (self.names, self.values):
+            del column[self.attr_offsets[-1]:]
+        for column in (self.last, self.parent, self.form, self.tag, self.text, self.target, self.hosts, self.inert, self.start, self.size):
+            del column[first:]
+
     def _close(self, open_: list, depth: int, last: int) -> None:
         for ord_, _, begin in open_[depth:]:
             self.last[self.offsets[-1] + ord_] = last
@@ -195,7 +216,7 @@ class _ElementBatch:
 
 
 def element_array(html: Column, url: Column, text_tags: tuple[str, ...] = ("option", "textarea"),
-                  text_roles: tuple[str, ...] = (), text_classes: tuple[str, ...] = ()) -> Column:
+                  text_roles: tuple[str, ...] = (), text_classes: tuple[str, ...] = (), keep_errors: bool = False) -> Column:
     """Elements of a page in document order.
 
     ``text`` (whole descendant text) is filled for the given tags, roles and class fragments
@@ -203,18 +224,20 @@ def element_array(html: Column, url: Column, text_tags: tuple[str, ...] = ("opti
     address of forms and links, ``<base href>`` respected.  ``ord`` is the array index,
     ``last_ord`` the index of the last descendant, ``hosts`` the enclosing shadow hosts,
     ``inert`` marks plain template content, ``start`` and ``size`` locate the start tag.
-    Null pages give null.
+    Null pages give null.  A page that cannot be read ends the job; with ``keep_errors`` the
+    result is a struct of the elements (``els``, null then) and the reason (``error``, null else).
     """
     def wants_text(tag, attrs):
         return (tag in text_tags or (text_roles and attrs.get("role") in text_roles)
                 or (text_classes and "class" in attrs and any(c in attrs["class"] for c in text_classes)))
 
-    @F.arrow_udf(ELEMENTS)
+    @F.arrow_udf(f"struct<els: {ELEMENTS}, error: string>" if keep_errors else ELEMENTS)
     def parse(pages: pa.Array, urls: pa.Array) -> pa.Array:
         batch = _ElementBatch(wants_text)
         for page, at in zip(pages.to_pylist(), urls.to_pylist()):
-            batch.add(page, at)
-        return batch.to_arrow()
+            batch.add(page, at, keep_errors)
+        found = batch.to_arrow()
+        return pa.StructArray.from_arrays([found, pa.array(batch.errors, pa.string())], names=["els", "error"]) if keep_errors else found
 
     # Marked so that a filter on the result does not make Catalyst parse a page twice.
     return parse.asNondeterministic()(html, url)

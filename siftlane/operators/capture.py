@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from siftlane.functions import predicates as P
 from siftlane.functions.bodies import json_facts
 from siftlane.functions.urls import endpoint_path, path_or_root, url_path
 from siftlane.profiles import CaptureProfile, profile_of
+from siftlane.session import ensure_checkpoint_dir
 
 ENDPOINT = ["session_id", "method", "path"]
 
@@ -76,11 +79,21 @@ def both_sides(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataF
     return _prepared(events, _test("request", p) | _test("response", p), p)
 
 
+_FACTS = ["json_kind", "json_truthy"]
+
+
+def _has_facts(df: DataFrame) -> bool:
+    """Whether ``json_kind`` is the one that ``store_log`` made."""
+    return "json_kind" in df.columns and _MARK in df.schema["json_kind"].metadata
+
+
 def with_json_facts(df: DataFrame) -> DataFrame:
     """Add ``json_kind`` and ``json_truthy``; both null unless the body parses.
 
-    Whatever reaches this is parsed: filter and pick first.
+    Whatever reaches this is parsed, unless it comes from a stored log: filter and pick first.
     """
+    if _has_facts(df):
+        return df
     facts = df.withColumn("__facts", json_facts(F.when(F.col("parse"), F.col("body"))))
     return facts.withColumns({
         "json_kind": F.col("__facts.kind"),
@@ -92,9 +105,30 @@ def fetch(picks: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
 
     Operators choose events on narrow rows and bring bodies and headers in here.  The key
     ``(session_id, seq)`` is unique, so no key is hot; AQE broadcasts the picks if they turn
-    out small, and then the wide side is scanned without a shuffle.
+    out small, and then the wide side is scanned without a shuffle.  Rows of a stored log
+    (``store_log``) are never shuffled, however many picks there are.
+    """
+    facts = _FACTS if "parse" in columns and _has_facts(rows) else []
+    return picks.join(rows.select("session_id", "seq", *columns, *facts), ["session_id", "seq"])
+
+
+def store_log(events: DataFrame, profile: str | CaptureProfile = "v2", buckets: int | None = None) -> DataFrame:
+    """The prepared log as a table, bucketed and sorted by ``(session_id, seq)``, parsed facts included.
+
+    Bodies are parsed and shuffled here, once; the result can be passed wherever operators take
+    ``events`` with the same profile.  ``fetch`` is then a join by buckets: only the picks
+    travel.  The key is unique, so no bucket is hot.  ``buckets`` (default: the number of shuffle
+    partitions; with fewer, Spark may shuffle the log for parallelism) should give files of a few
+    hundred MB.  The files lie in the shared folder, the table is known to the session's catalog.
     """
-    return picks.join(rows.select("session_id", "seq", *columns), ["session_id", "seq"])
+    p, spark = profile_of(profile), events.sparkSession
+    rows = with_json_facts(both_sides(events, p))
+    name = f"siftlane_log_{uuid.uuid4().hex}"
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ("session_id", "seq")
+    (rows.repartition(number, *key).write.format("parquet").bucketBy(number, *key).sortBy(*key)
+     .option("path", f"{ensure_checkpoint_dir(spark)}/siftlane/{name}").saveAsTable(name))
+    return spark.table(name).withMetadata("parse", {_MARK: repr(p)}).withMetadata("json_kind", {_MARK: repr(p)})
 
 
 def pair_responses(events: DataFrame) -> DataFrame:

@@ -36,11 +36,26 @@ PICKER_CLASSES = ("select", "dropdown")
 
 def page_elements(pages: DataFrame, text_tags: tuple[str, ...] = ("option", "textarea"),
                   text_roles: tuple[str, ...] = PICKER_ROLES,
-                  text_classes: tuple[str, ...] = PICKER_CLASSES) -> DataFrame:
-    """Replace ``html`` by ``els``, the page's element array; ``url`` resolves addresses."""
+                  text_classes: tuple[str, ...] = PICKER_CLASSES, error: str | None = None) -> DataFrame:
+    """Replace ``html`` by ``els``, the page's element array; ``url`` resolves addresses.
+
+    With ``error`` a page that cannot be read does not end the job: its ``els`` are null and the
+    column of that name says why.
+    """
     kept = [c for c in pages.columns if c != "html"]
-    els = element_array(F.col("html"), F.col("url"), text_tags, text_roles, text_classes)
-    return pages.select(*kept, els.alias("els"))
+    els = element_array(F.col("html"), F.col("url"), text_tags, text_roles, text_classes, error is not None)
+    if error is None:
+        return pages.select(*kept, els.alias("els"))
+    return pages.select(*kept, els.alias("__read")).select(*kept, "__read.els", F.col("__read.error").alias(error))
+
+
+def unread_frames(parsed: DataFrame, error: str = "error", key: tuple[str, ...] = ("session_id", "page_id")) -> DataFrame:
+    """Pages with frames that failed: how many, the first of them and why it failed.
+
+    ``parsed`` comes from ``page_elements`` with ``error``.  Frames without a text have no elements either, but did not fail.
+    """
+    failed = parsed.where(F.col(error).isNotNull())
+    return failed.groupBy(*key).agg(F.count("*").alias("unread"), F.min("frame_index").alias("frame_index"), F.min_by(error, "frame_index").alias(error))
 
 
 def elements(parsed: DataFrame) -> DataFrame:

@@ -42,6 +42,18 @@ def asof_match(consumers: DataFrame, producers: DataFrame, key: Sequence[str], p
             .withColumn(origin, F.col("__found")).drop("__found", _SIDE))
 
 
+def used_leaves(leaves: DataFrame) -> DataFrame:
+    """Leaves without the producers of tokens that no request of their session sends.
+
+    Most of what responses hold is never sent back.  The semi-join has the key of the window
+    that follows; where the tokens sent fit a broadcast, by Spark's own check, producers of other
+    tokens are dropped before any shuffle, and beyond that in the shuffle that sorts them by key.
+    """
+    asked = leaves.where(F.col("side") == 0)
+    sent = asked.select("session_id", "token").distinct()
+    return asked.unionByName(leaves.where(F.col("side") == 1).join(sent, ["session_id", "token"], "left_semi"))
+
+
 def value_lineage(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every use of a known value: edge columns with the position ``(seq, ord)`` of the use.
 
@@ -50,7 +62,8 @@ def value_lineage(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
     response its last leaf.
     """
     origin = F.when(F.col("side") == 1, F.struct("endpoint", "field_path"))
-    found = asof_last(leaves.withColumn("origin", origin), ["session_id", "token"], "seq", "origin", "source", ["side", "ord"], block)
+    found = asof_last(used_leaves(leaves).withColumn("origin", origin), ["session_id", "token"], "seq", "origin", "source", ["side", "ord"], block,
+                      carry_from=leaves.withColumn("origin", origin))
     return found.where((F.col("side") == 0) & F.col("source").isNotNull()).select(
         "session_id", "seq", "ord",
         F.col("source.endpoint").alias("source_endpoint"), F.col("source.field_path").alias("source_field"),

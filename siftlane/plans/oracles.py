@@ -526,3 +526,15 @@ ORACLES["stream_damaged_log"] = f"""
 # Folds of part of the log, extended by the rest.
 ORACLES["catalog_extended"] = ORACLES["endpoint_catalog_v2"]
 ORACLES["openapi_extended"] = ORACLES["openapi_documents"]
+ORACLES["stored_log_catalog"] = ORACLES["endpoint_catalog_v2"]
+ORACLES["stored_log_openapi"] = ORACLES["openapi_documents"]
+
+# Frames of every fifth customer fail.
+ORACLES["snapshots_with_gaps"] = """
+  SELECT c_mktsegment AS session_id, c_custkey // 4 AS page_id,
+    string_agg((c_custkey % 4) || ':f' || c_custkey || ':5', ';' ORDER BY c_custkey) AS frames
+  FROM customer WHERE c_custkey % 5 <> 0 GROUP BY ALL"""
+ORACLES["unread_frames"] = """
+  SELECT c_mktsegment AS session_id, c_custkey // 4 AS page_id, count(*) AS unread,
+    CAST(min(c_custkey % 4) AS BIGINT) AS frame_index, 'ValueError' AS reason
+  FROM customer WHERE c_custkey % 5 = 0 GROUP BY ALL"""

@@ -23,7 +23,7 @@ from siftlane.operators import offline as O
 from siftlane.operators import openapi as A
 from siftlane.operators import report as R
 from siftlane.operators import trace as T
-from siftlane.operators.capture import both_sides, network_log, pair_responses
+from siftlane.operators.capture import both_sides, network_log, pair_responses, store_log
 from siftlane.operators.leaves import json_leaves, request_leaves, response_leaves
 from siftlane.operators.ordered import changed_only, first_n, with_index
 from siftlane.plans import derived as V
@@ -196,6 +196,20 @@ def endpoint_catalog_v1(spark, sf_dir):
     return _catalog(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v1"))
 
 
+@query
+def stored_log_catalog(spark, sf_dir):
+    """The catalog from the log stored in buckets: picks are joined with it where it lies."""
+    return _catalog(C.endpoint_catalog(store_log(V.event_capture(spark, sf_dir), "v2"), "v2"))
+
+
+@query
+def stored_log_openapi(spark, sf_dir):
+    """The API description from the fold of the log stored in buckets."""
+    folded = stored(E.fold(store_log(V.event_capture(spark, sf_dir), "v2"), "v2", ("payload", "answers")), "fold")
+    lines = openapi_lines(E.openapi_requests_of(folded), E.openapi_responses_of(folded, "v2"), "Captured API")
+    return lines.select("session_id", _long("section"), _long("ord"), "line")
+
+
 @query
 def endpoint_catalog_v2(spark, sf_dir):
     return _catalog(C.endpoint_catalog(V.event_capture(spark, sf_dir), "v2"))
@@ -486,6 +500,30 @@ def dom_snapshots(spark, sf_dir):
         F.transform("frames", lambda f: F.concat_ws(":", f["frame_index"], f["forms"][0]["id"])), ";").alias("frames"))
 
 
+def _failing_frames(spark, sf_dir):
+    """Every fifth customer's frame holds a character reference of more digits than can be read."""
+    digits = F.concat(F.lit("<p title='&#"), F.repeat(F.lit("9"), 5000), F.lit(";'>"))
+    frames = _frames(spark, sf_dir)
+    fails = F.pmod(F.col("page_id") * 4 + F.col("frame_index"), F.lit(5)) == 0
+    return frames.withColumn("html", F.when(fails, F.concat("html", digits)).otherwise(F.col("html")))
+
+
+@query
+def snapshots_with_gaps(spark, sf_dir):
+    """Frames that fail leave a gap in the numbers of their page and nothing else."""
+    parsed = D.page_elements(_failing_frames(spark, sf_dir), error="error")
+    pages = D.dom_snapshot(D.frame_data(parsed))
+    return pages.select("session_id", "page_id", F.array_join(F.transform("frames", lambda f: F.concat_ws(
+        ":", f["frame_index"], f["forms"][0]["id"], F.size(f["forms"][0]["fields"]))), ";").alias("frames"))
+
+
+@query
+def unread_frames(spark, sf_dir):
+    parsed = D.page_elements(_failing_frames(spark, sf_dir), error="error")
+    rows = D.unread_frames(parsed)
+    return rows.select("session_id", "page_id", "unread", _long("frame_index"), F.split("error", ":")[0].alias("reason"))
+
+
 @query
 def inlined_css(spark, sf_dir):
     pages = V.form_pages(spark, sf_dir)

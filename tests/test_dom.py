@@ -141,3 +141,20 @@ def test_nested_texts_share_one_buffer():
         return time.perf_counter() - began
 
     assert took(8000) < 60 * max(took(1000), 0.01)
+
+
+def test_a_page_that_fails_leaves_the_others(spark):
+    bad = "<form id=x><p title='&#" + "9" * 5000 + ";'>"
+    good = "<form id='{0}'><input name=a value='&amp;'><div role=listbox class=dropdown>{0}</div></form>"
+    rows = [("s", 1, 0, "https://h/", good.format("a")), ("s", 1, 1, "https://h/", bad), ("s", 1, 2, None, good.format("c")), ("s", 1, 3, "https://h/", None),
+            ("s", 2, 0, "https://h/", bad), ("s", 2, 1, "https://h/", bad), ("t", 3, 0, "https://h/", "")]
+    pages = spark.createDataFrame(rows, "session_id string, page_id long, frame_index int, url string, html string").coalesce(1)
+    parsed = D.page_elements(pages, error="why")
+    frames = D.dom_snapshot(D.frame_data(parsed)).collect()
+    assert {(r.page_id, f.frame_index): [x.id for x in f.forms] for r in frames for f in r.frames} == {(1, 0): ["a"], (1, 2): ["c"], (3, 0): []}
+    alone = D.frame_data(D.page_elements(pages.where("html not like '%9999%'"))).drop("why").collect()
+    assert sorted(map(str, D.frame_data(parsed).drop("why").collect())) == sorted(map(str, alone))
+    unread = {r.page_id: (r.unread, r.frame_index, r.why.split(":")[0]) for r in D.unread_frames(parsed, "why").collect()}
+    assert unread == {1: (1, 1, "ValueError"), 2: (2, 0, "ValueError")}
+    with pytest.raises(Exception, match="ValueError"):
+        D.page_elements(pages).collect()
