@@ -36,7 +36,7 @@ class _Grams:
         self.counts[self.of[-1][0]] = len(self.words)
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """Score every document by the n-gram counts of all others.
 
     With c = corpus count less the document's own, a word scores c(k words) / c(first k - 1 of them) for the longest k <= order with c > 0, times ``alpha``

@@ -35,11 +35,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(_table(spark, sf_dir, "documents"))
+    return stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
 
 
-def op10_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
+def op10_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(_table(spark, sf_dir, "documents"), order=2)
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,13 +133,16 @@ ORACLES = {
     "op10_lm_scores": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         p AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
-        g AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM p),
+        g AS (SELECT *, lag(w) OVER x AS v, lag(w, 2) OVER x AS u FROM p WINDOW x AS (PARTITION BY r ORDER BY i)),
         one AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY w, r) AS c1,
                 CASE WHEN v IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY v, w, r) END AS c2,
+                CASE WHEN u IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY u, v, w, r) END AS c3,
                 count(*) OVER () - count(*) OVER (PARTITION BY r) AS rest FROM g),
-        two AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS c0 FROM one),
-        s AS (SELECT r, i, c2, CASE WHEN c2 > 0 THEN c2 / c0 WHEN i > 1 THEN 0.4::DOUBLE * ((c1 + 1) / (rest + 1)) ELSE (c1 + 1) / (rest + 1) END AS score FROM two),
-        t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE i > 1 AND c2 = 0) AS b, sum(CAST(round(ln(score) * 1000000) AS BIGINT)) AS micro FROM s GROUP BY r)
+        two AS (SELECT *, lag(c1) OVER x AS before1, lag(c2) OVER x AS before2 FROM one WINDOW x AS (PARTITION BY r ORDER BY i)),
+        s AS (SELECT r, i, c2, c3, CASE WHEN c3 > 0 THEN c3 / before2 WHEN c2 > 0 THEN c2 / before1 * (CASE WHEN i > 2 THEN 0.4 ELSE 1 END)::DOUBLE
+                ELSE (c1 + 1) / (rest + 1) * (CASE WHEN i > 1 THEN 0.4 ELSE 1 END)::DOUBLE * (CASE WHEN i > 2 THEN 0.4 ELSE 1 END)::DOUBLE END AS score FROM two),
+        t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE i = 2 AND c2 = 0 OR i > 2 AND c3 = 0) AS b,
+              sum(CAST(round(ln(score) * 1000000) AS BIGINT)) AS micro FROM s GROUP BY r)
         SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(b, 0) AS n_backoff, coalesce(micro, 0)::DOUBLE / 1000000 AS log_score,
                (micro::DOUBLE / 1000000) / n AS mean_log_score FROM d LEFT JOIN t USING (r)""",
     "op2_top_k": """
@@ -174,23 +177,20 @@ ORACLES = {
     "op13_centroid_clusters": _centroid_sql(),
 }
 
-#: A second query of one operator: the SQL of op10_lm_scores states bigrams, this one backs off from trigrams in two steps.
-SECOND_QUERIES = {f.__name__: f for f in (op10_trigram_scores,)}
+#: A second query of one operator: the smaller model, which backs off from bigrams in one step.
+SECOND_QUERIES = {f.__name__: f for f in (op10_bigram_scores,)}
 
 SECOND_ORACLES = {
-    "op10_trigram_scores": r"""
+    "op10_bigram_scores": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         p AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
-        g AS (SELECT *, lag(w) OVER x AS v, lag(w, 2) OVER x AS u FROM p WINDOW x AS (PARTITION BY r ORDER BY i)),
+        g AS (SELECT *, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM p),
         one AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY w, r) AS c1,
                 CASE WHEN v IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY v, w, r) END AS c2,
-                CASE WHEN u IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY u, v, w, r) END AS c3,
                 count(*) OVER () - count(*) OVER (PARTITION BY r) AS rest FROM g),
-        two AS (SELECT *, lag(c1) OVER x AS before1, lag(c2) OVER x AS before2 FROM one WINDOW x AS (PARTITION BY r ORDER BY i)),
-        s AS (SELECT r, i, c2, c3, CASE WHEN c3 > 0 THEN c3 / before2 WHEN c2 > 0 THEN c2 / before1 * (CASE WHEN i > 2 THEN 0.4 ELSE 1 END)::DOUBLE
-                ELSE (c1 + 1) / (rest + 1) * (CASE WHEN i > 1 THEN 0.4 ELSE 1 END)::DOUBLE * (CASE WHEN i > 2 THEN 0.4 ELSE 1 END)::DOUBLE END AS score FROM two),
-        t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE i = 2 AND c2 = 0 OR i > 2 AND c3 = 0) AS b,
-              sum(CAST(round(ln(score) * 1000000) AS BIGINT)) AS micro FROM s GROUP BY r)
+        two AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS c0 FROM one),
+        s AS (SELECT r, i, c2, CASE WHEN c2 > 0 THEN c2 / c0 WHEN i > 1 THEN 0.4::DOUBLE * ((c1 + 1) / (rest + 1)) ELSE (c1 + 1) / (rest + 1) END AS score FROM two),
+        t AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE i > 1 AND c2 = 0) AS b, sum(CAST(round(ln(score) * 1000000) AS BIGINT)) AS micro FROM s GROUP BY r)
         SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(b, 0) AS n_backoff, coalesce(micro, 0)::DOUBLE / 1000000 AS log_score,
                (micro::DOUBLE / 1000000) / n AS mean_log_score FROM d LEFT JOIN t USING (r)""",
 }
