@@ -17,7 +17,7 @@ from siftlane.llm import chunks as C
 #: The key whose count is the number of words.
 ALL_WORDS = np.uint64(1)
 #: From trigrams on, bytes of text in a chunk and chunks whose keys one bucket holds: the larger a chunk, the fewer keys travel.
-CHUNK_BYTES, CHUNKS_PER_BUCKET = 8 << 20, 2
+CHUNK_BYTES, CHUNKS_PER_BUCKET = 8 << 20, 1
 SCORES = "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double"
 
 
