@@ -20,6 +20,8 @@ from siftlane.session import stored
 BITS, LANE = 64, 0x0000000100000001
 #: Documents in a block of neighbouring doc_ids, on average.
 DOCS_PER_BLOCK = 1024
+#: Blocks that quantiles cut at most.
+RANGES = 4096
 
 
 def term_hashes(words: Column) -> Column:
@@ -45,15 +47,37 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b)) if isinstance(a, str) else a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
+def _cuts_at_or_below(cuts: list[int], at: Column) -> Column:
+    """How many of the ascending ``cuts`` are not above ``at``: first by every 64th of them, then by the 64 that follow."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    parts = [cuts[i:i + 64] for i in range(0, len(cuts) + 1, 64)]  # the last one may be empty
+    many = F.array(*[F.array(*[F.lit(c).cast("long") for c in part]).cast("array<long>") for part in parts])
+    above = F.size(F.filter(F.array(*[F.lit(part[-1]).cast("long") for part in parts if len(part) == 64]).cast("array<long>"), lambda c: c <= at))
+    return (above * 64 + F.size(F.filter(F.get(many, above), lambda c: c <= at))).cast("long")
+
+
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the number of a block of neighbouring ids. Blocks ascend with the ids; rows without an id get blocks below zero."""
+    """doc_id, text and the number of a block of neighbouring ids. Blocks ascend with the ids; rows without an id get blocks below zero.
+
+    Blocks are cut at quantiles of the ids, whatever gaps these have. Beyond ``RANGES`` blocks each range between two quantiles is cut into parts of equal width, so that
+    uneven ids put about 1 / RANGES of the rows into one block at most. Rows of one id stay together.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1.0, (float(high) - float(low) + 1) / max(1, -(-n // DOCS_PER_BLOCK))) if n else 1.0
-    # in doubles, which cannot overflow and keep the order
-    number = F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)).cast("long")
+    quantiles = F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
+    low, high, n, found = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), quantiles).first()
+    wanted = max(1, -(-n // DOCS_PER_BLOCK))
+    ranges, parts = min(RANGES, wanted), -(-wanted // RANGES)
+    cuts = sorted({found[i * RANGES // ranges - 1] for i in range(1, ranges)}) if n else []
+    number = F.when(F.col("doc_id").isNotNull(), _cuts_at_or_below(cuts, F.col("doc_id")))
+    if parts > 1:
+        # in doubles, which cannot overflow and keep the order
+        edges = [float(low), *map(float, cuts), float(high)]
+        begin, width = (F.get(F.array(*map(F.lit, values)), number.cast("int")) for values in (edges[:-1], [max(1.0, (b - a) / parts) for a, b in zip(edges, edges[1:])]))
+        part = F.floor((F.col("doc_id").cast("double") - begin) / width)
+        number = number * parts + F.greatest(F.lit(0), F.least(part, F.lit(parts - 1)))
     # never null, also to the optimizer: branches that join on it then share one shuffle of the texts
-    return docs.withColumn("block", F.coalesce(number, -1 - F.pmod(F.xxhash64("text"), F.lit(1024)), F.lit(-1)))
+    return docs.withColumn("block", F.coalesce(number.cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1024)), F.lit(-1)))
 
 
 def _previous(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import brute
-from siftlane.llm import graph
+from siftlane.llm import fingerprints, graph
 from siftlane.llm import simhash_covering as S
 from siftlane.llm.fingerprints import edited_fingerprints, within_radius
 
@@ -118,3 +118,34 @@ def test_within_radius(spark):
     prints = spark.createDataFrame([(v,) for v in values + [None, values[0]]], "fp long")
     want = {(x, y, n) for x in values for y in values if x < y and (n := ((x ^ y) & (2**64 - 1)).bit_count()) <= 3}
     assert set(map(tuple, within_radius(prints, 3).collect())) == want
+
+
+@pytest.mark.parametrize("ranges,per_block", [(4096, 8), (256, 3), (4, 8), (1, 1024)])
+def test_blocks_follow_the_ids(spark, monkeypatch, ranges, per_block):
+    """Ids far from all others leave the blocks of the others as they are; the fingerprints do not depend on blocks."""
+    ids = [-(1 << 63), (1 << 63) - 1, 10**12, *range(1000), *range(5000, 5400, 3), 5000, 5000]
+    rows = spark.createDataFrame([(i, f"text {i} of {n} words {i % 7}") for n, i in enumerate(ids)] + [(None, "none"), (None, None)], "doc_id long, text string")
+    want = sorted(map(str, fingerprints.edited_fingerprints(rows).collect()))
+    monkeypatch.setattr(fingerprints, "RANGES", ranges)
+    monkeypatch.setattr(fingerprints, "DOCS_PER_BLOCK", per_block)
+    blocks = fingerprints.in_blocks(rows).where("doc_id is not null").groupBy("block").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("block").collect()
+    assert blocks[0].block >= 0 and all(x.b < y.a for x, y in zip(blocks, blocks[1:]))
+    if ranges > 4:
+        assert max(b.n for b in blocks) <= 2 * per_block + 4
+    assert sorted(map(str, fingerprints.edited_fingerprints(rows).collect())) == want
+
+
+def test_fingerprints_against_a_plain_simhash(spark):
+    texts = ["", None, "one", "two words", "a b a b a b c", "über straße\tnaïve\nÜber", " ".join(f"w{i % 17}" for i in range(300)), "same same same same"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def plain(text) -> str:
+        words = brute.words(text or "")
+        hashes = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(words, words[1:])]
+        hashes += [xxhash.xxh64_intdigest(words[-1], 42)] if words else []
+        return f"{sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes)):016x}"
+
+    for r in edited_fingerprints(rows).collect():
+        text, after = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
+        cut = len(text) // 2
+        assert (r.fingerprint, r.edited_fingerprint) == (plain(text), plain(text[:len(text) - cut] + after[:cut]))
