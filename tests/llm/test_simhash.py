@@ -149,3 +149,10 @@ def test_fingerprints_against_a_plain_simhash(spark):
         text, after = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
         cut = len(text) // 2
         assert (r.fingerprint, r.edited_fingerprint) == (plain(text), plain(text[:len(text) - cut] + after[:cut]))
+
+
+def test_blocks_without_ids(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert edited_fingerprints(none).count() == 0
+    rows = edited_fingerprints(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert len(rows) == 2 and all(r.near_next is None for r in rows)
