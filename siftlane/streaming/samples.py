@@ -21,35 +21,52 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from siftlane.functions import text as X
 from siftlane.operators.capture import ENDPOINT, both_sides, requests, with_json_facts
 from siftlane.profiles import CaptureProfile, profile_of
-from siftlane.streaming.online import SALTS, use_rocksdb
+from siftlane.streaming.online import bucket_of, frames_of, name_of, use_rocksdb
 
 
-def _changes(key: tuple, old: list, new: list, columns: list[str]) -> pd.DataFrame | None:
+#: Responses before the first request of an endpoint that lie in one entry of the state.
+CHUNK = 256
+
+
+def _changes(endpoint: tuple, old: list, new: list) -> list[tuple]:
     """Rows taken back and rows chosen; entries are lists."""
-    rows = [(*key, *e, -1) for e in old if e not in new] + [(*key, *e, 1) for e in new if e not in old]
-    return pd.DataFrame(rows, columns=[*ENDPOINT, *columns, "change"]) if rows else None
+    return [(*endpoint, *e, -1) for e in old if e not in new] + [(*endpoint, *e, 1) for e in new if e not in old]
+
+
+def _first_of_batch(n: int):
+    """The first ``n`` rows per endpoint of each Arrow batch, so that a hot endpoint sends few rows to its state key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.sort_values("seq", kind="stable").groupby(ENDPOINT, sort=False, dropna=False).head(n)
+    return run
 
 
 class _FirstN(StatefulProcessor):
-    """State per key: the first ``n`` rows so far, by ``seq``.  With ``retract`` rows pushed out are taken back."""
+    """State per endpoint: the first ``n`` rows so far, by ``seq``.  Rows pushed out are taken back."""
 
-    def __init__(self, n: int, retract: bool):
-        self.n, self.retract = n, retract
+    def __init__(self, n: int):
+        self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "rows string")
+        self.held = handle.getMapState("held", "endpoint string", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        old = json.loads(self.held.get()[0]) if self.held.exists() else []
-        new = list(old)
-        for part in rows:  # no more than n rows are ever held
-            some = part[["seq", "body", "kind"]].itertuples(index=False, name=None)
-            new = heapq.nsmallest(self.n, [*new, *([int(s), b, k] for s, b, k in some)], key=lambda r: r[0])
-        if new != old:
-            self.held.update((json.dumps(new),))
-            out = _changes(key[:len(ENDPOINT)], old if self.retract else [e for e in old if e in new], new, ["seq", "body", "kind"])
-            if out is not None:
-                yield out
+        found: dict[tuple, list] = {}
+        for part in rows:  # no more than n rows of an endpoint are ever held
+            for session, method, path, seq, body, kind in part[[*ENDPOINT, "seq", "body", "kind"]].itertuples(index=False, name=None):
+                insort(some := found.setdefault((session, method, path), []), [int(seq), body, kind], key=lambda r: r[0])
+                del some[self.n:]
+        yield from frames_of((c for endpoint, some in found.items() for c in self._settled(endpoint, some)), [*ENDPOINT, "seq", "body", "kind", "change"])
+
+    def _settled(self, endpoint: tuple, some: list) -> list[tuple]:
+        name = (name_of(*endpoint),)
+        held = self.held.getValue(name)
+        old = json.loads(held[0]) if held else []
+        new = heapq.nsmallest(self.n, [*old, *(e for e in some if e not in old)], key=lambda r: r[0])
+        if new == old:
+            return []
+        self.held.updateValue(name, (json.dumps(new),))
+        return _changes(endpoint, old, new)
 
     def close(self) -> None:
         pass
@@ -58,10 +75,8 @@ class _FirstN(StatefulProcessor):
 def first_samples_stream(events: DataFrame, profile: str | CaptureProfile = "v2") -> DataFrame:
     """First-N sample payloads per endpoint as they become known, in any order of arrival.
 
-    Two stages: the first is keyed by endpoint and salt, so a hot endpoint is spread over
-    ``SALTS`` keys; what passes it is a superset of the answer, and the second stage keeps the first
-    N of that.  A row that a salt pushes out has N rows of its salt before it, so the second stage
-    needs no word of it.  The profile must set a sample limit.
+    What is sent to the state of an endpoint is the first N of each Arrow batch, a superset of
+    the answer.  The profile must set a sample limit.
     """
     p = profile_of(profile)
     if p.sample_limit is None:
@@ -71,58 +86,89 @@ def first_samples_stream(events: DataFrame, profile: str | CaptureProfile = "v2"
     if not p.raw_text_samples:
         parsed = parsed.where(F.col("json_kind").isNull() | F.col("json_truthy"))
     samples = parsed.select(*ENDPOINT, "seq", "body",
-                            F.when(F.col("json_truthy"), F.col("json_kind")).otherwise(F.lit("text")).alias("kind"),
-                            F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("salt"))
-    schema = "session_id string, method string, path string, seq long, body string, kind string, change int"
+                            F.when(F.col("json_truthy"), F.col("json_kind")).otherwise(F.lit("text")).alias("kind"))
+    few = samples.mapInPandas(_first_of_batch(p.sample_limit), samples.schema)
+    return few.withColumn("bucket", bucket_of(*ENDPOINT)).groupBy("bucket").transformWithStateInPandas(
+        _FirstN(p.sample_limit), outputMode="append", timeMode="None",
+        outputStructType="session_id string, method string, path string, seq long, body string, kind string, change int")
+
 
-    def stage(df: DataFrame, key: list[str], retract: bool) -> DataFrame:
-        return df.groupBy(*key).transformWithStateInPandas(
-            _FirstN(p.sample_limit, retract), outputStructType=schema, outputMode="append", timeMode="None")
+class _Responses:
+    """An endpoint: the position of its first request, the responses from there on that can count (the first
+    one and the first JSON bodies), the number of chunks that hold all responses before it, and new ones of those."""
 
-    return stage(stage(samples, [*ENDPOINT, "salt"], False).where("change > 0"), ENDPOINT, True)
+    def __init__(self, text: str | None):
+        self.first, self.able, self.chunks = json.loads(text) if text else (None, [], 0)
+        self.text, self.before, self.stored, self.early = text, self.first, list(self.able), []
 
 
 class _ResponseSamples(StatefulProcessor):
-    """State per endpoint: the position of its first request, the responses from there on that can
-    count (the first one and the first JSON bodies), and all responses before it.
+    """State per endpoint: what ``_Responses`` has, and the chunks.
 
     The first request only ever moves back.  So of responses behind it no more than ``limit`` + 1
     can ever count; those before it may all count one day and are read when it does move.
     """
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, chunk: int = CHUNK):
+        self.limit, self.chunk = limit, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "seq long")
-        self.able = handle.getValueState("able", "rows string")
-        self.early = handle.getMapState("early", "seq long", "kind string, sample string")
+        self.held = handle.getMapState("held", "endpoint string", "content string")
+        self.early = handle.getMapState("early", "endpoint string, chunk long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        before = first = int(self.first.get()[0]) if self.first.exists() else None
-        stored = json.loads(self.able.get()[0]) if self.able.exists() else []
-        able = list(stored)
+        found: dict[tuple, _Responses] = {}
         for part in rows:
-            asked = part.loc[part["kind"] == "request", "seq"]
-            if len(asked):
-                first = int(asked.min()) if first is None else min(first, int(asked.min()))
-            for r in part[part["kind"] != "request"].itertuples(index=False):
-                if first is not None and r.seq >= first:
-                    insort(able, [int(r.seq), r.kind, r.sample])
-                    able = self._useful(able)
+            part = part[[*ENDPOINT, "seq", "kind", "sample"]]
+            asked = part["kind"] == "request"
+            for session, method, path, seq, _, _ in part[asked].itertuples(index=False, name=None):
+                own = self._own(found, (session, method, path))
+                own.first = int(seq) if own.first is None else min(own.first, int(seq))
+            for session, method, path, seq, kind, sample in part[~asked].itertuples(index=False, name=None):
+                endpoint = session, method, path
+                own = self._own(found, endpoint)
+                if own.first is not None and seq >= own.first:
+                    insort(own.able, [int(seq), kind, sample])
+                    own.able = self._useful(own.able)
                 else:
-                    self.early.updateValue((int(r.seq),), (r.kind, r.sample))
-        if first != before:
-            self.first.update((first,))
-            back = [[int(k[0]), *v] for k, v in self.early.iterator() if int(k[0]) >= first]
-            for entry in back:
-                self.early.removeKey((entry[0],))
-            able = self._useful(sorted(able + back))
-        if able != stored:
-            self.able.update((json.dumps(able),))
-            out = _changes(key, self._chosen(stored), self._chosen(able), ["seq", "kind", "sample"])
-            if out is not None:
-                yield out
+                    own.early.append([int(seq), kind, sample])
+                    if len(own.early) >= self.chunk:
+                        self._put(endpoint, own, own.early)
+                        own.early = []
+        yield from frames_of((c for endpoint, own in found.items() for c in self._settled(endpoint, own)), [*ENDPOINT, "seq", "kind", "sample", "change"])
+
+    def _own(self, found: dict[tuple, _Responses], endpoint: tuple) -> _Responses:
+        if endpoint not in found:
+            held = self.held.getValue((name_of(*endpoint),))
+            found[endpoint] = _Responses(held[0] if held else None)
+        return found[endpoint]
+
+    def _put(self, endpoint: tuple, own: _Responses, rows: list) -> None:
+        self.early.updateValue((name_of(*endpoint), own.chunks), (json.dumps(rows),))
+        own.chunks += 1
+
+    def _settled(self, endpoint: tuple, own: _Responses) -> list[tuple]:
+        if own.first != own.before:
+            name, n = name_of(*endpoint), own.chunks
+            rows = [e for i in range(n) for e in json.loads(self.early.getValue((name, i))[0])] + own.early
+            rows = list({e[0]: e for e in rows}.values())  # of responses at one position the last one
+            own.able = self._useful(sorted(own.able + [e for e in rows if e[0] >= own.first]))
+            rest = [e for e in rows if e[0] < own.first]
+            own.chunks, own.early = 0, []
+            for i in range(0, len(rest), self.chunk):
+                self._put(endpoint, own, rest[i:i + self.chunk])
+            for i in range(own.chunks, n):
+                self.early.removeKey((name, i))
+        elif own.early:
+            if own.chunks:  # the last chunk is filled up first
+                own.chunks -= 1
+                own.early = json.loads(self.early.getValue((name_of(*endpoint), own.chunks))[0]) + own.early
+            for i in range(0, len(own.early), self.chunk):
+                self._put(endpoint, own, own.early[i:i + self.chunk])
+        text = json.dumps([own.first, own.able, own.chunks])
+        if text != own.text:
+            self.held.updateValue((name_of(*endpoint),), (text,))
+        return _changes(endpoint, self._chosen(own.stored), self._chosen(own.able))
 
     def _useful(self, able: list) -> list:
         """The first response and the first ``limit`` JSON bodies."""
@@ -152,8 +198,8 @@ def response_samples_stream(events: DataFrame, profile: str | CaptureProfile = "
     facts = with_json_facts(both.withColumn("parse", F.col("parse") & answered))
     kind = F.when(answered, F.coalesce("json_kind", F.lit("text"))).otherwise(F.lit("request"))
     sample = F.when(answered, F.when(kind == "text", X.text_sample(F.col("body"), p.text_sample)).otherwise(F.col("body")))
-    narrow = facts.select(*ENDPOINT, "seq", kind.alias("kind"), sample.alias("sample"))
-    return narrow.groupBy(*ENDPOINT).transformWithStateInPandas(
+    narrow = facts.select(*ENDPOINT, "seq", kind.alias("kind"), sample.alias("sample"), bucket_of(*ENDPOINT))
+    return narrow.groupBy("bucket").transformWithStateInPandas(
         _ResponseSamples(p.response_sample_limit), outputMode="append", timeMode="None",
         outputStructType="session_id string, method string, path string, seq long, kind string, sample string, change int")
 

@@ -246,3 +246,105 @@ def test_samples_in_any_order(spark, tmp_path, order):
     assert rows_of(streaming.settle_samples(answers), *want.columns) == rows_of(want, *want.columns)
     taken_back = first.where("change < 0").count(), answers.where("change < 0").count()
     assert taken_back == (0, 0) if order == (0, 1, 2, 3, 4) else min(taken_back) > 0
+
+
+class Entries:
+    """State of one key in dictionaries, with a count of calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getMapState(self, *_):
+        entries, held = self, {}
+
+        class Map:
+            def getValue(self, key):
+                entries.calls += 1
+                return held.get(key)
+
+            def updateValue(self, key, value):
+                entries.calls += 1
+                held[key] = value
+
+            def removeKey(self, key):
+                entries.calls += 1
+                del held[key]
+        return Map()
+
+    def getValueState(self, *_):
+        class Value:
+            found = None
+
+            def exists(self):
+                return self.found is not None
+
+            def get(self):
+                return self.found
+
+            def update(self, value):
+                self.found = value
+
+            def clear(self):
+                self.found = None
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def called(processor, rows, columns, watermark=0):
+    import pandas as pd
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return watermark
+    return [r for out in processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), Times()) for r in out.itertuples(index=False, name=None)]
+
+
+def started(processor):
+    handle = Entries()
+    processor.init(handle)
+    return processor, handle
+
+
+def test_one_state_key_serves_many_endpoints():
+    """A call costs two entries of state per endpoint; what an earlier event pushes out is taken back; endpoints may hold nulls."""
+    from siftlane.streaming.samples import _FirstN
+    columns = ["session_id", "method", "path", "seq", "body", "kind"]
+    processor, handle = started(_FirstN(2))
+    rows = [(f"s{i % 500}" if i % 500 else None, "GET", "/", i, f"b{i}", "text") for i in range(500, 2000)]
+    assert sorted(r[3] for r in called(processor, rows, columns)) == list(range(500, 1500)) and handle.calls <= 1000
+    assert called(processor, [(None, "GET", "/", 3, "b3", "text")], columns) == [(None, "GET", "/", 1000, "b1000", "text", -1), (None, "GET", "/", 3, "b3", "text", 1)]
+
+
+def test_hot_endpoint_sends_few_rows():
+    import pandas as pd
+    from siftlane.streaming.samples import _first_of_batch
+    rows = pd.DataFrame([("hot", "GET", "/", i) for i in range(1000)][::-1] + [(None, "GET", "/", 5)], columns=["session_id", "method", "path", "seq"])
+    (out,) = _first_of_batch(2)(iter([rows]))
+    assert sorted(out["seq"]) == [0, 1, 5]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_response_samples_state_in_any_order(seed):
+    """Events of three endpoints in any order and batches, chunks of three early responses: what holds is what all events so far give."""
+    import random
+    from collections import Counter
+    from siftlane.streaming.samples import _ResponseSamples
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), "GET", "/", i, rng.choice(["request", "text", "object", "text"]), f"r{i}") for i in range(90)]
+    rng.shuffle(rows)
+    (processor, _), held, seen = started(_ResponseSamples(2, 3)), Counter(), []
+    for i in range(0, 90, 9):
+        for *row, change in called(processor, rows[i:i + 9], ["session_id", "method", "path", "seq", "kind", "sample"]):
+            held[tuple(row)] += change
+        seen += rows[i:i + 9]
+        want = []
+        for own in ("a", "b", None):
+            asked = [r[3] for r in seen if r[0] == own and r[4] == "request"]
+            able = sorted((r for r in seen if asked and r[0] == own and r[4] != "request" and r[3] >= min(asked)), key=lambda r: r[3])
+            want += [r for n, r in enumerate(able) if n == 0 or r[4] != "text"][:2]
+        assert sorted(held.elements(), key=repr) == sorted(want, key=repr)
