@@ -1,11 +1,11 @@
 """Streams put back into event order: a reorder buffer that the watermark releases, and late rows kept.
 
-Rows wait in the state of their session, in buckets of event time, until the watermark has passed
-them; then they go on in the order of their time, whichever micro-batch brought them.  An event
-time timer per session releases what waits when no more rows of it come.  A row that comes after the
-watermark has passed it is too late to be put in order: it comes out marked, for a table of its
-own, and changes nothing.  What waits is bounded by the delay, what a micro-batch reads by the
-buckets it touches.
+Rows wait in the state of the sessions that share a key, in leaves of consecutive times, until the
+watermark has passed them; then they go on in the order of their time, whichever micro-batch brought
+them.  An event time timer per key releases what waits when no more rows of it come.  A row that comes
+after the watermark has passed it is too late to be put in order: it comes out marked, for a table of
+its own, and changes nothing.  What waits is bounded by the delay, what a micro-batch reads by the
+leaves it touches; a leaf that grows beyond ``LEAF`` rows is cut.
 
 Event times travel as microseconds: Spark filters rows behind the watermark out silently where it
 sees the time column itself.
@@ -14,6 +14,7 @@ sees the time column itself.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,88 +23,121 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from siftlane.functions.text import content_hash
-from siftlane.streaming.online import SALTS, use_rocksdb
+from siftlane.streaming.online import bucket_of, frames_of, name_of, use_rocksdb
 
-#: Milliseconds of event time in a bucket of waiting rows.
-BUCKET_MS = 1000
+#: Waiting rows in a leaf; rows of one time stay together.
+LEAF = 1024
 _COLUMNS = ["session_id", "url", "page_id", "at", "late"]
 
 
+def _leaves(rows: list, most: int) -> Iterator[list]:
+    """Ascending rows cut into leaves of equal size, ``most`` or fewer, at places where the time changes."""
+    size = -(-len(rows) // -(-len(rows) // most))
+    begin = 0
+    while begin < len(rows):
+        end = begin + size
+        while end < len(rows) and rows[end][0] == rows[end - 1][0]:
+            end += 1
+        yield rows[begin:end]
+        begin = end
+
+
 class _InOrder(StatefulProcessor):
-    """State per session: waiting rows by bucket, the buckets in use, the timer, and the digest that came out last."""
+    """State of some sessions: waiting rows by leaf, the first times of the leaves, the timer, and the digest that came out last for each session.
 
-    def __init__(self, bucket_ms: int = BUCKET_MS):
-        self.bucket_us = bucket_ms * 1000
+    A waiting row is [time, page_id, url, digest, session_id].
+    """
+
+    def __init__(self, leaf: int = LEAF):
+        self.leaf = leaf
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buckets = handle.getMapState("buckets", "bucket long", "waiting string")
-        self.used = handle.getValueState("used", "buckets string")
+        self.leaves = handle.getMapState("leaves", "first long", "waiting string")
+        self.used = handle.getValueState("used", "firsts string")
         self.timer = handle.getValueState("timer", "at long")
-        self.last = handle.getValueState("last", "digest string")
+        self.last = handle.getMapState("last", "session string", "digest string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         passed = timer_values.getCurrentWatermarkInMs() * 1000
+        stored = self._used()
+        used = list(stored)
         for part in rows:
             is_late = part["at"] < passed
             late = part.loc[is_late, ["session_id", "url", "page_id", "at"]].assign(late=True)
             if len(late):
                 yield late[_COLUMNS]
-            self._wait(part.loc[~is_late])
-        yield from self._release(key, passed)
+            used = self._wait(used, part.loc[~is_late])
+        yield from self._release(stored, used, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+        stored = self._used()
+        yield from self._release(stored, list(stored), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def _used(self) -> list[int]:
         return json.loads(self.used.get()[0]) if self.used.exists() else []
 
-    def _wait(self, rows: pd.DataFrame) -> None:
-        if not len(rows):
-            return
-        used = set(self._used())
-        for bucket, some in rows.groupby(rows["at"] // self.bucket_us):
-            held = self.buckets.getValue((int(bucket),)) if int(bucket) in used else None
-            waiting = json.loads(held[0]) if held else []
-            waiting += [[int(a), int(p), u, d] for a, p, u, d in zip(some["at"], some["page_id"], some["url"], some["digest"])]
-            self.buckets.updateValue((int(bucket),), (json.dumps(waiting),))
-            used.add(int(bucket))
-        self.used.update((json.dumps(sorted(used)),))
-
-    def _release(self, key, passed: int) -> Iterator[pd.DataFrame]:
-        """What lies before the watermark goes out, bucket by bucket; states equal to the one before are left out."""
-        used = self._used()
-        digest = first = self.last.get()[0] if self.last.exists() else ""
-        for bucket in list(used):
-            if bucket * self.bucket_us >= passed:
-                break
-            waiting = sorted(json.loads(self.buckets.getValue((bucket,))[0]))
-            ready = [r for r in waiting if r[0] < passed]
-            out = []
-            for at, page_id, url, own in ready:
-                if own != digest:
-                    out.append((key[0], url, page_id, at, False))
-                digest = own
-            if len(ready) < len(waiting):
-                self.buckets.updateValue((bucket,), (json.dumps(waiting[len(ready):]),))
-            else:
-                self.buckets.removeKey((bucket,))
-                used.remove(bucket)
-            if out:
-                yield pd.DataFrame(out, columns=_COLUMNS)
-        if digest != first:
-            self.last.update((digest,))
-        if used != self._used():
+    def _held(self, first: int) -> list:
+        return json.loads(self.leaves.getValue((first,))[0])
+
+    def _wait(self, used: list[int], part: pd.DataFrame) -> list[int]:
+        """Rows go to the leaf that holds their time; the first times of all leaves from then on."""
+        rows = sorted(([int(a), int(p), u, d, s] for a, p, u, d, s in zip(part["at"], part["page_id"], part["url"], part["digest"], part["session_id"])),
+                      key=lambda r: r[:4])
+        out, begin, done = [], 0, 0
+        while begin < len(rows):
+            n = max(bisect_right(used, rows[begin][0]) - 1, 0)
+            end = bisect_left(rows, used[n + 1], begin, key=lambda r: r[0]) if n + 1 < len(used) else len(rows)
+            waiting = sorted([*self._held(used[n]), *rows[begin:end]], key=lambda r: r[:4]) if used else rows
+            cut = list(_leaves(waiting, self.leaf))
+            if used and used[n] != cut[0][0][0]:
+                self.leaves.removeKey((used[n],))
+            for leaf in cut:
+                self.leaves.updateValue((leaf[0][0],), (json.dumps(leaf),))
+            out += [*used[done:n], *(leaf[0][0] for leaf in cut)]
+            done, begin = n + 1, end
+        return out + used[done:]
+
+    def _release(self, stored: list[int], used: list[int], passed: int) -> Iterator[pd.DataFrame]:
+        """What lies before the watermark goes out, leaf by leaf; states equal to the one before are left out."""
+        first: dict[str, str] = {}
+        digest: dict[str, str] = {}
+
+        def differs(session: str | None, own: str) -> bool:
+            name = name_of(session)
+            if name not in digest:
+                held = self.last.getValue((name,))
+                first[name] = digest[name] = held[0] if held else ""
+            before, digest[name] = digest[name], own
+            return own != before
+
+        def changed() -> Iterator[tuple]:
+            while used and used[0] < passed:
+                waiting = self._held(used[0])
+                n = bisect_left(waiting, passed, key=lambda r: r[0])
+                self.leaves.removeKey((used[0],))
+                if n < len(waiting):
+                    used[0] = waiting[n][0]
+                    self.leaves.updateValue((used[0],), (json.dumps(waiting[n:]),))
+                else:
+                    del used[0]
+                for at, page_id, url, own, session in waiting[:n]:
+                    if differs(session, own):
+                        yield session, url, page_id, at, False
+
+        yield from frames_of(changed(), _COLUMNS)
+        for name, own in digest.items():
+            if own != first[name]:
+                self.last.updateValue((name,), (own,))
+        if used != stored:
             self.used.update((json.dumps(used),))
         self._set_timer(used)
 
     def _set_timer(self, used: list[int]) -> None:
         """One timer, at the millisecond behind the first row that waits."""
         old = self.timer.get()[0] if self.timer.exists() else None
-        new = None
-        if used:
-            new = min(r[0] for r in json.loads(self.buckets.getValue((used[0],))[0])) // 1000 + 1
+        new = used[0] // 1000 + 1 if used else None
         if old == new:
             return
         if old is not None:
@@ -130,8 +164,9 @@ def ordered_pages_stream(pages: DataFrame, delay: str = "1 minute") -> DataFrame
     use_rocksdb(pages.sparkSession)
     top = pages.where(F.col("html").isNotNull() & (F.coalesce("frame_index", F.lit(0)) == 0) & F.col("ts").isNotNull())
     narrow = (top.withWatermark("ts", delay)
-              .select("session_id", F.coalesce("url", F.lit("")).alias("url"), "page_id", F.unix_micros("ts").alias("at"), content_hash(F.col("html")).alias("digest")))
-    found = narrow.groupBy("session_id").transformWithStateInPandas(
+              .select("session_id", F.coalesce("url", F.lit("")).alias("url"), "page_id", F.unix_micros("ts").alias("at"), content_hash(F.col("html")).alias("digest"),
+                      bucket_of("session_id")))
+    found = narrow.groupBy("bucket").transformWithStateInPandas(
         _InOrder(), outputStructType="session_id string, url string, page_id long, at long, late boolean", outputMode="append", timeMode="EventTime")
     return found.select("session_id", "url", "page_id", F.timestamp_micros("at").alias("ts"), "late")
 
@@ -161,7 +196,7 @@ def late_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """
     use_rocksdb(events.sparkSession)
     narrow = (events.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
-              .select("session_id", "seq", F.unix_micros("ts").alias("at"), F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("salt")))
-    found = narrow.groupBy("session_id", "salt").transformWithStateInPandas(
+              .select("session_id", "seq", F.unix_micros("ts").alias("at"), bucket_of("session_id", "seq")))
+    found = narrow.groupBy("bucket").transformWithStateInPandas(
         _Late(), outputStructType="session_id string, seq long, at long", outputMode="append", timeMode="EventTime")
     return found.select("session_id", "seq", F.timestamp_micros("at").alias("ts"))

@@ -348,3 +348,24 @@ def test_response_samples_state_in_any_order(seed):
             able = sorted((r for r in seen if asked and r[0] == own and r[4] != "request" and r[3] >= min(asked)), key=lambda r: r[3])
             want += [r for n, r in enumerate(able) if n == 0 or r[4] != "text"][:2]
         assert sorted(held.elements(), key=repr) == sorted(want, key=repr)
+
+
+def test_waiting_pages_take_few_entries():
+    """20,000 states of 100 pages, one a second, out of order: leaves, not rows, are read and written, and what the watermark passes comes in order."""
+    import random
+    from siftlane.streaming.event_time import LEAF, _InOrder
+    rng = random.Random(1)
+    rows = [(f"s{i % 100}" if i % 100 else None, "u", i, i * 1_000_000, rng.choice("AB")) for i in range(20_000)]
+    shuffled = rng.sample(rows, len(rows))
+    (processor, handle), out = started(_InOrder()), []
+    for i in range(0, 20_000, 5_000):
+        out += called(processor, shuffled[i:i + 5_000], ["session_id", "url", "page_id", "at", "digest"])
+    assert out == [] and handle.calls < 8 * 20_000 // LEAF * 4 and len(handle.timers) == 1
+    out = called(processor, [("s1", "u", 7, 5, "A")], ["session_id", "url", "page_id", "at", "digest"], 10_000_000)
+    rest = called(processor, [], ["session_id", "url", "page_id", "at", "digest"], 30_000_000)
+    last, want = {}, []
+    for session, _, page, at, digest in rows:
+        if last.get(session) != digest:
+            want.append(page)
+        last[session] = digest
+    assert out[0][2:] == (7, 5, True) and [r[2] for r in out[1:] + rest] == want and handle.timers == set()
