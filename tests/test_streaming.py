@@ -369,3 +369,25 @@ def test_waiting_pages_take_few_entries():
             want.append(page)
         last[session] = digest
     assert out[0][2:] == (7, 5, True) and [r[2] for r in out[1:] + rest] == want and handle.timers == set()
+
+
+def test_one_state_key_serves_many_pages_and_tokens():
+    import pandas as pd
+    from siftlane.streaming.lineage import _Tokens
+    from siftlane.streaming.online import _Changed
+    processor, _ = started(_Changed(["session_id", "page_id"]))
+    columns = ["session_id", "page_id", "ts", "digest"]
+    at = pd.Timestamp("2024-01-01")
+    assert called(processor, [("a", 2, at, "X"), (None, 1, at, "X"), ("a", 1, at, "X"), ("b", 3, at, "Y")], columns) == [(None, 1), ("a", 1), ("b", 3)]
+    assert called(processor, [("a", 4, at, "X"), (None, 5, at, "Z"), ("b", 6, at, "Y"), ("b", 7, at, "X")], columns) == [(None, 5), ("b", 7)]
+    processor, handle = started(_Tokens(None))
+    columns = ["session_id", "token", "side", "seq", "ord", "endpoint", "field_path"]
+    rows = [(f"s{i}", t, side, 1 + 2 * (1 - side), 0, "e", "f") for i in range(50) for t in "xy" for side in (1, 0)]
+    assert sorted(r[:2] for r in called(processor, rows, columns)) == sorted((f"s{i}", 3) for i in range(50) for _ in "xy") and handle.calls <= 400
+
+
+def test_late_rows_share_state_keys(spark, monkeypatch):
+    """Rows are dealt to a bounded number of state keys, however many sessions there are."""
+    from siftlane.streaming.online import BUCKETS, bucket_of
+    rows = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("session_id"), F.col("id").alias("seq"))
+    assert rows.select(bucket_of("session_id", "seq")).distinct().count() == BUCKETS
