@@ -158,3 +158,23 @@ def test_a_page_that_fails_leaves_the_others(spark):
     assert unread == {1: (1, 1, "ValueError"), 2: (2, 0, "ValueError")}
     with pytest.raises(Exception, match="ValueError"):
         D.page_elements(pages).collect()
+
+
+def test_pages_are_parsed_a_few_at_a_time(monkeypatch):
+    """A batch of 1,000 pages is never held as Python objects whole, and gives what its pages give one by one."""
+    import pyarrow as pa
+    from siftlane.functions import html as H
+    most, plain = [], H._ElementBatch.to_arrow
+
+    def counted(batch):
+        most.append(len(batch.errors))
+        return plain(batch)
+
+    monkeypatch.setattr(H._ElementBatch, "to_arrow", counted)
+    pages = pa.array([None if i % 7 == 0 else f"<form id=f{i}><input name=a></form>" for i in range(1000)])
+    urls = pa.array([f"https://h/{i}" for i in range(1000)])
+    every = H._parsed(pages, urls, lambda tag, attrs: False, True).to_pylist()
+    assert max(most) <= H.PAGES_AT_ONCE < 1000 and sum(most) == 1000
+    ones = [H._parsed(pages.slice(i, 1), urls.slice(i, 1), lambda tag, attrs: False, True).to_pylist()[0] for i in (0, 1, 255, 256, 511, 512, 999)]
+    assert ones == [every[i] for i in (0, 1, 255, 256, 511, 512, 999)]
+    assert H._parsed(pages.slice(0, 0), urls.slice(0, 0), lambda tag, attrs: False, False).to_pylist() == []
