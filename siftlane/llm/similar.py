@@ -1,6 +1,7 @@
-"""Near-dedup by the similarity of word shingles: MinHash bands propose candidates, exact Jaccard similarity of the shingle sets links them.
+"""Near-dedup by the similarity of word shingles: op 8's SimHash covering and MinHash bands propose candidates, exact Jaccard similarity of the shingle sets links them.
 
-A text's shingles are the distinct runs of five lower-cased words, as 64-bit hashes. 144 minima of the set in 24 bands of 6 make a pair of similarity 0.8 meet in some
+A text's shingles are the distinct runs of five lower-cased words, as 64-bit hashes. Their 64-bit SimHash fingerprints are linked by anchor points (``simhash_covering.linked``) where they
+differ in at most 4 bits. Similarity 0.8 means about 10 bits, which anchors cannot cover, so bands add what is further apart: 144 minima of the set in 24 bands of 6 make a pair of similarity 0.8 meet in some
 band with a probability of 0.9993 (0.85: 0.999998). Texts that meet, and what they reach, are walked breadth-first with their whole sets: no two that meet are
 linked by less than the similarity asked for, and no link inside such a group is missed.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlane.llm import chunks as C
 from siftlane.llm import graph
-from siftlane.llm.simhash_covering import first_rows, keyed_rows, named_classes, spanning
+from siftlane.llm.simhash_covering import BITS, VOTES_AT_ONCE, first_rows, keyed_rows, linked, named_classes, spanning
 from siftlane.llm.worker import release
 from siftlane.session import stored
 
@@ -55,6 +56,14 @@ def set_print(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
 
 
+def simhash(found: np.ndarray) -> int:
+    """The fingerprint of a set as a signed number: a bit is set if it is set in over half the hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), VOTES_AT_ONCE):
+        votes += np.unpackbits(found[i:i + VOTES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(found)).tobytes(), "big", signed=True)
+
+
 def bands(found: np.ndarray) -> np.ndarray:
     """One key for each band."""
     factors = C.multipliers(50, BANDS * ROWS)
@@ -79,10 +88,11 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
         for part in _pieces(batches):
             sets = [shingles(t.as_py(), width) for t in part.column(1)]
             fps, keys = pa.array([set_print(s) for s in sets], pa.int64()), pa.array([bands(s).tobytes() if len(s) else b"" for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), fps, keys], ["doc_id", "fp", "bands"])
+            sims = pa.array([simhash(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), fps, keys, sims], ["doc_id", "fp", "bands", "sim"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, fp long, bands binary"), "prints")
+    return stored(rows.mapInArrow(run, "doc_id long, fp long, bands binary, sim long"), "prints")
 
 
 def candidates(least: DataFrame) -> DataFrame:
@@ -113,6 +123,15 @@ def candidates(least: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(settle, "u long, v long")
 
 
+def anchored(least: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (u, v) whose components join the prints with SimHash fingerprints of ``radius`` differing bits or fewer; a fingerprint is a node beside the prints."""
+    sims = least.where(F.length("bands") > 0).select("fp", "sim")
+    distinct = stored(sims.groupBy("sim").agg(F.count("*").alias("n")), "sims")
+    links = stored(linked(distinct.select(F.col("sim").alias("fp")), radius), "anchored")
+    met = distinct.where("n > 1").select("sim").union(links.select("u")).union(links.select("v")).distinct()
+    return links.union(sims.join(met, "sim", "left_semi").select("fp", "sim"))
+
+
 def walk(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Links with the components of all pairs of ``similarity`` or more. What has been reached is not compared again."""
     size = np.array([len(s) for s in sets])
@@ -138,7 +157,7 @@ def walk(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int
 
 def similar_links(docs: DataFrame, least: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (u, v) between prints with the components of all pairs that meet and have the similarity."""
-    groups = stored(graph.components(candidates(least)).withColumnRenamed("node", "fp"), "groups")
+    groups = stored(graph.components(candidates(least).union(anchored(least))).withColumnRenamed("node", "fp"), "groups")
     n = max(8, -(-groups.count() // SETS_PER_BUCKET))
     chosen = least.join(groups, "fp").select(F.coalesce("least", F.lit(0)).alias("id"), F.col("least").isNull().alias("none"), "fp", "root")
     keys = ["id", "none", "fp"]
@@ -175,11 +194,11 @@ def keep_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     """The documents less all but one of each component of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; fewer than ``width`` words are one shingle. Texts with equal sets are always linked (also texts without words, with each
-    other); other pairs are found with the probability that they share a band. The row with the smallest doc_id stays, with all its columns, as in ``simhash_covering.keep_one``.
+    other); other pairs are found with the probability that they share a band or have fingerprints within 4 bits. The row with the smallest doc_id stays, with all its columns, as in ``simhash_covering.keep_one``.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity above 0, 1 at most")
-    least = stored(_prints(docs, width).groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "distinct")
+    least = stored(_prints(docs, width).groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sim").alias("sim")), "distinct")
     links = similar_links(docs, least, width, similarity)
-    named = named_classes(least.drop("bands"), graph.components(links).withColumnRenamed("node", "fp"))
+    named = named_classes(least.drop("bands", "sim"), graph.components(links).withColumnRenamed("node", "fp"))
     return first_rows(docs, named, print_column(F.col("text").cast("string"), width))

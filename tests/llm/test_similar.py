@@ -61,3 +61,15 @@ def test_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and S.keep_similar(nothing).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(15) == 1 and ids.count(None) <= 1 and {1, 4, 7, 12, 13, 20, 21} <= set(ids) and not {2, 5, 6, 14, 22} & set(ids)
+
+
+def test_anchors_of_simhash_link_what_shares_no_band(spark, monkeypatch):
+    """Texts whose fingerprints lie within 4 bits are candidates without any band; the exact check still decides."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(1 << 30, size=3000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "last"])), (2, " ".join(base[::-1])), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = [S.simhash(S.shingles(t, 5)) & (2 ** 64 - 1) for _, t in rows[:3]]
+    assert (bits[0] ^ bits[1]).bit_count() <= 4 < (bits[0] ^ bits[2]).bit_count()
+    monkeypatch.setattr(S, "candidates", lambda least: least.select("fp", "fp").toDF("u", "v").limit(0))
+    assert sorted(r.doc_id for r in S.keep_similar(docs).collect()) == [0, 2, 3]
