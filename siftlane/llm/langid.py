@@ -93,6 +93,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in pdf["text"]:
             found[term_counts(text)[0]] += 1
             n += 1
+        release()
     at = np.flatnonzero(found)
     yield pd.DataFrame({"bucket": np.r_[-1, at], "n": np.r_[n, found[at]]})
 
@@ -154,11 +155,15 @@ def train(labelled: DataFrame, per_language: int = 1500) -> Model:
             found = [term_counts(t) for t in pdf["text"]]
             yield pd.DataFrame({"h": pdf["h"], "label": pdf["lang"].map(number), "at": [a.astype(np.uint16).tobytes() for a, _ in found],
                                 "v": [_weighted(a, c, idf).astype(np.float32).tobytes() for a, c in found]})
+            del found
+            release()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["at"].map(len) > 0].sort_values(["h", "label", "at"])
         sparse = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for a, v in zip(pdf["at"], pdf["v"])]
         w, t = learn(sparse, pdf["label"].to_numpy(), len(languages), np.arange(len(pdf)) % 5 == 4)
+        del sparse
+        release()
         return pd.DataFrame({"w": [w.tobytes()], "t": [t]})
 
     sample = rows.where(F.col("h") <= limits[F.col("lang")]).mapInPandas(vectors, "h long, label int, at binary, v binary")
