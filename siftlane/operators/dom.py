@@ -315,8 +315,11 @@ def with_storage(snapshots: DataFrame, storage: DataFrame, mask: bool = True) ->
 
 
 def frozen_values(fields: DataFrame, live: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Field rows with what the user had entered: live value and tick state over the attributes."""
-    entered = live.select(*key, "live_value", "live_checked")
+    """Field rows with what the user had entered: live value and tick state over the attributes.
+
+    The join is sorted and spills: Spark takes rows made from pages for as small as the stored pages, and would send all of them to every executor.
+    """
+    entered = live.select(*key, "live_value", "live_checked").hint("merge")
     return (fields.join(entered, list(key), "left")
             .withColumn("value", F.coalesce("live_value", "value"))
             .withColumn("checked", F.coalesce("live_checked", "checked"))

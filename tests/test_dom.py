@@ -103,6 +103,17 @@ def test_frozen_values(spark, parsed):
     assert {(r.name, r.value, r.checked) for r in D.frozen_values(fields, live, ("page_id", "name")).collect()} == {("who", "typed", None), ("c", "yes", False)}
 
 
+def test_frozen_values_are_not_broadcast(spark, tmp_path):
+    """Live rows made from pages look as small as the stored pages to Spark, but grow with them; repeated and null keys give the rows of a left join."""
+    fields = spark.createDataFrame([(1, "a", "old", False), (1, "b", None, None), (None, "a", "x", None)], "page_id long, name string, value string, checked boolean")
+    live = spark.createDataFrame([(1, "a", "typed", None), (1, "a", None, True), (None, "a", "y", None)], "page_id long, name string, live_value string, live_checked boolean")
+    live.write.parquet(f"{tmp_path}/live")
+    rows = D.frozen_values(fields, spark.read.parquet(f"{tmp_path}/live"), ("page_id", "name"))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(
+        [(1, "a", "typed", False), (1, "a", "old", True), (1, "b", None, None), (None, "a", "x", None)], key=str)
+
+
 def test_offline_pages_number_changed_states(spark):
     rows = [("s", i, f"2024-01-01 10:00:0{i}", "https://h/x", h) for i, h in enumerate(["<head>1", "<head>1", "2", "<head>1"])]
     states = spark.createDataFrame(rows, "session_id string, page_id long, at string, url string, html string").withColumn("ts", F.to_timestamp("at"))
