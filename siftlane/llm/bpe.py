@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,7 @@ from siftlane.llm.worker import release, remembered
 #: Fixed value: the pattern that byte-level tokenizers of this kind split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer words are merged with a heap; words of one length that are merged at once; pieces of text that a worker remembers; rows worked on at once.
-SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 300_000, 512
+SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 100_000, 512
 NONE = np.iinfo(np.int32).max
 _TWO_BLANKS, _SINGLE_BLANK = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
@@ -152,10 +152,11 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of int32 numbers."""
         cut = [self._parts(t) for t in texts]  # of each text: lists of pieces between single blanks, and ids of special strings
-        if len(self.after_blank) > REMEMBERED:
-            self.after_blank.clear()
         lists = [part for parts in cut for part in parts if part.__class__ is list]
-        new = list(set(chain.from_iterable([part[1:] for part in lists])).difference(self.after_blank))
+        met = set(chain.from_iterable([part[1:] for part in lists]))
+        if len(self.after_blank) > REMEMBERED:  # common pieces are met again and stay
+            self.after_blank = {p: self.after_blank[p] for p in met.intersection(self.after_blank)}
+        new = list(met.difference(self.after_blank))
         self.after_blank.update(zip(new, self.encode_pieces([" " + p for p in new])))
         heads = list({part[0] for part in lists})
         first = dict(zip(heads, self.encode_pieces(heads)))
@@ -174,11 +175,14 @@ def _at_blanks(text: str) -> list[str]:
     return _SINGLE_BLANK.split(text) if _TWO_BLANKS.search(text) else text.split(" ")
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _worked(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Work on a few rows at a time. Memory goes back after each batch and at the end, when the last one is free: idle workers stay beside those that work."""
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
+            yield work(batch.slice(i, ROWS))
+        del batch
         release()
+    release()
 
 
 def _encoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
@@ -219,7 +223,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = _texts(docs)
     schema = rows.drop("text").withColumn("ids", F.array(F.lit(0))).schema
-    return rows.mapInArrow(lambda batches: (_encoded(b, path) for b in _slices(batches)), schema)
+    return rows.mapInArrow(lambda batches: _worked(batches, lambda b: _encoded(b, path)), schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -228,11 +232,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     Bytes that form no UTF-8 become U+FFFD; ids that the file does not have are skipped; null ids give an empty text.
     """
     schema = rows.withColumn("decoded", F.lit("")).schema
-    return rows.mapInArrow(lambda batches: (_decoded(b, path) for b in _slices(batches)), schema)
+    return rows.mapInArrow(lambda batches: _worked(batches, lambda b: _decoded(b, path)), schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """``encode`` and then ``decode`` of the ids, in one pass over the rows: one Python worker a task instead of two."""
     rows = _texts(docs)
     schema = rows.drop("text", "decoded").withColumns({"ids": F.array(F.lit(0)), "decoded": F.lit("")}).schema
-    return rows.mapInArrow(lambda batches: (_decoded(_encoded(b, path), path) for b in _slices(batches)), schema)
+    return rows.mapInArrow(lambda batches: _worked(batches, lambda b: _decoded(_encoded(b, path), path)), schema)

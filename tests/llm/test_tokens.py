@@ -65,3 +65,16 @@ def test_any_text(own, byte_library, text):
 def test_long_words(own, byte_library, word):
     ids = list(memoryview(own.encode([word])[0]).cast("i"))
     assert ids == byte_library.encode(word, add_special_tokens=False).ids
+
+
+def test_common_pieces_stay_remembered(own, byte_library, monkeypatch):
+    """A worker that remembers too many pieces forgets those that the next texts do not have; ids stay as they are."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    own.after_blank.clear()
+    own.encode(["x common often " + " ".join(f"rare{i}" for i in range(20))])
+    learnt = []
+    monkeypatch.setattr(own, "encode_pieces", lambda pieces, f=own.encode_pieces: learnt.extend(pieces) or f(pieces))
+    text = "x common often fresh"
+    ids = own.encode([text])[0]
+    assert learnt == [" fresh", "x"] and set(own.after_blank) == {"common", "often", "fresh"}
+    assert ids == b"".join(i.to_bytes(4, "little") for i in byte_library.encode(text, add_special_tokens=False).ids)
