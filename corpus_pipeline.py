@@ -42,7 +42,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select("doc_id", "lang", "source", "text")
-    return with_digests(bpe.round_trip(rows, path)).drop("decoded")
+    # the stages before leave several idle workers in each executor, which take turns here
+    return with_digests(bpe.round_trip(rows, path, most=100_000)).drop("decoded")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mixing), ("tokens", tokens)]

@@ -24,7 +24,7 @@ from siftlane.llm.worker import release, remembered
 #: Fixed value: the pattern that byte-level tokenizers of this kind split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer words are merged with a heap; words of one length that are merged at once; pieces of text that a worker remembers; rows worked on at once.
-SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 100_000, 512
+SHORT, AT_ONCE, REMEMBERED, ROWS = 48, 20_000, 300_000, 512
 NONE = np.iinfo(np.int32).max
 _TWO_BLANKS, _SINGLE_BLANK = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
@@ -149,12 +149,12 @@ class ByteBPE:
         found = self.merge_words({w for words in cut for w in words})
         return [found[words[0]] if len(words) == 1 else b"".join([found[w] for w in words]) for words in cut]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the bytes of int32 numbers."""
+    def encode(self, texts: list[str], most: int | None = None) -> list[bytes]:
+        """The ids of each text, as the bytes of int32 numbers. ``most`` bounds the pieces kept beside those of these texts."""
         cut = [self._parts(t) for t in texts]  # of each text: lists of pieces between single blanks, and ids of special strings
         lists = [part for parts in cut for part in parts if part.__class__ is list]
         met = set(chain.from_iterable([part[1:] for part in lists]))
-        if len(self.after_blank) > REMEMBERED:  # common pieces are met again and stay
+        if len(self.after_blank) > (most or REMEMBERED):  # common pieces are met again and stay
             self.after_blank = {p: self.after_blank[p] for p in met.intersection(self.after_blank)}
         new = list(met.difference(self.after_blank))
         self.after_blank.update(zip(new, self.encode_pieces([" " + p for p in new])))
@@ -185,10 +185,10 @@ def _worked(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch],
     release()
 
 
-def _encoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+def _encoded(batch: pa.RecordBatch, path: str, most: int | None = None) -> pa.RecordBatch:
     """The batch with ``ids`` in place of ``text``."""
     bpe = remembered(f"bpe {path}", lambda: ByteBPE(path))
-    found = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+    found = bpe.encode([t or "" for t in batch.column("text").to_pylist()], most)
     ends = np.cumsum([0] + [len(x) // 4 for x in found])
     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
     names = [n for n in batch.schema.names if n not in ("text", "ids")]
@@ -235,8 +235,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _worked(batches, lambda b: _decoded(b, path)), schema)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``encode`` and then ``decode`` of the ids, in one pass over the rows: one Python worker a task instead of two."""
+def round_trip(docs: DataFrame, path: str, most: int | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, in one pass over the rows: one Python worker a task instead of two.
+
+    ``most`` bounds the pieces of text that a worker keeps; fewer take less memory and more time, with the same result.
+    """
     rows = _texts(docs)
     schema = rows.drop("text", "decoded").withColumns({"ids": F.array(F.lit(0)), "decoded": F.lit("")}).schema
-    return rows.mapInArrow(lambda batches: _worked(batches, lambda b: _decoded(_encoded(b, path), path)), schema)
+    return rows.mapInArrow(lambda batches: _worked(batches, lambda b: _decoded(_encoded(b, path, most), path)), schema)
