@@ -61,6 +61,20 @@ def test_lineage_stream_corrects_itself(spark, tmp_path):
         assert rows_of(streaming.settle_lineage(got.where(F.col("batch") <= i)), *columns) == rows_of(want, *columns)
 
 
+def test_stream_lineage_reads_whole_texts(spark, tmp_path):
+    """Words far behind the tenth are matched, on both sides."""
+    from siftlane.plans import QUERIES
+    filler = [f"w{i:03}" for i in range(300)]
+    turns = [(1, 0, "user", " ".join([*filler[:150], "given"])), (1, 1, "assistant", " ".join(["ab", *filler, "given", "given"])),
+             (1, 2, "user", " ".join(["one"] * 40 + ["given", "ab", filler[299]])), (2, 3, "user", "given"),
+             (1, 4, "assistant", "now " * 20 + "given"), (1, 5, "user", "then " * 11 + "given")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["stream_lineage"](spark, str(tmp_path))
+    source, use = "POST /assistant", "POST /user"
+    assert rows_of(got, "session_id", "seq", "ord", "source_endpoint", "source_field", "consumer_endpoint", "consumer_field") == [
+        ("c1", 2, 40, source, "[302]", use, "[40]"), ("c1", 2, 42, source, "[300]", use, "[42]"), ("c1", 5, 11, source, "[20]", use, "[11]")]
+
+
 class Handle:
     """State in dictionaries that count what is read and written."""
 
