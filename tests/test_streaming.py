@@ -400,6 +400,74 @@ def test_one_state_key_serves_many_pages_and_tokens():
     assert sorted(r[:2] for r in called(processor, rows, columns)) == sorted((f"s{i}", 3) for i in range(50) for _ in "xy") and handle.calls <= 400
 
 
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+TOKEN_ROW = ["session_id", "token", "side", "seq", "ord", "endpoint", "field_path"]
+
+
+@pytest.mark.parametrize("seed, bundled", [(0, False), (1, False), (2, True), (3, True)])
+def test_lineage_pages_in_any_order(seed, bundled):
+    """Tokens of two sessions and of none in random order and batches; pages of four tokens, blocks of three positions."""
+    import random
+    from collections import Counter
+    from hashlib import sha1
+
+    import pandas as pd
+    import pyarrow as pa
+    from siftlane.streaming.lineage import _bundles, _Tokens
+    rng = random.Random(seed)
+    tokens = [sha1(str(i).encode()).hexdigest() for i in range(300)]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(tokens[:5] + [rng.choice(tokens)]), int(rng.random() < 0.4), seq, ord_, f"e{rng.randrange(3)}", f"f{ord_}")
+            for seq in rng.sample(range(300), 200) for ord_ in range(rng.choice([1, 1, 2, 6]))]
+    rng.shuffle(rows)
+    processor, held, seen = _Tokens(None, 3, 4), Counter(), []
+    _, handle = started(processor)
+    for i in range(0, len(rows), 60):
+        part = pd.DataFrame(rows[i:i + 60], columns=TOKEN_ROW)
+        if bundled:
+            leaves = pa.RecordBatch.from_pandas(part, preserve_index=False)
+            part = pa.Table.from_batches(_bundles(iter([leaves, leaves.slice(0, 0)]))).to_pandas()
+        for out in processor.handleInputRows((0,), iter([part]), None):
+            for *row, change in out.itertuples(index=False, name=None):
+                held[tuple(row)] += change
+        seen += rows[i:i + 60]
+        want = [(s, *r[1:]) for s, t in {r[:2] for r in seen} for r in plain_uses([r[2:] for r in seen if r[:2] == (s, t)])]
+        assert sorted(held.elements(), key=repr) == sorted(want, key=repr) and min(held.values(), default=0) >= 0
+
+
+def test_a_page_is_read_and_written_once():
+    """Calls of the state follow the pages, not the tokens, and a page of too many tokens is cut."""
+    from hashlib import sha1
+    from siftlane.streaming.lineage import PAGE, _Tokens
+    tokens = [sha1(str(i).encode()).hexdigest() for i in range(60 * PAGE)]
+    processor, handle = started(_Tokens(None))
+    called(processor, [("s", t, 1, 1, 0, "e", "f") for t in tokens[:1600]], TOKEN_ROW)
+    assert handle.calls == 32
+    assert len(called(processor, [("s", t, 0, 2, 0, "e", "f") for t in tokens[:1600]], TOKEN_ROW)) == 1600 and handle.calls == 64
+    called(processor, [("s", t, 1, 3, 0, "e", "f") for t in tokens], TOKEN_ROW)
+    assert handle.calls == 64 + 16 + 16 * 17
+    assert len(called(processor, [("s", t, 0, 4, 0, "e", "f") for t in tokens], TOKEN_ROW)) == len(tokens) and handle.calls == 64 + 16 + 16 * 17 + 16 + 256 * 2
+
+
+def test_lineage_forgets_what_is_not_touched():
+    """A token that nobody has touched for the time to live is gone, though others keep its page."""
+    from siftlane.streaming.lineage import _Tokens
+    import pandas as pd
+    processor, _ = started(_Tokens(100))
+
+    def at(now, *rows):
+        return [r[1] for out in processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=TOKEN_ROW)]), Clock(now)) for r in out.itertuples(index=False, name=None)]
+    assert at(0, ("s", "a1", 1, 1, 0, "e", "f"), ("s", "a2", 1, 1, 0, "e", "f")) == []
+    assert at(60, ("s", "a1", 0, 2, 0, "e", "f")) == [2]
+    assert at(120, ("s", "a1", 0, 3, 0, "e", "f"), ("s", "a2", 0, 3, 0, "e", "f")) == [3]
+
+
 def test_late_rows_share_state_keys(spark, monkeypatch):
     """Rows are dealt to a bounded number of state keys, however many sessions there are."""
     from siftlane.streaming.online import BUCKETS, bucket_of
