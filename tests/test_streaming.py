@@ -411,8 +411,8 @@ class Clock:
 TOKEN_ROW = ["session_id", "token", "side", "seq", "ord", "endpoint", "field_path"]
 
 
-@pytest.mark.parametrize("seed, bundled", [(0, False), (1, False), (2, True), (3, True)])
-def test_lineage_pages_in_any_order(seed, bundled):
+@pytest.mark.parametrize("seed, digits", [(0, 0), (1, 0), (2, 1), (3, 2)])
+def test_lineage_pages_in_any_order(seed, digits):
     """Tokens of two sessions and of none in random order and batches; pages of four tokens, blocks of three positions."""
     import random
     from collections import Counter
@@ -430,9 +430,10 @@ def test_lineage_pages_in_any_order(seed, bundled):
     _, handle = started(processor)
     for i in range(0, len(rows), 60):
         part = pd.DataFrame(rows[i:i + 60], columns=TOKEN_ROW)
-        if bundled:
+        if digits:
             leaves = pa.RecordBatch.from_pandas(part, preserve_index=False)
-            part = pa.Table.from_batches(_bundles(iter([leaves, leaves.slice(0, 0)]))).to_pandas()
+            part = pa.Table.from_batches(_bundles(iter([leaves, leaves.slice(0, 0)]), digits)).to_pandas()
+            assert {len(begin) for begin in part["begin"]} == {digits}
         for out in processor.handleInputRows((0,), iter([part]), None):
             for *row, change in out.itertuples(index=False, name=None):
                 held[tuple(row)] += change
